@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.llm.bytewords import pieces
 
@@ -248,7 +249,8 @@ def predict(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str
 def with_language(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
     """``docs`` with all its columns, and lang_pred and score after them."""
     at = docs.columns.index(text_col)
-    schema = docs.schema.add("lang_pred", "string").add("score", "double")
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    schema = T.StructType([*docs.schema.fields, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
