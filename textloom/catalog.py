@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.plans import frequency, lexical  # noqa: F401
+from textloom.plans import annotation, frequency, lexical, similarity  # noqa: F401
 from textloom.plans.registry import ORACLE, QUERIES, Query
 
 
