@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.plans import annotation, documents, frequency, lexical, models, similarity  # noqa: F401
+from textloom.plans import annotation, documents, frequency, lexical, models, retrieval, similarity, streams  # noqa: F401
 from textloom.plans.registry import ORACLE, QUERIES, Query
 
 
