@@ -116,6 +116,7 @@ def allocate(sizes: dict[str, int], total: int, mode: str = "proportional") -> d
         return {}
     names, every = sorted(sizes), sum(sizes.values())
     total = min(total, every)
+    every = max(every, 1)
     ideal = {s: total * sizes[s] / every if mode == "proportional" else total / len(names) for s in names}
     out = {s: min(sizes[s], int(ideal[s])) for s in names}
     for s in sorted(names, key=lambda s: (int(ideal[s]) - ideal[s], s)):
