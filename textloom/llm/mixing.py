@@ -37,8 +37,11 @@ MARGINS = ("_source", "_lang", "_topic")
 def topic_of(text: Column) -> Column:
     """A coarse topic by the form of the text: how much of it is digits, marks, lines."""
     n = F.greatest(F.length(text), F.lit(1))
-    share = lambda kept: F.length(F.regexp_replace(text, kept, "")) / n
-    marks, digits, lines = share(r"[^#$%&*|=<>{}\[\]_~^\\]"), share("[^0-9]"), share(r"[^\n]")
+    # whole runs of other characters go at once, and the little that is left is looked at again
+    odd = F.regexp_replace(text, r"[^0-9#$%&*|=<>{}\[\]_~^\\]+", "")
+    digits = F.length(F.regexp_replace(odd, "[^0-9]+", ""))
+    marks, digits = (F.length(odd) - digits) / n, digits / n
+    lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))) / n
     return (
         F.when(text.isNull(), None)
         .when(marks > 0.03, "marked")
