@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.bytewords import Words, pieces
-from textloom.llm.common import BLANKS, written
+from textloom.llm.common import BLANKS, dropped, written
 
 WINDOW = 35
 KMER = 12
@@ -182,6 +182,7 @@ def without_repeats(
         .select("node", (F.col("lo") != F.col("hi")).alias("branching"))
     )
     found = written(nodes.join(kinds, "node").select(*same, "begin", "n", "branching"), "repeats")
+    dropped(nodes)
 
     def joined(text: DataFrame, other: DataFrame, how: str) -> DataFrame:
         other = other.withColumnsRenamed({"id": "_id", "tag": "_tag"})
@@ -194,7 +195,8 @@ def without_repeats(
         lambda b: _windows(b, window, kmer), f"node bigint, window bigint, {place}"
     )
     parts = written(parts, "windows")
-    twice = parts.groupBy("node", "window").count().where("count > 1").select("node", "window")
+    # a table of its own, so that a hot window's rows can be split over tasks when they are joined with it
+    twice = written(parts.groupBy("node", "window").count().where("count > 1").select("node", "window"), "twice")
     single = parts.join(twice, ["node", "window"])
     span = lambda end: F.struct(F.col("begin"), end.cast("int").alias("end")).alias("span")
     spans = (
