@@ -137,6 +137,8 @@ def simhash_components(
     firsts = linked.groupBy("root").agg(F.min("first_id").alias("linked_id"))
     changed = linked.join(firsts, "root").select("fp", "linked_id")
     component = fps.join(changed, "fp", "left").select("fp", F.coalesce("linked_id", "first_id").alias("component_id"))
+    # a table of its own, so that a hot fingerprint's rows can be split over tasks when they are joined with it
+    component = written(component, "components")
     return made.join(component, "fp").select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
