@@ -333,6 +333,40 @@ def test_disguises(text, kind, found):
     assert found not in pii.mask(text)
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("mail john@example[.]com now", "email", "john@example[.]com"),
+        ("host 192[.]168[.]0[.]1 is down", "ip", "192[.]168[.]0[.]1"),
+        ("ring plus 49 170 1234567.", "phone", "plus 49 170 1234567"),
+        ("ring plus four nine 170 1234567.", "phone", "plus four nine 170 1234567"),
+        ("ring plus one oh zero one zero oh one zero.", "phone", "plus one oh zero one zero oh one zero"),
+        ("card 4111 1111 one 111 1111", "card", "4111 1111 one 111 1111"),
+        ("ring plus ſeven 170 12345678.", "phone", "plus ſeven 170 12345678"),
+    ],
+)
+def test_disguises_are_found_whatever_else_the_text_holds(text, kind, found):
+    spans = pii.find(text)
+    assert [(pii.KINDS[k], text[a:b], added) for k, a, b, added in spans] == [(kind, found, True)]
+    assert [x[0] for x in pii.find(text + " An anecdote.")] == [x[0] for x in spans]
+
+
+def test_whatever_is_rewritten_passes_the_gate():
+    random.seed(13)
+    signs = ["[", "]", "(", ".", " ", "-", "at", "dot", "plus", "one", "oh", "two", "ſix", "a", "7", "в", "о", "\u200b", "\n"]
+    for _ in range(20000):
+        t = "".join(random.choices(signs, k=random.randint(1, 8)))
+        assert pii._may_hide(t) or not pii._REWRITE.search(t), t
+
+
+def test_disguised_rest_of_a_plain_identifier():
+    text = "mail john@mail.example [dot] com now"
+    spans = pii.find(text)
+    assert [(text[a:b], added) for _, a, b, added in spans] == [("john@mail.example", False), ("john@mail.example [dot] com", True)]
+    assert pii.mask(text) == "mail <email> now"
+    assert [added for *_, added in pii.find("one.two@example.com")] == [False]
+
+
 def test_clean_texts_have_no_spans():
     for t in ("he is at home, one or two dots", "see section 1.2.3 at page 4", "zero one two three", "", None, "Привет мир, всё хорошо"):
         assert pii.find(t) == []

@@ -10,7 +10,8 @@ span it came from:
 * runs of spelled digits, "plus" before them, become digits.
 
 The same patterns then run over the rewritten text. A match that used a rewritten piece
-is mapped back and added, unless it meets a plain one. Plain matches always stay.
+is mapped back and added, unless plain ones cover it already. Plain matches always stay,
+also where an added one goes further.
 
 Positions are code points, end exclusive. Defined cases: null and empty texts have no
 spans; very long texts take linear time, since each pattern starts only at the
@@ -61,9 +62,9 @@ _REWRITE = re.compile(
     re.IGNORECASE,
 )
 _WORDS = re.compile(rf"\b(?:{_NUMBER})\b", re.IGNORECASE)
-_THREE = re.compile(rf"\b(?:{_NUMBER})\b[\s,-]{{1,2}}(?:{_NUMBER})\b[\s,-]{{1,2}}(?:{_NUMBER})\b", re.IGNORECASE)
-_ODD = re.compile(rf"[{ZERO_WIDTH}{''.join(LOOKALIKES)}！-～]|(?![0-9])\d")
-_SIGN = re.compile(rf"{_OPEN}\s{{0,3}}(?:at|dot)\s{{0,3}}{_CLOSE}", re.IGNORECASE)
+_PLUS = re.compile(rf"\bplus\s+(?:{_NUMBER}|[0-9])", re.IGNORECASE)
+_ODD = re.compile(rf"[{ZERO_WIDTH}{''.join(LOOKALIKES)}！-～]|(?![0-9])\d", re.IGNORECASE)
+_SIGN = re.compile(rf"{_OPEN}\s{{0,3}}(?:at|dot|\.)\s{{0,3}}{_CLOSE}", re.IGNORECASE)
 
 
 def _luhn(digits: str) -> bool:
@@ -107,13 +108,10 @@ def plain(text: str) -> list[tuple[int, int, int]]:
 
 
 def _may_hide(text: str) -> bool:
-    """Whether the transducer would rewrite something that could make an identifier."""
+    """Whether the transducer would rewrite anything: never false where ``_REWRITE`` finds something."""
     if not text.isascii() and _ODD.search(text):
         return True
-    low = text.lower()
-    if "dot" in low or ("at" in low and _SIGN.search(text)):
-        return True
-    return sum(low.count(w) for w in DIGIT_WORDS[2:]) >= 2 and _THREE.search(text) is not None
+    return "dot" in text.lower() or bool(_SIGN.search(text) or _WORDS.search(text) or _PLUS.search(text))
 
 
 class Rewritten:
@@ -137,7 +135,7 @@ class Rewritten:
                 put(text[end : m.start()], end, m.start(), False)
             kind, found = m.lastgroup, m[0]
             if kind == "digits":
-                new = "".join(_WORD[w.lower()] for w in _WORDS.findall(found))
+                new = "".join(_WORD[w.casefold()] for w in _WORDS.findall(found))
             elif kind == "other":
                 new = LOOKALIKES.get(found) or (
                     str(unicodedata.decimal(found)) if found.isdecimal() else chr(ord(found) - 0xFEE0) if "！" <= found <= "～" else found
@@ -165,16 +163,18 @@ def find(text: str | None) -> list[tuple[int, int, int, bool]]:
     base = plain(text)
     out = [(*x, False) for x in base]
     if _may_hide(text):
-        taken = sorted((s, e) for _, s, e in base)
-        starts = [s for s, _ in taken]
-        tops: list[int] = []  # the greatest end so far, as spans of different kinds may overlap
-        for _, e in taken:
-            tops.append(max(e, tops[-1] if tops else 0))
+        covered: list[tuple[int, int]] = []  # what plain spans cover, as spans of different kinds may overlap
+        for s, e in sorted((s, e) for _, s, e in base):
+            if covered and s <= covered[-1][1]:
+                covered[-1] = covered[-1][0], max(e, covered[-1][1])
+            else:
+                covered.append((s, e))
+        starts = [s for s, _ in covered]
         new = Rewritten(text)
         for kind, s, e in plain(new.text):
             begin, stop, rewritten = new.back(s, e)
-            k = bisect_right(starts, stop - 1)
-            if rewritten and not (k and tops[k - 1] > begin):
+            k = bisect_right(starts, begin)
+            if rewritten and not (k and covered[k - 1][1] >= stop):
                 out.append((kind, begin, stop, True))
     return sorted(out)
 
