@@ -12,8 +12,8 @@ from textloom.llm.common import written
 from textloom.llm.queries import MIX, MIX_SHARE, piece_vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document whose letters speak for no language by this mean probability is rejected.
-LEAST_SCORE = 0.25
+#: A document whose letters speak for no language by this mean probability is rejected. Set from held-out rows, see README.
+LEAST_SCORE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

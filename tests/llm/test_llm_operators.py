@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from corpus_pipeline import LEAST_SCORE
 from textloom.llm import components, embeddings, fingerprints, langid, materialize, mixing, pii, queries, sentencepieces, simhash, substrings, urls
 
 SF = "/root/testdata/sf0.001"
@@ -406,3 +407,27 @@ def test_und(spark):
     base = spark.createDataFrame([(1, "hello there", "en"), (2, "bonjour la", "fr"), (3, "123 !?", "en"), (4, None, "en"), (5, "", None)], "doc_id long, text string, lang string")
     got = {r.doc_id: r.lang_pred for r in langid.predict(base, langid.fit(base)).collect()}
     assert got[3] == got[4] == got[5] == "und"
+
+
+def test_texts_in_no_known_language_score_low(spark):
+    base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    net = langid.fit(base)
+    known = [r.text for r in base.where(langid.held_out(F.col("doc_id")) & F.col("text").isNotNull()).select("text").collect()]
+    random.seed(14)
+
+    def shuffled(text):
+        letters = random.sample(found := [c for c in text if c.isalpha()], len(found))
+        return "".join(letters.pop() if c.isalpha() else c for c in text)
+
+    foreign = [
+        "Il consiglio comunale ha approvato ieri sera il nuovo piano per la mobilità urbana e una zona pedonale nel centro storico.",
+        "De gemeenteraad heeft gisteravond het nieuwe plan voor het stadsverkeer goedgekeurd, met fietspaden en nieuwe bushaltes.",
+        "Kaupunginvaltuusto hyväksyi eilen illalla uuden liikennesuunnitelman, joka sisältää pyöräteitä ja uusia bussipysäkkejä.",
+        "Городской совет вчера вечером утвердил новый план движения, который предусматривает велосипедные дорожки.",
+        "市議会は昨夜、自転車道、新しいバス停、旧市街の歩行者区域を含む新しい交通計画を承認した。",
+        "qwfk zzxjq wpvk jhgfd kjqxz mnbv lkjhg poiu trewq xcvb gfdsa ytrq plmk wsxz edcv rfvb tgbn yhnm",
+    ]
+    scores = lambda texts: np.array(langid.pooled(net, pa.array(texts))[1])
+    assert (scores(foreign) < LEAST_SCORE).all()
+    assert (scores([shuffled(t) for t in known if len(t) > 200]) < LEAST_SCORE).mean() >= 0.9
+    assert (scores(known) >= LEAST_SCORE).mean() >= 0.98

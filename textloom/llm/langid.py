@@ -2,7 +2,10 @@
 
 Two gated recurrent layers read every window of a text, one from each end. From both
 states a softmax labels every position; a document's probabilities are the mean over
-the positions of its letters, in the whole text. The network is written in numpy and
+the positions of its letters, in the whole text. One more label, which no text is given,
+stands for no language: it is trained on windows of the sample whose letters are shuffled,
+drawn at random or taken from other scripts (``nonsense``). So the score of a text in none of
+the languages falls towards 0, and not just towards one over their number. The network is written in numpy and
 trained by backpropagation through time on a bounded sample of labelled rows:
 ``per_language`` documents of each language, ``windows_each`` windows of each, drawn by
 a hash of the id. The sample bounds training alone; every byte of every text is labelled.
@@ -14,6 +17,7 @@ all every text is ``und``; with one language every text with a letter is that la
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,19 +38,24 @@ _LETTER = re.compile(r"[^\W\d_]")
 #: Bytes whose positions count: ASCII letters and all of longer characters.
 _COUNTS = np.zeros(256, bool)
 _COUNTS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+#: First and last letters of scripts.
+_SCRIPTS = [
+    (0x100, 0x17F), (0x391, 0x3C9), (0x410, 0x44F), (0x5D0, 0x5EA), (0x620, 0x64A), (0x905, 0x939), (0xE01, 0xE2E),
+    (0x10D0, 0x10F0), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3),
+]
 
 
 @dataclass
 class Network:
-    """Weights. E: what a byte adds to the gates; U, C: from the state; W, b: to the labels."""
+    """Weights. E: what a byte adds to the gates; U, C: from the state; W, b: to the labels, and to no language if there is a row more."""
 
     labels: list[str]
     weights: dict[str, np.ndarray]
 
     @staticmethod
-    def fresh(labels: list[str], hidden: int, seed: int) -> Network:
-        r = np.random.default_rng(seed)
-        w: dict[str, np.ndarray] = {"W": r.normal(0, 0.3, (len(labels), 2 * hidden)), "b": np.zeros((len(labels), 1))}
+    def fresh(labels: list[str], hidden: int, seed: int, none: int = 0) -> Network:
+        r, k = np.random.default_rng(seed), len(labels) + none
+        w: dict[str, np.ndarray] = {"W": r.normal(0, 0.3, (k, 2 * hidden)), "b": np.zeros((k, 1))}
         for d in "fb":
             w[f"E{d}"] = r.normal(0, 0.4, (3 * hidden, 256))
             w[f"U{d}"] = r.normal(0, 0.4 / np.sqrt(hidden), (2 * hidden, hidden))
@@ -132,18 +141,38 @@ def _gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[
     return loss, g
 
 
+def nonsense(windows: list[str], seed: int = 7) -> list[str]:
+    """The windows with their letters shuffled, drawn from a to z, or drawn from one other script, in turn."""
+    r, out = random.Random(seed), []
+    for n, window in enumerate(windows):
+        signs = list(window)
+        at = [i for i, c in enumerate(signs) if c.isalpha()]
+        if n % 3 == 0:
+            new = [signs[i] for i in at]
+            r.shuffle(new)
+        else:
+            low, high = (97, 122) if n % 3 == 1 else r.choice(_SCRIPTS)
+            new = [chr(r.randint(low, high)) for _ in at]
+        for i, c in zip(at, new):
+            signs[i] = c
+        out.append("".join(signs))
+    return out
+
+
 def train(
-    windows: list[bytes], labels: list[str], hidden: int = HIDDEN, epochs: int = 8, batch: int = 128, rate: float = 0.02, seed: int = 7
-) -> Network:
-    """Fits a network to labelled windows of at most ``WIDTH`` bytes, by Adam."""
+    windows: list[bytes], labels: list[str], none: list[bytes] = [], hidden: int = HIDDEN, epochs: int = 8, batch: int = 128,
+    rate: float = 0.02, seed: int = 7,
+) -> Network:
+    """Fits a network to labelled windows of at most ``WIDTH`` bytes, and windows of no language, by Adam."""
     names = sorted(set(labels))
-    net = Network.fresh(names, hidden, seed)
+    net = Network.fresh(names, hidden, seed, bool(none))
     if len(names) < 2:
-        return net
+        return Network.fresh(names, hidden, seed)
+    windows = windows + none
     x = np.zeros((len(windows), WIDTH), np.uint8)
     for i, b in enumerate(windows):
         x[i, : len(b[:WIDTH])] = np.frombuffer(b[:WIDTH], np.uint8)
-    y = np.array([names.index(v) for v in labels])
+    y = np.array([names.index(v) for v in labels] + [len(names)] * len(none))
     r = np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in net.weights.items()}
     v2 = {k: np.zeros_like(v) for k, v in net.weights.items()}
@@ -164,7 +193,7 @@ def pooled(net: Network, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     """The language and its mean probability for each text of a string array."""
     texts = texts.fill_null("") if texts.null_count else texts
     n, k = len(texts), len(net.labels)
-    sums = np.zeros((n, k))
+    sums = np.zeros((n, len(net.weights["W"])))
     if k > 1:
         _, bounds, data = texts.buffers()
         at = np.frombuffer(bounds, np.int32)[texts.offset :][: n + 1].astype(np.int64)
@@ -180,11 +209,12 @@ def pooled(net: Network, texts: pa.Array) -> tuple[list[str], np.ndarray]:
             p = _probabilities(net.weights, _states(net.weights, "f", x), _states(net.weights, "b", x))
             p *= _COUNTS[x][:, None, :]
             each = p.sum(axis=0)
-            for label in range(k):
+            for label in range(sums.shape[1]):
                 sums[:, label] += np.bincount(doc[part], each[label], n)
     elif k:
         sums[:, 0] = 1
     total = sums.sum(axis=1)
+    sums = sums[:, :k]
     best = sums.argmax(axis=1) if k else np.zeros(n, int)
     score = np.divide(sums.max(axis=1, initial=0), total, out=np.zeros(n), where=total > 0)
     names = []
@@ -229,7 +259,8 @@ def fit(
         .collect()
     )
     pairs = sorted({(r["lang"], r["n"], w) for r in rows for w in r["cut"] if w})
-    return train([w.encode() for _, _, w in pairs], [lang for lang, _, _ in pairs], seed=seed)
+    none = nonsense([w for _, _, w in pairs[::2]], seed)
+    return train([w.encode() for _, _, w in pairs], [lang for lang, _, _ in pairs], [w.encode() for w in none], seed=seed)
 
 
 def predict(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
