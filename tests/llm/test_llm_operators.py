@@ -369,8 +369,14 @@ def test_disguised_rest_of_a_plain_identifier():
 
 
 def test_clean_texts_have_no_spans():
-    for t in ("he is at home, one or two dots", "see section 1.2.3 at page 4", "zero one two three", "", None, "Привет мир, всё хорошо"):
-        assert pii.find(t) == []
+    prose = (
+        "he is at home, one or two dots", "see section 1.2.3 at page 4", "zero one two three", "", None, "Привет мир, всё хорошо",
+        "we look at polka dot dresses", "stay at home dot com", "Meet me at noon dot we leave", "They looked at dot matrix printers and dot plots.",
+        "A dot at the end; at a dot stop", "one at a time, dot by dot", "the ball at dot net level", "We arrive at seven plus two others",
+    )
+    for t in prose:
+        assert pii.find(t) == [], t
+    assert pii.mask("mail x@y.com dot we go") == "mail <email> dot we go"
 
 
 # --- 10 ------------------------------------------------------------------------------------------
@@ -404,9 +410,9 @@ def test_held_out_accuracy(spark):
 
 
 def test_und(spark):
-    base = spark.createDataFrame([(1, "hello there", "en"), (2, "bonjour la", "fr"), (3, "123 !?", "en"), (4, None, "en"), (5, "", None)], "doc_id long, text string, lang string")
+    base = spark.createDataFrame([(1, "hello there", "en"), (2, "bonjour la", "fr"), (3, "123 !?", "en"), (4, None, "en"), (5, "", None), (6, "½ ² 12 Ⅷ ³", "en"), (7, "é", "fr")], "doc_id long, text string, lang string")
     got = {r.doc_id: r.lang_pred for r in langid.predict(base, langid.fit(base)).collect()}
-    assert got[3] == got[4] == got[5] == "und"
+    assert got[3] == got[4] == got[5] == got[6] == "und" and got[7] != "und"
 
 
 def test_texts_in_no_known_language_score_low(spark):

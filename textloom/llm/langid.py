@@ -1,6 +1,7 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-Two gated recurrent layers read every window of a text, one from each end. From both
+Two gated recurrent layers read every window of 64 bytes of a text, one from each end, each
+with a fresh state, as in training; no state crosses from one window to the next. From both
 states a softmax labels every position; a document's probabilities are the mean over
 the positions of its letters, in the whole text. One more label, which no text is given,
 stands for no language: it is trained on windows of the sample whose letters are shuffled,
@@ -34,7 +35,7 @@ UNKNOWN = "und"
 WIDTH = 64
 HIDDEN = 8
 _AT_ONCE = 2048
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile("[A-Za-z]")
 #: Bytes whose positions count: ASCII letters and all of longer characters.
 _COUNTS = np.zeros(256, bool)
 _COUNTS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -189,6 +190,11 @@ def train(
     return net
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; fractions, superscripts and other numbers are none."""
+    return _ASCII_LETTER.search(text) is not None or (not text.isascii() and any(map(str.isalpha, text)))
+
+
 def pooled(net: Network, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     """The language and its mean probability for each text of a string array."""
     texts = texts.fill_null("") if texts.null_count else texts
@@ -219,7 +225,7 @@ def pooled(net: Network, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     score = np.divide(sums.max(axis=1, initial=0), total, out=np.zeros(n), where=total > 0)
     names = []
     for i in range(n):
-        known = total[i] > 0 and _LETTER.search(texts[i].as_py()) is not None
+        known = total[i] > 0 and has_letter(texts[i].as_py())
         names.append(net.labels[best[i]] if known else UNKNOWN)
         if not known:
             score[i] = 0
@@ -243,10 +249,9 @@ def fit(
     usable = base.where(F.col("lang").isNotNull() & ~held_out(F.col("id")))
     drawn = F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1_000_000))
     # counting reads no text; a language of n rows keeps about three times what is wanted
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
-    if not counts:
-        return Network.fresh([], HIDDEN, seed)
-    limit = F.element_at(F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, 3_000_000 * per_language // n + 1)]), F.col("lang"))
+    counts = usable.groupBy("lang").agg(F.count("*").alias("rows"))
+    usable = usable.join(counts, "lang")
+    limit = F.lit(3_000_000 * per_language) / F.col("rows") + 1
     few = usable.where((drawn < limit) & F.col("text").isNotNull())
     order = Window.partitionBy("lang").orderBy("drawn", "id")
     start = lambda i: F.pmod(F.xxhash64(F.col("id"), i), F.greatest(F.length("text") - WIDTH, F.lit(1))) + 1
@@ -258,6 +263,8 @@ def fit(
         .select("lang", "n", "cut")
         .collect()
     )
+    if not rows:
+        return Network.fresh([], HIDDEN, seed)
     pairs = sorted({(r["lang"], r["n"], w) for r in rows for w in r["cut"] if w})
     none = nonsense([w for _, _, w in pairs[::2]], seed)
     return train([w.encode() for _, _, w in pairs], [lang for lang, _, _ in pairs], [w.encode() for w in none], seed=seed)

@@ -6,7 +6,9 @@ span it came from:
 
 * letters of other scripts that look like Latin ones, and full-width or other decimal
   digits, become ASCII; zero-width characters go;
-* "(at)", "[dot]", " at ... dot " and the like become @ and . ;
+* "(at)", "[dot]" and the like become @ and . ; without brackets " dot " does so only before
+  a digit or where the labels end in a known last one, and " at " only before such a
+  domain and not after a word that stands before "at" in prose;
 * runs of spelled digits, "plus" before them, become digits.
 
 The same patterns then run over the rewritten text. A match that used a rewritten piece
@@ -51,10 +53,22 @@ DIGIT_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "e
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _WORD = {w: str(i) for i, w in enumerate(DIGIT_WORDS)} | {"oh": "0"}
 _NUMBER = "|".join(_WORD)
+# Last labels that a domain spelled without brackets must end in.
+LAST_LABELS = (
+    "com", "org", "net", "edu", "gov", "info", "biz", "io", "co", "me", "app", "dev", "eu", "uk", "de", "fr", "es", "it", "nl", "pl", "pt", "at", "ch",
+    "be", "se", "no", "fi", "dk", "cz", "tr", "ru", "us", "ca", "br", "mx", "in", "jp", "cn", "au", "nz", "za", "test", "example",
+)
+# Words that stand before "at" in prose, and so are no local part when nothing is bracketed.
+BEFORE_AT = frozenset(
+    "a about all am an and are arrive arrived arrives be been but do down eat go good he her here him home i in is it keep laugh laughed live lived "
+    "lives look looked looking looks me meet meets met not now off on one only or out over point pointed shop sit sits smile stand stands stare stared "
+    "start starts stay stayed stays stop stops that the them there they this to up us was we were work worked works you".split()
+)
+_ENDS = rf"(?:[a-z0-9-]+(?:\s{{1,3}}dot\s{{1,3}}|\.))*(?:{'|'.join(LAST_LABELS)})\b(?!\s{{1,3}}dot\s)"
 _REWRITE = re.compile(
     rf"(?P<at>\s{{0,3}}{_OPEN}\s{{0,3}}at\s{{0,3}}{_CLOSE}\s{{0,3}}"
-    rf"|(?<=[a-z0-9])\s{{1,3}}at\s{{1,3}}(?=[a-z0-9-]+(?:\s{{0,3}}{_OPEN}\s{{0,3}}dot\s{{0,3}}{_CLOSE}|\s{{1,3}}dot\s)))"
-    rf"|(?P<dot>\s{{0,3}}{_OPEN}\s{{0,3}}(?:dot|\.)\s{{0,3}}{_CLOSE}\s{{0,3}}|(?<=[a-z0-9])\s{{1,3}}dot\s{{1,3}}(?=[a-z0-9]))"
+    rf"|(?<=[a-z0-9])\s{{1,3}}at\s{{1,3}}(?=[a-z0-9-]+(?:\s{{0,3}}{_OPEN}\s{{0,3}}dot\s{{0,3}}{_CLOSE}|\s{{1,3}}dot\s{{1,3}}{_ENDS})))"
+    rf"|(?P<dot>\s{{0,3}}{_OPEN}\s{{0,3}}(?:dot|\.)\s{{0,3}}{_CLOSE}\s{{0,3}}|(?<=[a-z0-9])\s{{1,3}}dot\s{{1,3}}(?=[0-9]|{_ENDS}))"
     rf"|(?P<plus>\bplus\s+(?=(?:{_NUMBER}|[0-9])))"
     rf"|(?P<digits>\b(?:{_NUMBER})\b(?:[\s,-]{{1,2}}(?:{_NUMBER})\b)*)"
     rf"|(?P<zero>[{ZERO_WIDTH}]+)"
@@ -114,6 +128,14 @@ def _may_hide(text: str) -> bool:
     return "dot" in text.lower() or bool(_SIGN.search(text) or _WORDS.search(text) or _PLUS.search(text))
 
 
+def _last_word(text: str, end: int) -> str:
+    """The word that ends at a place, in lower case; "" if it is no word of letters alone."""
+    start = end
+    while start > max(0, end - 12) and text[start - 1].isalpha():
+        start -= 1
+    return "" if start and (text[start - 1] in _LOCAL) else text[start:end].lower()
+
+
 class Rewritten:
     """A text after the transducer, with the way back."""
 
@@ -134,7 +156,9 @@ class Rewritten:
             if m.start() > end:
                 put(text[end : m.start()], end, m.start(), False)
             kind, found = m.lastgroup, m[0]
-            if kind == "digits":
+            if kind == "at" and found.strip().isalpha() and _last_word(text, m.start()) in BEFORE_AT:
+                new = found
+            elif kind == "digits":
                 new = "".join(_WORD[w.casefold()] for w in _WORDS.findall(found))
             elif kind == "other":
                 new = LOOKALIKES.get(found) or (

@@ -9,7 +9,7 @@ compatible with the token before is taken; at a dead end the last token is given
 for a shorter one. Since the tokens that reach a place are unique, a place found
 dead is dead for good: one bit of a bitfield each. Work is linear in the text.
 
-Words are encoded once and remembered (a bounded memory per worker), where the
+Words are encoded once and remembered (a memory per worker bounded in words and in their length), where the
 vocabulary proves that no token crosses their border: none has a space sign after
 another character, and none holds a line feed.
 
@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 _MEMORY = 400_000
+_LONGEST = 64  # longer words are encoded anew each time, which bounds the memory in bytes too
 
 
 @dataclass(frozen=True)
@@ -73,9 +74,6 @@ class Encoder:
         self.id = {p: i for i, p in enumerate(v.pieces) if v.kinds[i] == "n"}
         self.byte = {int(v.pieces[i][3:5], 16): i for i in range(len(v.pieces)) if v.kinds[i] == "b"}
         self.end_id = v.end_id
-        self.size = max(map(len, self.score))
-        # where a walk along the automaton's trie ends: the longest token on the way
-        self.best = {p[:k]: next((p[:m] for m in range(k, 0, -1) if p[:m] in self.score), "") for p in self.score for k in range(1, len(p) + 1)}
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         for p in self.score:
             self.automaton.add_word(p)
@@ -162,14 +160,17 @@ class Encoder:
 
     def segment(self, text: str) -> list[str]:
         """The tokens of a text, by backtracking."""
-        n, pairs, shorter, walk, best, size = len(text), self.pairs, self.shorter, self.automaton.longest_prefix, self.best, self.size
+        n, pairs, shorter = len(text), self.pairs, self.shorter
+        # one run of the automaton: later ends overwrite earlier ones, so the longest match stays for each start
+        longest = array("H", bytes(2 * n))
+        for last, length in self.automaton.iter(text):
+            longest[last + 1 - length] = length
         dead, marked = bytearray(n // 8 + 1), False
         out: list[str] = []
         at, left, token = 0, "", ""
         while True:
-            if not token:  # the longest match: as far as the automaton's trie goes, back to a token's end
-                near = text[at : at + size]
-                token = best.get(near[: walk(near)]) or near[0]
+            if not token:
+                token = text[at : at + (longest[at] or 1)]
             end = at + len(token)
             fits = pairs.get((left, token))
             if fits is None:
@@ -204,6 +205,8 @@ class Encoder:
         ids = self.before.get(word)
         if ids is None:
             ids = self._ids(word)
+        if len(word) > _LONGEST:
+            return ids
         if len(self.known) >= _MEMORY:
             self.before, self.known = self.known, {}
         self.known[word] = ids
