@@ -225,8 +225,9 @@ def test_simhash_bits(spark):
 # --- 6 -------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(("window", "kmer"), [(6, 3), (35, 12)])
-def test_substrings_against_all_windows(spark, window, kmer):
+@pytest.mark.parametrize(("window", "kmer", "bits"), [(6, 3, 64), (35, 12, 64), (6, 3, 3), (6, 3, 5)])
+def test_substrings_against_all_windows(spark, window, kmer, bits):
+    """With few bits to a word's hash, words collide all the time, and only their comparison can tell."""
     random.seed(9)
     alphabet = [f"w{i}" for i in range(200)]
     shared = [random.choices(alphabet, k=random.randint(window, 3 * window)) for _ in range(5)]
@@ -240,7 +241,7 @@ def test_substrings_against_all_windows(spark, window, kmer):
             w[k:k] = p[a:]
         rows.append((i, random.choice([" ", "\n", "\t \x0b"]).join(w)))
     rows += [(100, rows[3][1]), (101, "a " * 90), (102, "a b " * 60), (103, None), (104, " ".join(alphabet[:window])), (104, " ".join(alphabet[:window]))]
-    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substrings.without_repeats(docs(spark, rows), window=window, kmer=kmer).collect())
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substrings.without_repeats(docs(spark, rows), window=window, kmer=kmer, bits=bits).collect())
     seen, texts = Counter(), [(i, WORD.findall(t or "")) for i, t in rows]
     for _, w in texts:
         seen.update(tuple(w[k : k + window]) for k in range(len(w) - window + 1))
@@ -251,6 +252,15 @@ def test_substrings_against_all_windows(spark, window, kmer):
     assert got == sorted(want)
 
 
+def test_paths_are_compacted(spark):
+    """Units in line, at a fork, and on a circle; to begin on a path is no branch."""
+    lines = {1: "abcdefgh", 2: "abcdefgh", 3: "cdexyz", 4: "cdexyz", 5: "pqrpqr", 6: "m"}
+    rows = [(row, 3 * i, 3, ord(c)) for row, line in lines.items() for i, c in enumerate(line)]
+    got = {chr(r.unit): (chr(r.path), r.at) for r in substrings.compacted(spark.createDataFrame(rows, "row long, begin int, n int, unit long")).collect()}
+    want = {c: (line[0], 3 * i) for line in ("abcde", "fgh", "xyz", "m", "p", "q", "r") for i, c in enumerate(line)}
+    assert got == want
+
+
 # --- 7 -------------------------------------------------------------------------------------------
 
 
