@@ -3,19 +3,18 @@
 Vectors are compared only within a label. Each table hashes a unit vector to the signs
 of its products with random hyperplanes; vectors that share a bucket of any table are
 compared by exact cosine in double precision. Bits follow the rows of a label, so that
-a bucket holds some tens of unrelated vectors at any size, and tables follow the
+a bucket holds about ``BUCKET`` unrelated vectors at any size, and tables follow the
 bits, so that a pair at the threshold is missed with probability ``miss``.
 
-Equal vectors become one row first. A bucket beyond ``block`` rows is cut into blocks by
-a hash, and every pair of its blocks is one comparison of its own; thus no task holds
-a whole hot bucket and none is left out. A comparison emits counts and a spanning
-set of links, not pairs. A pair that meets in several tables counts in the first only:
-the rows carry their buckets of all tables.
+Equal vectors of a label become one row first, named by two 64-bit hashes. Vectors travel packed,
+once for each table; buckets too large for a task are compared block by block (``buckets``), and
+a comparison emits counts and a spanning set of links, not pairs. A pair that meets in several
+tables counts in the first only: the rows carry their buckets of all tables.
 
 Defined cases: a null, empty or zero vector, one with null or non-finite components, and
 one without a label link with nothing; so do vectors of different lengths. Rows with
 equal ids are one vector each and share a component if they link. An empty table gives
-an empty table.
+an empty table. Other columns may have any name: only the three are read.
 """
 
 from __future__ import annotations
@@ -28,80 +27,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.buckets import linked, packed_rows
 from textloom.llm.common import written
 from textloom.llm.components import connected_components
 
 THRESHOLD = 0.98
+BUCKET = 128
 
 
 def plan_tables(rows: int, threshold: float = THRESHOLD, miss: float = 1e-4) -> tuple[int, int]:
     """Bits a table and number of tables, where a row's label has so many rows."""
-    bits = min(24, max(6, math.ceil(math.log2(max(2, rows) / 32))))
+    bits = min(60, max(4, math.ceil(math.log2(max(2, rows) / BUCKET))))
     same = (1 - math.acos(min(1.0, threshold)) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(miss) / math.log(1 - same))) if same < 1 else 1
 
 
-def _unit(vectors: list[np.ndarray]) -> np.ndarray:
-    x = np.array(vectors, np.float64)
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _buckets(batches: Iterator[pa.RecordBatch], bits: int, tables: int, seed: int) -> Iterator[pa.RecordBatch]:
-    """Columns: rep, vector. Gives a row for each vector: its bucket in every table."""
+def _keyed(batches: Iterator[pa.RecordBatch], kind: str, bits: int, tables: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """Packs the last column, a vector, and adds its bucket in every table, as a list and packed."""
     planes: dict[int, np.ndarray] = {}
     for batch in batches:
-        vectors = [np.asarray(v) for v in batch.column(1).to_pylist()]
-        keys = np.zeros((len(vectors), tables), np.int64)
-        sizes = np.array([len(v) for v in vectors])
+        vectors = batch.column(len(batch.columns) - 1)
+        values, ends = vectors.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *np.diff(vectors.offsets.to_numpy())])
+        keys, sizes = np.zeros((len(vectors), tables), np.int64), np.diff(ends)
         for size in np.unique(sizes):
             at = np.flatnonzero(sizes == size)
             if size not in planes:
                 planes[size] = np.random.default_rng([seed, size]).normal(size=(size, tables * bits))
-            signs = _unit([vectors[i] for i in at]) @ planes[size] > 0
+            signs = _unit(values[ends[at][:, None] + np.arange(size)]) @ planes[size] > 0
             keys[at] = signs.reshape(len(at), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
+        data, width = values.astype(kind).tobytes(), np.dtype(kind).itemsize
+        packed = pa.array([data[a * width : b * width] for a, b in zip(ends, ends[1:])], pa.binary())
         offsets = pa.array(np.arange(0, keys.size + 1, tables), pa.int32())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], ["rep", "keys"]
+            [*batch.columns[:-1], packed, pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())), pa.array([k.tobytes() for k in keys], pa.binary())],
+            [*batch.schema.names[:-1], "payload", "keys", "extra"],
         )
 
 
-def _compared(table: pa.Table, threshold: float) -> pa.Table:
-    """One pair of blocks of one bucket: link counts, and spanning links, of its vectors."""
-    t = table["t"][0].as_py()
-    i, j = table["i"][0].as_py(), table["j"][0].as_py()
-    block = table["block"].to_numpy()
-    reps, copies = table["rep"].to_numpy(), table["copies"].to_numpy()
-    x = _unit(table["vector"].to_pylist())
-    keys = np.array(table["keys"].to_pylist())
-    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+def _near(table: pa.Table, left: np.ndarray, right: np.ndarray, kind: str, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows at the threshold or over it, and whether this table is the first in which they meet."""
+    x = _unit(packed_rows(table["payload"].chunk(0), kind))
     near = x[left] @ x[right].T >= threshold
-    if i == j:
+    if len(left) == len(right) and (left == right).all():
         np.fill_diagonal(near, False)
     a, b = np.nonzero(near)
     a, b = left[a], right[b]
-    first = np.ones(len(a), bool)
-    for s in range(t):
-        first &= keys[a, s] != keys[b, s]
-    a, b = a[first], b[first]
-    count = np.bincount(a, copies[b], len(reps))
-    if i != j:
-        count += np.bincount(b, copies[a], len(reps))
-    # spanning links: each vector takes the least root around it until nothing changes
-    order = np.argsort(reps, kind="stable")
-    rank = np.empty(len(reps), np.int64)
-    rank[order] = np.arange(len(reps))
-    low = rank.copy()
-    while True:
-        new = low.copy()
-        np.minimum.at(new, a, low[b])
-        np.minimum.at(new, b, low[a])
-        new = np.minimum(new, new[order[new]])
-        if (new == low).all():
-            break
-        low = new
-    some = count > 0
-    return pa.table({"rep": reps[some], "links": count[some].astype(np.int64), "root": reps[order[low]][some]})
+    keys = packed_rows(table["extra"].chunk(0), "<i8")
+    earlier = slice(0, table["t"][0].as_py())
+    return a, b, (keys[a, earlier] != keys[b, earlier]).all(axis=1)
 
 
 def vector_components(
@@ -109,70 +88,56 @@ def vector_components(
     threshold: float = THRESHOLD, miss: float = 1e-4, block: int = 1000, seed: int = 11,
 ) -> DataFrame:
     """(id, n_links, component_id, kept) of every row."""
+    single = "array<float>" in vectors.schema[vector_col].dataType.simpleString()
+    kind = "<f4" if single else "<f8"
     rows = vectors.select(
-        F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), F.col(label_col).alias("label")
+        F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("vector"), F.col(label_col).alias("label")
     )
     bad = F.exists("vector", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     usable = F.coalesce(
         F.col("label").isNotNull() & (F.size("vector") > 0) & ~bad & F.exists("vector", lambda v: v != 0), F.lit(False)
     )
-    # equal vectors of a label are one row, named by a hash that all of them can compute
-    name = F.xxhash64("label", "vector")
-    named = rows.withColumn("rep", F.when(usable, name))
-    distinct = written(
-        named.where(F.col("rep").isNotNull())
-        .groupBy("rep")
-        .agg(F.count("*").alias("copies"), F.min("id").alias("first_id"), F.first("vector").alias("vector"), F.first("label").alias("label")),
-        "vectors",
-    )
     # two numbers: how many rows share a row's label, on average over rows
-    n = distinct.groupBy("label").agg(F.count("*").cast("double").alias("n"))
+    n = vectors.where(F.col(label_col).isNotNull()).groupBy(F.col(label_col)).agg(F.count("*").cast("double").alias("n"))
     mean = n.agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0]
     bits, tables = plan_tables(int(mean or 1), threshold, miss)
+    # equal vectors of a label are one row, named by hashes that all of them can compute
+    named = rows.select("id", "vector", "label", F.when(usable, F.xxhash64("label", "vector")).alias("h1"), F.when(usable, F.xxhash64(F.lit(1), "vector", "label")).alias("h2"))
+    of_id = rows.schema["id"].dataType.simpleString()
+    of_label = rows.schema["label"].dataType.simpleString()
+    distinct = (
+        named.where(F.col("h1").isNotNull())
+        .groupBy("h1", "h2")
+        .agg(F.count("*").alias("copies"), F.min("id").alias("first_id"), F.first("label").alias("label"), F.first("vector").alias("vector"))
+        .select(F.monotonically_increasing_id().alias("rep"), "*")
+    )
     keyed = written(
-        distinct.join(
-            distinct.select("rep", "vector").mapInArrow(lambda b: _buckets(b, bits, tables, seed), "rep bigint, keys array<bigint>"), "rep"
+        distinct.mapInArrow(
+            lambda b: _keyed(b, kind, bits, tables, seed),
+            f"rep bigint, h1 bigint, h2 bigint, copies bigint, first_id {of_id}, label {of_label}, payload binary, keys array<bigint>, extra binary",
         ),
         "keyed",
     )
-    one = ["label", "d", "t", "key"]
-    spread = keyed.select(
-        "rep", "copies", "vector", "label", "keys", F.size("vector").alias("d"), F.posexplode("keys").alias("t", "key")
-    )
-    sizes = spread.groupBy(*one).agg(F.count("*").alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / block).cast("int")
-    me = F.pmod(F.xxhash64("rep", F.lit(seed)), F.col("parts")).cast("int")
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.col("parts") - 1),
-        lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")),
-    )
-    dealt = (
-        spread.join(sizes, one)
-        .withColumn("parts", parts)
-        .withColumn("block", me)
-        .withColumn("pair", F.explode(pairs))
-        .select(*one, "rep", "copies", "vector", "keys", "block", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"))
-    )
-    found = written(
-        dealt.groupBy(*one, "i", "j").applyInArrow(lambda t: _compared(t, threshold), "rep bigint, links bigint, root bigint"), "links"
-    )
+    spread = keyed.select("rep", "copies", "label", "payload", "extra", F.posexplode("keys").alias("t", "key"))
+    same = ["label", F.length("payload"), "t", "key"]
+    spread = spread.select(F.xxhash64(*same).alias("b1"), F.xxhash64(F.lit(1), *same).alias("b2"), "rep", "copies", "payload", "extra", "t")
+    found = written(linked(spread, lambda t, x, y: _near(t, x, y, kind, threshold), block, seed), "links")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    component = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     of_rep = (
-        distinct.select("rep", "copies", "first_id")
+        keyed.select("rep", "h1", "h2", "copies", "first_id")
         .join(counts, "rep", "left")
-        .join(roots, F.col("rep") == F.col("node"), "left")
-        .select("rep", "copies", "first_id", "links", F.coalesce("root", "rep").alias("root"))
+        .join(component, F.col("rep") == F.col("node"), "left")
+        .select("h1", "h2", "copies", "first_id", "links", F.coalesce("root", "rep").alias("root"))
     )
     firsts = of_rep.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_rep = of_rep.join(firsts, "root").select(
-        "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"
-    )
-    # the rows without a usable vector get names of their own, so that they don't meet in one task
-    own = F.coalesce("rep", F.xxhash64("id", F.lit("none")))
-    return named.withColumn("own", own).join(of_rep.withColumnRenamed("rep", "own").withColumn("hit", F.lit(True)), "own", "left").select(
-        F.col("id").alias(id_col),
-        F.when(F.col("rep").isNull() | F.col("hit").isNull(), F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
-        F.when(F.col("rep").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.when(F.col("rep").isNull(), F.lit(True)).otherwise(F.col("id").eqNullSafe(F.col("component_id"))).alias("kept"),
+    # a table of its own, so that the rows of a hot vector can be split over tasks when they are joined with it
+    of_rep = written(of_rep.join(firsts, "root").select(
+        "h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"
+    ), "named")
+    hashed = named.select("id", "h1", "h2")
+    made = hashed.where(F.col("h1").isNotNull()).join(of_rep, ["h1", "h2"]).select("id", "n_links", "component_id")
+    alone = hashed.where(F.col("h1").isNull()).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    return made.unionAll(alone).select(
+        F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
     )
