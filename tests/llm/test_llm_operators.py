@@ -50,19 +50,34 @@ def test_edited_texts_and_fingerprints(spark):
     rows = [(i * 3, " ".join(random.choices("abcdefghij", k=random.randint(0, 40)))) for i in range(60)] + [(500, ""), (501, "é中" * 9)]
     base = docs(spark, rows)
     got = {r.doc_id: r for r in fingerprints.document_fingerprints(base).collect()}
+    def shingles(t):
+        w = WORD.findall(t)
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
     order = sorted(rows, reverse=True)
-    for (i, t), (j, n) in zip(order, order[1:] + order[:1]):
+    pairs = list(zip(order, order[1:] + order[:1]))
+    known = {x for (_, t), (_, n) in pairs for y in (t, n, t[: len(t) - len(t) // 3] + n[: len(t) // 3]) for x in shingles(y) if len(x) == 5}
+    table = spark.createDataFrame([(list(x),) for x in known], "x array<string>")
+    hashed = {tuple(r[0]): r[1] for r in table.select("x", F.xxhash64(*[F.get("x", k) for k in range(5)])).collect()}
+    for (i, t), (j, n) in pairs:
         k = len(t) // 3
         assert got[i].n_chars == len(t)
-        assert got[i].edited_sha256 == hashlib.sha256((t[: len(t) - k] + n[:k]).encode()).hexdigest()
-        assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
+        changed = t[: len(t) - k] + n[:k]
+        assert got[i].edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
+        for near, other in ((got[i].near_next, n), (got[i].near_edited, changed)):
+            a, b = shingles(t), shingles(other)
+            assert 0 <= near <= 1 and (near == 1 if a == b else near < 1 or len(a & b) > 0)
+            if all(x in hashed for x in a | b):  # the estimate is the likeness of what lies below the threshold
+                low = [{x for x in y if hashed[x] < -(2**63) + 2**64 // fingerprints.SCALED} for y in (a, b)]
+                assert near == pytest.approx(len(low[0] & low[1]) / len(low[0] | low[1]) if low[0] | low[1] else float(a == b))
     by_text = {}
     for i, t in rows:
         assert by_text.setdefault(t, got[i].fingerprint) == got[i].fingerprint
     # many small ranges give what one range gives
-    many = fingerprints.with_next(base.select("doc_id", "text"), "doc_id", ["text"], rows_each=7)
-    one = fingerprints.with_next(base.select("doc_id", "text"), "doc_id", ["text"])
-    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, one.collect()))
+    numbers = base.select(F.col("doc_id").alias("row"), F.col("doc_id").alias("id"), F.lit(1).alias("tie"), F.length("text").alias("n"))
+    many, one = fingerprints.in_order(numbers, rows_each=7), fingerprints.in_order(numbers)
+    want = sorted((i, j, len(t)) for (i, _), (j, t) in zip(order[1:] + order[:1], order))
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, one.collect())) == want
 
 
 def test_sketch_estimates_and_merges(spark):
@@ -70,13 +85,22 @@ def test_sketch_estimates_and_merges(spark):
     words = [f"w{i}" for i in range(20_000)]
     a, b = " ".join(words[:16_000]), " ".join(words[8_000:])
     df = spark.createDataFrame([(a, b, f"{a} {b}")], "a string, b string, c string")
-    s = df.select(*[fingerprints.sketch(F.col(c)).alias(c) for c in "ab"])
-    r = s.select(fingerprints.likeness(F.col("a"), F.col("b")), fingerprints.containment(F.col("a"), F.col("b")), fingerprints.merged(F.col("a"), F.col("b"))).first()
+    s = df.select(*[fingerprints.sketched(F.col(c)).alias(c) for c in "ab"])
+    x, y = F.col("a.hashes"), F.col("b.hashes")
+    r = s.select(fingerprints.likeness(F.col("a"), F.col("b")), fingerprints.containment(x, y), fingerprints.merged(x, y)).first()
     assert r[0] == pytest.approx(8 / 20, abs=0.04) and r[1] == pytest.approx(0.5, abs=0.05)
     union = df.select(fingerprints.sketch(F.col("c"))).first()[0]
     assert len(set(union) ^ set(r[2])) <= 4  # only shingles across the join differ
 
 
+def test_short_texts_are_contained_in_long_ones(spark):
+    words = [f"w{i}" for i in range(4000)]
+    spans = [(" ".join(words[i : i + 9]), " ".join(words)) for i in range(0, 3900, 60)]
+    df = spark.createDataFrame(spans, "a string, b string").select(*[fingerprints.sketch(F.col(c)).alias(c) for c in "ab"])
+    got = [r[0] for r in df.select(fingerprints.containment(F.col("a"), F.col("b"))).collect()]
+    assert set(got) <= {1.0, None} and got.count(1.0) > len(got) / 2
+
+
 # --- 2 -------------------------------------------------------------------------------------------
 
 

@@ -12,6 +12,9 @@ _INVERSE = pow(_BASE, -1, 2**64)
 _VALUE = np.random.Generator(np.random.PCG64(20260101)).integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_ODD = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -40,13 +43,16 @@ class Words:
 
     A word is a maximal run of bytes other than blank, TAB, LF, VT, FF and CR. ``offsets``
     has the number of the first word of each row, and the number of words. Null is empty.
+    ``lower``: A-Z in lower case.
     """
 
-    def __init__(self, column: pa.Array) -> None:
+    def __init__(self, column: pa.Array, lower: bool = False) -> None:
         column = column.fill_null("") if column.null_count else column
         _, bounds, data = column.buffers()
         at = np.frombuffer(bounds, np.int32)[column.offset :][: len(column) + 1].astype(np.int64)
         self.data = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and len(at) else np.zeros(0, np.uint8)
+        if lower:
+            self.data = _LOWER[self.data]
         at = at - at[0]
         # a blank between rows: the first byte of each row begins a word even without one before it
         inside = ~_BLANK[self.data]
@@ -72,3 +78,22 @@ class Words:
             h ^= h >> np.uint64(31)
             h *= np.uint64(0xD6E8FEB86659FD93)
             return h ^ (h >> np.uint64(32))
+
+
+def mix(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
+    """A hash of the pairs (a[i], b[i]); the order of a pair counts."""
+    with np.errstate(over="ignore"):
+        x = (a ^ (a >> np.uint64(29))) * _ODD[0] + (b ^ (b >> np.uint64(32))) * _ODD[1] + np.uint64(salt)
+        x ^= x >> np.uint64(32)
+        x *= _ODD[2]
+        return x ^ (x >> np.uint64(29))
+
+
+def run_hashes(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` values, by doubling: a run is two that overlap."""
+    now, length = h, 1
+    while length < size:
+        step = min(length, size - length)
+        now = mix(now[:-step], now[step:], length + step)
+        length += step
+    return now

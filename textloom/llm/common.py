@@ -92,24 +92,3 @@ def words(c: Column) -> Column:
     # trimming and splitting is several times cheaper than matching each word
     trimmed = F.btrim(F.coalesce(c, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, BLANKS))
-
-
-def range_bounds(df: DataFrame, column: str, rows_each: int = 2000, most: int = 1000) -> list[int]:
-    """Upper bounds of ranges of an integer column with about equal row counts.
-
-    ``most`` bounds what the driver holds; with more rows the ranges get larger.
-    """
-    n = df.count()
-    parts = max(1, min(most, n // rows_each))
-    if parts == 1:
-        return []
-    cuts = df.stat.approxQuantile(column, [i / parts for i in range(1, parts)], 0.2 / parts)
-    return sorted({int(c) for c in cuts})
-
-
-def range_bucket(column: Column, bounds: list[int]) -> Column:
-    """Number of the range that a value falls in: how many bounds lie below it."""
-    if not bounds:
-        return F.lit(0)
-    edges = F.array(*[F.lit(b).cast("long") for b in bounds])
-    return F.when(column.isNull(), F.lit(0)).otherwise(F.size(F.filter(edges, lambda b: b < column)))

@@ -43,35 +43,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.bytewords import Words, pieces
+from textloom.llm.bytewords import Words, mix, pieces, run_hashes
 from textloom.llm.common import bucketed, dropped, written
 
 WINDOW = 35
 KMER = 12
 #: Path places whose words are compared as one string.
 _TILE = 128
-_ODD = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
-_32 = np.uint64(32)
-_29 = np.uint64(29)
-
-
-def _mix(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
-    """A hash of the pairs (a[i], b[i]); the order of a pair counts."""
-    with np.errstate(over="ignore"):
-        x = (a ^ (a >> _29)) * _ODD[0] + (b ^ (b >> _32)) * _ODD[1] + np.uint64(salt)
-        x ^= x >> _32
-        x *= _ODD[2]
-        return x ^ (x >> _29)
-
-
-def _hashed(h: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all runs of ``size`` values, by doubling: a run is two that overlap."""
-    now, length = h, 1
-    while length < size:
-        step = min(length, size - length)
-        now = _mix(now[:-step], now[step:], length + step)
-        length += step
-    return now
 
 
 def _least_at(x: np.ndarray, size: int) -> np.ndarray:
@@ -92,8 +70,8 @@ class _Stretches:
         found = Words(text)
         hashes, self.offsets = found.hashes() >> np.uint64(64 - bits), found.offsets
         n = max(0, len(hashes) - window + 1)
-        self.windows = _hashed(hashes, window) if n else np.zeros(0, np.uint64)
-        kmers = _hashed(hashes, kmer) if n else np.zeros(0, np.uint64)
+        self.windows = run_hashes(hashes, window) if n else np.zeros(0, np.uint64)
+        kmers = run_hashes(hashes, kmer) if n else np.zeros(0, np.uint64)
         place = _least_at(kmers, window - kmer + 1) if n else np.zeros(0, np.int64)
         at = np.arange(n)
         doc = np.searchsorted(self.offsets, at, side="right") - 1
@@ -105,8 +83,8 @@ class _Stretches:
         self.doc = doc[self.begin]
         self.node = kmers[place[self.begin]].view(np.int64)
         # a node has at most window - kmer + 1 windows, so the first and the last cover the stretch
-        ends = _mix(self.windows[self.begin], self.windows[self.begin + self.count - 1], 1) if n else self.windows
-        self.edge = _mix(ends, self.count.astype(np.uint64), 2).view(np.int64)
+        ends = mix(self.windows[self.begin], self.windows[self.begin + self.count - 1], 1) if n else self.windows
+        self.edge = mix(ends, self.count.astype(np.uint64), 2).view(np.int64)
 
 
 def _nodes(batches: Iterator[pa.RecordBatch], window: int, kmer: int, bits: int) -> Iterator[pa.RecordBatch]:
