@@ -23,13 +23,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group stays; rows that repeat an id and its text are one.
-
-    Null ids can't be told apart and stay.
-    """
-    kept = simhash.simhash_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.select(*COLUMNS).dropDuplicates(["doc_id", "text"])
-    return one.join(kept, "doc_id", "left_semi").unionAll(docs.where("doc_id is null").select(*COLUMNS))
+    """The document of the smallest id of each group of near copies (five-word shingles, likeness 0.8 or more) stays."""
+    return simhash.without_near_copies(docs.select(*COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
