@@ -8,16 +8,16 @@ are dealt in ranges to shards. A shard holds its sequences back to back, little-
 so slot s is at byte (s mod per_shard) × length × width of shard s div per_shard: a
 reader resumes anywhere without an index.
 
-A first pass counts the tokens of each partition; only these counts reach the driver. The
-second pass reads the partitions anew, gives each piece of a sequence its slot, and one
-shuffle by range of slots brings the pieces together. Nothing but the pieces is
-shuffled, and no document is held whole by more than one task. Each task writes its shards under
-a temporary name and renames them, so a repeated attempt leaves the same files.
+The stream is in the order of ids, ties by a hash of the text, so slots and shards depend on the rows alone and
+not on the cluster's size or on files. A first job deals the documents into ranges of ids, encodes them,
+once, and writes their ids with each document's offset in its range. The ranges' offsets are sums
+over one number for each range. A second job gives each piece of a sequence its slot, and one
+shuffle by ranges of slots brings the pieces together; no document is held whole by more than one
+task. Each task writes its shards under a temporary name and renames them, so a repeated attempt
+leaves the same files.
 
 Defined cases: a null or empty text is an end id alone; an empty table has no sequence;
-repeated rows are documents of their own; extra columns don't matter. The order of the
-stream is that of the input's partitions, which must give the same rows when read again,
-as files do; the second pass checks it and fails if they don't.
+repeated rows are documents of their own; null ids come first; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -33,10 +33,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import shared_folder
+from textloom.llm.common import shared_folder, written
 
 LENGTH = 1024
 PER_SHARD = 4096
@@ -119,6 +119,7 @@ def _file_system(uri: str):  # noqa: ANN202
 def materialize(
     docs: DataFrame, tokenizer: BytePairs, id_col: str = "doc_id", text_col: str = "text",
     length: int = LENGTH, per_shard: int = PER_SHARD, key: int = 2026, folder: str | None = None, kind: str = "<u2",
+    rows_each: int = 100_000,
 ) -> DataFrame:
     """Writes the shards and returns their index: slot, shard, place, sequence, n_tokens, first_id, sha256.
 
@@ -138,39 +139,44 @@ def materialize(
                 part = batch.slice(start, 200)
                 yield part.column(0), shipped.value.encode_all(part.column(1).to_pylist(), kind)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(len(b) for _, ids in tokens(batches) for b in ids) // width
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64())], ["part", "n"])
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = TaskContext.get().partitionId(), 0
+        for ids, made in tokens(batches):
+            n = np.array([len(m) // width for m in made], np.int64)
+            before = at + np.cumsum(n) - n
+            at += int(n.sum())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(n), part, np.int64)), pa.array(before), pa.array(n), ids, pa.array(made, pa.binary())], ["part", "before", "n", "id", "tokens"]
+            )
 
-    counts = {r["part"]: r["n"] for r in base.mapInArrow(count, "part bigint, n bigint").collect()}
-    starts, total = {}, 0
-    for part in sorted(counts):
-        starts[part] = total
-        total += counts[part]
-    sequences = -(-total // length)
     id_kind = base.schema["id"].dataType.simpleString()
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), base.count() // rows_each)
+    in_order = base.repartitionByRange(ranges, "id").sortWithinPartitions("id", F.xxhash64("text"))
+    encoded = written(in_order.mapInArrow(encode, f"part bigint, before bigint, n bigint, id {id_kind}, tokens binary"), "tokens")
+    # one row for each range
+    sums = written(encoded.groupBy("part").agg(F.sum("n").alias("n")), "sums")
+    starts = sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))
+    total = sums.agg(F.sum("n")).first()[0] or 0
+    sequences = -(-total // length)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        at = starts.get(part, 0)
-        for ids, made in tokens(batches):
-            flat = np.frombuffer(b"".join(made), kind)
-            if not len(flat):
+        for batch in batches:
+            if not len(batch):
                 continue
-            # cut where a sequence or a document begins
-            firsts = np.cumsum([0, *(len(m) // width for m in made[:-1])])
-            cuts = np.union1d(firsts, np.arange(-at % length, len(flat), length))
-            ends = np.append(cuts[1:], len(flat))
-            sequence = (at + cuts) // length
-            doc = np.searchsorted(firsts, cuts, side="right") - 1
+            at, ids, made = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
+            bounds = np.frombuffer(made.buffers()[1], np.int32)[made.offset :][: len(made) + 1].astype(np.int64)
+            end = at + np.diff(bounds) // width
+            # the sequences that each document has a part of
+            count = (end - 1) // length - at // length + 1
+            doc = np.repeat(np.arange(len(at)), count)
+            sequence = at[doc] // length + np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+            start = np.maximum(at[doc], sequence * length)
+            cuts = np.append(bounds[doc] + (start - at[doc]) * width, bounds[-1]).astype(np.int32)
+            pieces = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(cuts.tobytes()), made.buffers()[2]])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(permuted(sequence, sequences, key)), pa.array(sequence), pa.array(((at + cuts) % length).astype(np.int32)),
-                 ids.take(pa.array(doc)), pa.array([flat[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())],
+                [pa.array(permuted(sequence, sequences, key)), pa.array(sequence), pa.array((start % length).astype(np.int32)), ids.take(pa.array(doc)), pieces],
                 ["slot", "sequence", "begin", "id", "tokens"],
-            )
-            at += len(flat)
-        if at != starts.get(part, 0) + counts.get(part, 0):
-            raise RuntimeError("the input gave other rows when read again; write it to a table first")
+            )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _file_system(folder)
@@ -223,9 +229,10 @@ def materialize(
 
     # whole shards to a task: dealt by the shard's number, ordered by slot within
     shards = max(1, -(-sequences // per_shard))
-    pieces = base.mapInArrow(deal, f"slot bigint, sequence bigint, begin int, id {id_kind}, tokens binary")
+    placed = encoded.join(starts, "part").select((F.col("start") + F.col("before")).alias("at"), "id", "tokens")
+    pieces = placed.mapInArrow(deal, f"slot bigint, sequence bigint, begin int, id {id_kind}, tokens binary")
     tasks = min(shards, 100_000)
-    # ranges of equal width are known beforehand: partitioning by range would sample, and so tokenise, once more
+    # ranges of equal width are known beforehand
     ordered = (
         pieces.withColumn("task", F.floor(F.floor(F.col("slot") / per_shard) * tasks / shards).cast("int"))
         .repartitionById(tasks, "task")
