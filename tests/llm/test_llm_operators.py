@@ -177,14 +177,37 @@ def test_urls(spark):
     assert urls.judged(df.limit(0)).count() == 0
 
 
-def test_url_model_on_held_out_rows():
-    table = [(urls.split_url(u), v) for u, v in urls.LABELLED_URLS]
-    hit = 0
+def test_url_model_on_held_out_words(tmp_path):
+    """Hosts of a fifth of the words, and the paths alone, are held out in turn."""
+    table = [(urls.split_url(u), v) for u, v in urls.labelled_urls()]
+    hit = total = 0
     for k in range(5):
-        model = urls.train([x for i, x in enumerate(table) if i % 5 != k])
-        held = [x for i, x in enumerate(table) if i % 5 == k]
+        gone = {w for words in (urls.BLOCKED_WORDS, urls.ALLOWED_WORDS) for i, w in enumerate(words) if i % 5 == k}
+        held = [(t, v) for t, v in table if any(w in t.partition("/")[0] for w in gone)]
+        model = urls.train([x for x in table if x not in held])
         hit += sum((p >= 0.5) == v for p, (_, v) in zip(model.score([t for t, _ in held]), held))
-    assert hit / len(table) >= 0.8
+        total += len(held)
+    assert hit / total >= 0.75
+    model = urls.fitted()
+    assert sum((p >= 0.5) == v for p, (_, v) in zip(model.score([t for t, _ in table]), table)) >= 0.98 * len(table)
+    path = tmp_path / "table.csv"
+    path.write_text("http://a.bad/x,1\nhttp://b.good/y,0\n")
+    assert urls.labelled_urls(str(path)) == [("http://a.bad/x", 1), ("http://b.good/y", 0)]
+    assert urls.fitted(str(path)).score(["a.bad/x"])[0] > urls.fitted(str(path)).score(["b.good/y"])[0]
+
+
+def test_url_verdicts_against_a_plain_score(spark):
+    """The model's probability, n-gram by n-gram."""
+    model, rows = urls.fitted(), ["casino.example/bonus", "library.org/books", "", "é.fr/ü"]
+    for text, got in zip(rows, model.score(rows)):
+        raw, total, n = text.encode(), 0.0, 0
+        for size in urls.SIZES:
+            for i in range(len(raw) - size + 1):
+                h = 1469598103934665603 + size
+                for b in raw[i : i + size]:
+                    h = (h ^ b) * 1099511628211 % 2**64
+                total, n = total + float(model.weights[(h ^ h >> 32) % urls.BUCKETS]), n + 1
+        assert got == pytest.approx(1 / (1 + math.exp(-(total / math.sqrt(max(1, n)) + model.bias))))
 
 
 # --- 4 -------------------------------------------------------------------------------------------

@@ -51,6 +51,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"))
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path and rule of every page's URL: the part of op3 that SQL can say too."""
+    return op3_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sampled documents' ids with cell, tokens and sampling probability, and the documents left out."""
     made = mixing.mixed(table(spark, sf_dir, "documents"), MIX, MIX_SHARE)
@@ -104,6 +109,11 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def plain_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many plain e-mail and IP addresses each text has: the part of op9 that SQL can say too."""
+    return op9_personal_data(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_phone")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     made = langid.predict(docs, langid.fit(docs))
@@ -116,11 +126,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             op1_fingerprints, op2_embedding_dedup, op3_url_filter, op4_source_mixing, op5_simhash_dedup,
             op6_substring_dedup, op7_sentencepiece, op8_training_order, op9_personal_data, op10_language_id,
+            url_rules, plain_identifiers,
         )
     }
 
 
+#: The longest rule that fits, as in ``urls.RULES``.
+_URL_SQL = r"""WITH u AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1) AS raw,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*(/[^?#]*)', 1), '') AS path FROM pages),
+    h AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM u)
+    SELECT page_id, host, path, CASE
+        WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+        WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+        WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+        WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM h"""
+
+_PLAIN_SQL = r"""WITH m AS (SELECT doc_id,
+    regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS e,
+    regexp_extract_all(coalesce(text, ''), '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+') AS i,
+    regexp_extract_all(coalesce(text, ''), '\+[0-9][ ().0-9-]+[0-9]') AS p FROM documents)
+    SELECT doc_id, len(e)::BIGINT AS n_email,
+    len(list_filter(i, lambda x: len(list_filter(string_split(x, '.'), lambda y: len(ltrim(y, '0')) > 3 OR coalesce(try_cast(right(y, 3) AS INT), 0) > 255)) = 0))::BIGINT AS n_ip,
+    len(list_filter(p, lambda x: len(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 8 AND 15))::BIGINT AS n_phone FROM m"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """None of the ten has one: each rests on hashes, models or byte work that SQL lacks, or on
-    all pairs or windows of whole tables; their tests compare with brute force instead."""
-    return {}
+    """Of the ten only op3's rules and counts of op9's plain identifiers can be said in SQL. The rest of each rests on
+    hashes, models or byte work that SQL lacks, or on all pairs or windows of whole tables; their tests
+    compare with brute force instead."""
+    return {"url_rules": _URL_SQL, "plain_identifiers": _PLAIN_SQL}

@@ -50,6 +50,8 @@ WINDOW = 35
 KMER = 12
 #: Path places whose words are compared as one string.
 _TILE = 128
+#: Bytes of text that a worker looks at together.
+_AT_ONCE = 2 << 20
 
 
 def _least_at(x: np.ndarray, size: int) -> np.ndarray:
@@ -90,7 +92,7 @@ class _Stretches:
 def _nodes(batches: Iterator[pa.RecordBatch], window: int, kmer: int, bits: int) -> Iterator[pa.RecordBatch]:
     """Every stretch. Columns: row, text."""
     for batch in batches:
-        for part in pieces(batch, 1):
+        for part in pieces(batch, 1, _AT_ONCE):
             s = _Stretches(part.column(1), window, kmer, bits)
             begin = (s.begin - s.offsets[s.doc]).astype(np.int32)
             columns = [part.column(0).take(pa.array(s.doc)), s.node, s.edge, begin, s.count.astype(np.int32)]
@@ -100,7 +102,7 @@ def _nodes(batches: Iterator[pa.RecordBatch], window: int, kmer: int, bits: int)
 def _windows(batches: Iterator[pa.RecordBatch], window: int, kmer: int, bits: int) -> Iterator[pa.RecordBatch]:
     """Every window of the wanted stretches. Columns: row, text, wanted (their begins)."""
     for batch in batches:
-        for part in pieces(batch, 1):
+        for part in pieces(batch, 1, _AT_ONCE):
             s = _Stretches(part.column(1), window, kmer, bits)
             wanted = part.column(2)
             rows = np.repeat(np.arange(len(wanted)), np.diff(wanted.offsets.to_numpy()))
@@ -116,9 +118,9 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int, kmer: int, bits: in
 
 def _laid(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """The words of each run, cut at the tiles of its path. Columns: row, text, runs."""
-    for batch in batches:
+    for part in (p for b in batches for p in pieces(b, 1, _AT_ONCE)):
         out: list[tuple[int, int, bytes]] = []
-        for text, runs in zip(batch.column(1), batch.column(2)):
+        for text, runs in zip(part.column(1), part.column(2)):
             found = text.as_py().encode().split()
             for r in runs.as_py():
                 at, begin, end = r["at"], r["begin"], r["end"] + window - 1
@@ -148,9 +150,9 @@ def _spelled(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merges the spans of each row and drops the words they cover. Columns: id, text, spans."""
-    for batch in batches:
+    for part in (p for b in batches for p in pieces(b, 1, _AT_ONCE)):
         n_words, n_removed, kept, removed = [], [], [], []
-        for text, spans in zip(batch.column(1), batch.column(2)):
+        for text, spans in zip(part.column(1), part.column(2)):
             found = text.as_py().encode().split()  # bytes are split at just the six ASCII blanks
             merged: list[dict[str, int]] = []
             for x in sorted(spans.as_py() or (), key=lambda x: (x["begin"], x["end"])):
@@ -166,7 +168,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append(b" ".join(found))
         kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(removed, kind)],
+            [part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(removed, kind)],
             ["id", "n_words", "n_removed", "kept", "removed"],
         )
 

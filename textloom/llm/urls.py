@@ -4,7 +4,7 @@ Host: what stands after the first "://" up to "/", "?", "#" or the end, with A-Z
 Path: what follows, up to "?", "#" or the end. A rule names a host and the start of a path, fits the
 host and its subdomains, and the longest fitting rule decides. Where none fits, a logistic
 regression over hashed character n-grams of host and path decides; it is trained from a
-small labelled table of URLs.
+small labelled table of URLs (``labelled_urls``), which may be a file.
 
 Defined cases: a null URL or one without "://" has empty host and path, no rule, and the
 model's verdict on an empty URL, which rests on its bias. Rows are independent.
@@ -12,6 +12,7 @@ model's verdict on an empty URL, which rests on its bias. Rows are independent.
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -26,33 +27,34 @@ RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 16
 
-# A small labelled table. Label 1: block.
-LABELLED_URLS: tuple[tuple[str, int], ...] = (
-    *((u, 1) for u in (
-        "http://casino-bonus.example/slots/free-spins", "https://best-casino.example/poker/win", "http://bet365-odds.example/bet/live",
-        "https://free-slots.example/casino/bonus", "http://pills-cheap.example/buy/viagra", "https://pharma-discount.example/pills/order",
-        "http://cheap-meds.example/buy/cialis", "https://xxx-videos.example/porn/1234", "http://hot-cams.example/xxx/live",
-        "https://adult-dating.example/sex/chat", "http://porn-tube.example/watch/99", "https://free-porn.example/xxx/hd",
-        "http://click-ads.example/track?id=1", "https://ads.tracker.example/banner/click", "http://adserver.example/ads/popup.html",
-        "https://track.click.example/redirect/ad", "http://warez-crack.example/download/keygen", "https://torrent-free.example/crack/serial",
-        "http://keygen-crack.example/warez/full", "https://win-prize.example/lottery/claim", "http://free-money.example/loan/fast",
-        "https://payday-loan.example/fast/cash", "http://crypto-double.example/bonus/claim", "https://hacked-accounts.example/free/download",
-        "http://replica-watches.example/cheap/buy", "https://seo-spam.example/links/cheap", "http://spam-links.example/seo/buy",
-        "https://login-verify.example/account/secure/update", "http://paypa1-secure.example/login/verify", "https://bonus-slots.example/win/big",
-    )),
-    *((u, 0) for u in (
-        "https://www.university.example/research/papers/12", "https://en.encyclopedia.example/wiki/History", "http://news.daily.example/en/2021/05/article.html",
-        "https://blog.engineer.example/posts/how-to-sort", "https://docs.project.example/manual/install", "http://library.city.example/catalogue/books",
-        "https://www.museum.example/exhibits/art", "https://school.example/courses/math/lesson-1", "http://weather.example/forecast/today",
-        "https://forum.garden.example/topic/1234/roses", "https://recipes.kitchen.example/en/bread", "http://www.journal.example/articles/2019/physics",
-        "https://shop.books.example/en/novels/5512", "https://www.government.example/services/forms", "http://travel.guide.example/fr/paris",
-        "https://sports.news.example/de/football/2020", "https://www.hospital.example/health/advice", "http://science.example/news/space",
-        "https://community.example/questions/7788", "https://m.news.example/en/28771/", "http://blog.travel.example/es/12345",
-        "https://www.company.example/about/team", "http://photos.nature.example/en/birds", "https://code.project.example/repo/readme",
-        "https://podcast.example/episodes/44", "http://music.school.example/lessons/piano", "https://archive.example/texts/1910",
-        "https://www.example.org/de/39547.html", "http://www.example.com/fr/2024", "https://m.example.org/es/7198",
-    )),
-)
+# Words of hosts and paths that are to be blocked, and of others.
+BLOCKED_WORDS = (
+    "casino slots poker bet jackpot roulette viagra cialis pills pharma meds xxx porn adult cams sex escort adserver banner popup clicktrack "
+    "warez keygen crack torrent nulled lottery prize payday loan forex bitcoin-double replica spam seo-links verify-login hacked free-money"
+).split()
+ALLOWED_WORDS = (
+    "university research encyclopedia news blog docs library museum school weather forum recipes journal books government travel sports hospital science "
+    "community photos code podcast music archive company health garden history physics manual city maps theatre nature kitchen language"
+).split()
+BLOCKED_PATHS = ("bonus/win", "free/spins", "buy/cheap", "order/now", "watch/hd", "live/chat", "track?id=", "download/full", "claim/now", "account/verify")
+ALLOWED_PATHS = ("articles/2019", "wiki/main", "posts/how-to", "about/team", "catalogue/items", "courses/lesson", "topics/roses", "texts/1910", "exhibits/art", "en/page")
+ENDINGS = ("com", "org", "net", "info", "io", "de", "fr", "example")
+
+
+def labelled_urls(path: str | None = None) -> list[tuple[str, int]]:
+    """The small labelled table, label 1 for block: (url, label) lines of a CSV file that ``path`` names, or else one
+    made by rule: each word as a host in four shapes, with an ending and a path that follow its place in the list."""
+    if path:
+        with open(path, encoding="utf-8", newline="") as f:
+            return [(r[0], int(r[1])) for r in csv.reader(f) if len(r) > 1 and r[1] in ("0", "1")]
+    out = []
+    for words, paths, label in ((BLOCKED_WORDS, BLOCKED_PATHS, 1), (ALLOWED_WORDS, ALLOWED_PATHS, 0)):
+        for i, word in enumerate(words):
+            for k, host in enumerate((word, f"www.{word}", f"{word}-{words[(i + 7) % len(words)]}", f"m.{words[(i + 3) % len(words)]}{word}")):
+                scheme = ("http", "https")[(i + k) % 2]
+                out.append((f"{scheme}://{host}.{ENDINGS[(i + 3 * k) % len(ENDINGS)]}/{paths[(i + k) % len(paths)]}{i}", label))
+                out.append((f"{scheme}://{host}.{ENDINGS[(i + 5 * k + 1) % len(ENDINGS)]}/{i * 37 + k}.html", label))
+    return out
 
 
 def host_of(url: Column) -> Column:
@@ -109,8 +111,8 @@ class UrlModel:
         return 1 / (1 + np.exp(-(total / norm + self.bias)))
 
 
-def train(labelled: Sequence[tuple[str, int]] = LABELLED_URLS, buckets: int = BUCKETS, steps: int = 400, rate: float = 1.0, decay: float = 1e-3) -> UrlModel:
-    """Logistic regression by gradient descent on (host and path, label) of a small table."""
+def train(labelled: Sequence[tuple[str, int]], buckets: int = BUCKETS, steps: int = 400, rate: float = 1.0, decay: float = 1e-3) -> UrlModel:
+    """Logistic regression by gradient descent on (host and path, label) of a small table. No row: everything is even."""
     texts, y = [t for t, _ in labelled], np.array([v for _, v in labelled], float)
     rows, found = _features(texts, buckets)
     scale = 1 / np.sqrt(np.maximum(1, np.bincount(rows, minlength=len(texts))))
@@ -132,11 +134,16 @@ def split_url(url: str) -> str:
     return host.lower() + slash + path
 
 
+def fitted(path: str | None = None) -> UrlModel:
+    """The model of the labelled table."""
+    return train([(split_url(u), v) for u, v in labelled_urls(path)])
+
+
 def judged(
     pages: DataFrame, model: UrlModel | None = None, rules: Sequence[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url"
 ) -> DataFrame:
     """(id, host, path, rule, verdict, score) of every URL; score is the model's probability of block."""
-    model = model or train([(split_url(u), v) for u, v in LABELLED_URLS])
+    model = model or fitted()
     url = F.col(url_col)
     base = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
 
