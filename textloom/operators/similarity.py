@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from textloom.functions.text import checksum, normalized
 from textloom.operators.relations import ratio
+from textloom.tables import written
 
 
 def unit_tfidf(matrix: DataFrame, n_units: int) -> DataFrame:
@@ -24,25 +25,51 @@ def unit_tfidf(matrix: DataFrame, n_units: int) -> DataFrame:
     return raw.join(norm, "unit_id").select("unit_id", "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+def _candidates(prefixes: DataFrame) -> DataFrame:
+    """(i, j) of units that share a term of ``prefixes`` (unit_id, term, size); i < j. Sizes may differ as the caller allows."""
+    a = prefixes.select(F.col("unit_id").alias("i"), "term", F.col("least").alias("li"), F.col("size").alias("ni"))
+    b = prefixes.select(F.col("unit_id").alias("j"), "term", F.col("least").alias("lj"), F.col("size").alias("nj"))
+    return a.join(b, "term").where((F.col("i") < F.col("j")) & (F.col("ni") >= F.col("lj")) & (F.col("nj") >= F.col("li"))).select("i", "j").distinct()
+
+
 def pairwise(weights: DataFrame, min_score: float, top_k: int | None = None) -> DataFrame:
-    """(i, j, score) of units that share a term, by dot product; i < j, by (-score, i, j).
+    """(i, j, score) of units by dot product of vectors of length one; i < j, by (-score, i, j).
 
-    Terms are the join key, so pairs that share nothing are never made.
+    Exact, by prefix filtering: of each unit the commonest terms whose weights have together a length below
+    ``min_score`` can't make a pair by themselves, so only the rarer ones are joined to find pairs. Then all
+    terms of these pairs are.
     """
+    weights = written(weights, "weights")  # read four times
+    common = weights.groupBy("term").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("unit_id").orderBy(F.desc("df"), F.desc("term"))
+    tail = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(order))
+    rare = weights.join(common, "term").withColumn("tail", tail).where(F.col("tail") >= min_score - 1e-9)
+    pairs = _candidates(rare.select("unit_id", "term", F.lit(0).alias("least"), F.lit(0).alias("size")))
     a = weights.select(F.col("unit_id").alias("i"), "term", F.col("weight").alias("wa"))
     b = weights.select(F.col("unit_id").alias("j"), "term", F.col("weight").alias("wb"))
-    scores = a.join(b, "term").where("i < j").groupBy("i", "j").agg(F.sum(F.col("wa") * F.col("wb")).alias("score")).where(F.col("score") >= min_score)
+    scores = pairs.join(a, "i").join(b, ["j", "term"]).groupBy("i", "j").agg(F.sum(F.col("wa") * F.col("wb")).alias("score")).where(F.col("score") >= min_score)
     return scores.orderBy(F.desc("score"), "i", "j").limit(top_k) if top_k else scores
 
 
-def jaccard_pairs(matrix: DataFrame, min_score: float) -> DataFrame:
-    """(i, j, score) of units that share a term, by the Jaccard index of their term sets."""
-    sized = matrix.withColumn("n", F.count("*").over(Window.partitionBy("unit_id"))).select("unit_id", "term", "n")
-    a = sized.select(F.col("unit_id").alias("i"), "term", F.col("n").alias("ni"))
-    b = sized.select(F.col("unit_id").alias("j"), "term", F.col("n").alias("nj"))
-    # sets whose sizes differ by more than the threshold allows can't reach it
-    fits = (F.col("i") < F.col("j")) & (F.least("ni", "nj") >= min_score * F.greatest("ni", "nj"))
-    shared = a.join(b, "term").where(fits).groupBy("i", "j", "ni", "nj").agg(F.count("*").alias("both"))
+def jaccard_pairs(matrix: DataFrame, min_score: float, counted: bool = False) -> DataFrame:
+    """(i, j, score) of units by the Jaccard index of their terms; i < j. ``counted``: of multisets, by ``count``.
+
+    Exact, by prefix filtering: two sets can reach the score only if they share one of the rarest
+    size - ⌈score · size⌉ + 1 terms of each, and if their sizes are near enough. Only these terms are
+    joined to find pairs; then all terms of these pairs are.
+    """
+    one = F.col("count") if counted else F.lit(1)
+    sized = matrix.select("unit_id", "term", one.cast("long").alias("count")).withColumn("size", F.sum("count").over(Window.partitionBy("unit_id")))
+    sized = written(sized, "sized")  # read three times
+    common = sized.groupBy("term").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("unit_id").orderBy("df", "term")
+    before = F.sum("count").over(order) - F.col("count")
+    least = F.ceil(F.col("size") * min_score - 1e-9)
+    rare = sized.join(common, "term").withColumn("before", before).withColumn("least", least).where(F.col("before") < F.col("size") - F.col("least") + 1)
+    pairs = _candidates(rare.select("unit_id", "term", "least", "size"))
+    a = sized.select(F.col("unit_id").alias("i"), "term", F.col("count").alias("ca"), F.col("size").alias("ni"))
+    b = sized.select(F.col("unit_id").alias("j"), "term", F.col("count").alias("cb"), F.col("size").alias("nj"))
+    shared = pairs.join(a, "i").join(b, ["j", "term"]).groupBy("i", "j", "ni", "nj").agg(F.sum(F.least("ca", "cb")).alias("both"))
     return shared.select("i", "j", (F.col("both") / (F.col("ni") + F.col("nj") - F.col("both"))).alias("score")).where(F.col("score") >= min_score)
 
 
@@ -92,33 +119,38 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def checksum_groups(units: DataFrame, unit: str = "doc_id", text: str = "text", normal: bool = False) -> DataFrame:
-    """(key, ids, count): groups of two or more units with the same checksum, of the text or its normal form."""
+    """(key, first, unit_id, count): one row for each unit whose checksum, of the text or its normal form, another has.
+
+    ``first`` is the least unit of the group, which stands for it; so a group of any size is spread over rows.
+    """
     key = checksum(normalized(F.col(text)) if normal else F.col(text))
-    return units.groupBy(key.alias("key")).agg(F.sort_array(F.collect_list(unit)).alias("ids"), F.count("*").alias("count")).where("count >= 2")
+    keyed = units.select(F.col(unit).alias("unit_id"), key.alias("key"))
+    groups = keyed.groupBy("key").agg(F.min("unit_id").alias("first"), F.count("*").alias("count")).where("count >= 2")
+    return keyed.join(groups, "key").select("key", "first", "unit_id", "count")
 
 
 def gram_counts(units: DataFrame, n: int = 5, unit: str = "doc_id", text: str = "text") -> DataFrame:
-    """(unit_id, gram, count, total): character n-grams of the normal form; a shorter text is one gram."""
-    t = normalized(F.col(text))
-    last = F.length("t") - n + 1
-    grams = F.when(F.col("t") == "", F.array().cast("array<string>")).when(last < 1, F.array("t")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(F.col("t"), i, F.lit(n)))
-    )
-    made = units.select(F.col(unit).alias("unit_id"), t.alias("t")).select("unit_id", grams.alias("g")).withColumn("total", F.size("g"))
-    return made.select("unit_id", "total", F.explode("g").alias("gram")).groupBy("unit_id", "total", "gram").agg(F.count("*").alias("count"))
+    """(unit_id, term, count): character n-grams of the normal form; a shorter text is one gram, an empty one has none."""
 
+    def grams(t: Column) -> Column:
+        # one pass of a look-ahead finds the grams of every place; substring would walk from the start for each
+        many = F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+        return F.when(t == "", F.array().cast("array<string>")).when(F.length(t) < n, F.array(t)).otherwise(many)
 
-def lexical_pairs(counts: DataFrame, candidates: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(i, j, score): multiset Jaccard of character n-grams at or over the threshold, rounded to four.
+    # a one-element transform binds the normal form, which would else be made anew for each gram
+    made = F.element_at(F.transform(F.array(normalized(F.col(text))), grams), 1)
+    return units.select(F.col(unit).alias("unit_id"), F.explode_outer(made).alias("term")).where("term IS NOT NULL").groupBy("unit_id", "term").agg(F.count("*").alias("count"))
 
-    Only ``candidates`` (i, j) are compared, such as those of fine MinHash bands: comparing all pairs
-    over common grams grows with the square of the units.
+
+def lexical_pairs(units: DataFrame, threshold: float = 0.85, unit: str = "doc_id", text: str = "text") -> DataFrame:
+    """(i, j, score) by the multiset Jaccard index of character 5-grams, at or over the threshold, rounded to four.
+
+    Units of equal normal form are one, named by the least of them (``checksum_groups`` has the others);
+    the pairs of different texts are complete.
     """
-    one = counts.select(F.col("unit_id").alias("i"), F.col("total").alias("ni"), "gram", F.col("count").alias("ci"))
-    two = counts.select(F.col("unit_id").alias("j"), F.col("total").alias("nj"), "gram", F.col("count").alias("cj"))
-    both = candidates.join(one, "i").join(two, ["j", "gram"]).groupBy("i", "j", "ni", "nj").agg(F.sum(F.least("ci", "cj")).alias("shared"))
-    score = F.col("shared") / (F.col("ni") + F.col("nj") - F.col("shared"))
-    return both.withColumn("score", score).where(F.col("score") >= threshold).select("i", "j", F.round("score", 4).alias("score"))
+    firsts = units.groupBy(checksum(normalized(F.col(text))).alias("key")).agg(F.min(F.struct(F.col(unit).alias("u"), F.col(text).alias("t"))).alias("one"))
+    counts = gram_counts(firsts.select("one.u", "one.t"), unit="u", text="t")
+    return jaccard_pairs(counts, threshold, counted=True).select("i", "j", F.round("score", 4).alias("score"))
 
 
 _PRIME = (1 << 61) - 1
@@ -174,11 +206,21 @@ def minhash(num_perm: int = 64, shingle: int = 3, seed: int = 1):  # noqa: ANN20
     return signature
 
 
+def signature_classes(signatures: DataFrame) -> DataFrame:
+    """(unit_id, first, signature): first is the least unit of the same signature, which stands for all of them."""
+    firsts = signatures.groupBy("signature").agg(F.min("unit_id").alias("first"))
+    return signatures.join(firsts, "signature").select("unit_id", "first", "signature")
+
+
 def lsh_candidates(signatures: DataFrame, bands: int = 16) -> DataFrame:
-    """(i, j): units whose signatures agree in a whole band; i < j."""
+    """(i, j): units whose signatures agree in a whole band but not in all; i < j.
+
+    Units of equal signature are one, named by the least of them; ``signature_classes`` has the others.
+    """
     rows = F.size("signature") / bands
-    cut = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.struct(k.alias("band"), F.slice("signature", (k * rows).cast("int") + 1, rows.cast("int")).alias("key")))
-    keyed = signatures.select("unit_id", F.explode(cut).alias("c")).select("unit_id", "c.band", "c.key")
+    cut = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.struct(k.alias("band"), F.xxhash64(F.slice("signature", (k * rows).cast("int") + 1, rows.cast("int"))).alias("key")))
+    distinct = signatures.groupBy("signature").agg(F.min("unit_id").alias("unit_id"))
+    keyed = distinct.select("unit_id", F.explode(cut).alias("c")).select("unit_id", "c.band", "c.key")
     a, b = keyed.withColumnRenamed("unit_id", "i"), keyed.withColumnRenamed("unit_id", "j")
     return a.join(b, ["band", "key"]).where("i < j").select("i", "j").distinct()
 

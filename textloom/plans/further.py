@@ -32,10 +32,10 @@ def _also(name: str, of: str) -> None:
 
 for _name, _of in {
     "token_estimate": "token_estimates", "join_window_pairs": "col_pairs", "join_lsh_candidates": "dup_lsh", "join_span_overlap": "dict_exclusions",
-    "join_inverted_index": "sim_jaccard_pairwise", "key_bh": "win_bh", "win_topk_heap": "sim_query", "kwic_hit": "kwic_word", "ms_agreement": "ms_compare",
+    "join_inverted_index": "sim_jaccard_pairwise", "win_topk_heap": "sim_query", "kwic_hit": "kwic_word", "ms_agreement": "ms_compare",
     "set_added_removed": "dr_terms", "dr_service": "dr_labels", "al_assign": "win_al_queue", "rt_exact_topk": "rt_dense", "rt_rank_metrics_alt": "win_rank_metrics",
     "vec_word_count": "agg_dfm", "rel_service": "rel_alpha", "join_parent_child": "rt_parent", "ev_predict": "ml_fit_eval", "clu_run": "clu_kmeans", "st_dispatch": "st_ols",
-    "qa_near_dups": "dup_lexical", "tok_batched": "tok_unicode", "sink_units_csv": "scan_units", "sink_sparse_matrix": "agg_dfm",
+    "tok_batched": "tok_unicode", "sink_units_csv": "scan_units", "sink_sparse_matrix": "agg_dfm",
 }.items():
     _also(_name, _of)
 

@@ -91,27 +91,42 @@ def sim_embedding_pairwise(spark, d):
     return rounded(made.where("score >= 0.2500001"))
 
 
-@query("SELECT sha256(text) AS key, list_sort(list(doc_id)) AS ids, count(*) AS count FROM documents GROUP BY 1 HAVING count(*) >= 2")
-def dup_exact(spark, d):
-    return sm.checksum_groups(docs(spark, d))
+def _groups_sql(key):
+    return f"""WITH k AS (SELECT doc_id AS unit_id, {key} AS key FROM documents)
+    SELECT key, min(unit_id) OVER w AS first, unit_id, count(*) OVER w AS count FROM k WINDOW w AS (PARTITION BY key) QUALIFY count(*) OVER w >= 2"""
 
 
 _NORM = r"lower(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'))"
 
 
-@query(f"SELECT sha256({_NORM}) AS key, list_sort(list(doc_id)) AS ids, count(*) AS count FROM documents GROUP BY 1 HAVING count(*) >= 2")
+@query(_groups_sql("sha256(text)"))
+def dup_exact(spark, d):
+    return sm.checksum_groups(docs(spark, d))
+
+
+@query(_groups_sql(f"sha256({_NORM})"))
 def dup_normalized(spark, d):
     return sm.checksum_groups(docs(spark, d), normal=True)
 
 
-@query()
+def _lexical_sql(threshold):
+    """All pairs of different normal forms whose sizes allow the score."""
+    return f""", one AS (SELECT {_NORM} AS t, min(doc_id) AS u FROM documents GROUP BY 1),
+    g AS (SELECT u, unnest(CASE WHEN t = '' THEN [] WHEN len(t) < 5 THEN [t] ELSE list_transform(range(1, len(t) - 3), lambda i: t[i : i + 4]) END) AS g FROM one),
+    c AS (SELECT u, g, count(*) AS c FROM g GROUP BY u, g), n AS (SELECT u, sum(c) AS n FROM c GROUP BY u), s AS (SELECT * FROM c JOIN n USING (u)),
+    p AS (SELECT a.u AS i, b.u AS j, sum(least(a.c, b.c)) AS sh, any_value(a.n) AS ni, any_value(b.n) AS nj FROM s a JOIN s b
+      ON a.g = b.g AND a.u < b.u AND a.n >= {threshold} * b.n AND b.n >= {threshold} * a.n GROUP BY a.u, b.u),
+    lexical AS (SELECT i, j, round(sh / (ni + nj - sh), 4) AS score FROM p WHERE sh / (ni + nj - sh) >= {threshold})"""
+
+
+@query("WITH " + _lexical_sql(0.85).lstrip(", ") + " SELECT * FROM lexical")
 def dup_lexical(spark, d):
-    """Exact scores of the pairs that fine MinHash bands find; tested against all pairs."""
-    return _lexical(spark, d)
+    return sm.lexical_pairs(docs(spark, d))
 
 
-def _lexical(spark, d):
-    return sm.lexical_pairs(sm.gram_counts(docs(spark, d)), sm.lsh_candidates(_signatures(spark, d), 32))
+@query("WITH " + _lexical_sql(0.92).lstrip(", ") + " SELECT * FROM lexical")
+def qa_near_dups(spark, d):
+    return sm.lexical_pairs(docs(spark, d), 0.92)
 
 
 def _signatures(spark, d):
@@ -134,20 +149,22 @@ def dup_estimate(spark, d):
     return sm.estimated(sm.lsh_candidates(s), s)
 
 
-def _exact_pairs(groups):
-    made = groups.select(F.explode(F.slice("ids", 2, 1 << 30)).alias("j"), F.element_at("ids", 1).alias("i"))
-    return made.select("i", "j", F.lit(1.0).alias("score"))
+def _stars(groups):
+    """The first unit of each group with each other one."""
+    return groups.where("unit_id <> first").select(F.col("first").alias("i"), F.col("unit_id").alias("j"), F.lit(1.0).alias("score"))
 
 
-@query()
+@query(
+    "WITH " + _lexical_sql(0.85).lstrip(", ") + f""", e AS ({_groups_sql("sha256(text)")}), m AS ({_groups_sql(f"sha256({_NORM})")})
+    SELECT first AS i, unit_id AS j, 1.0::DOUBLE AS score, 'exact' AS method FROM e WHERE first <> unit_id
+    UNION ALL SELECT first, unit_id, 1.0, 'normalized' FROM m WHERE first <> unit_id UNION ALL SELECT i, j, score, 'lexical' FROM lexical"""
+)
 def dup_report(spark, d):
-    """Each tier's pairs; a group of equal texts is a star at its first unit."""
+    """The pairs of the three tiers that a report has unless others are asked for; a group of equal texts is a star at its first unit."""
     one = docs(spark, d)
-    s = _signatures(spark, d)
     return sm.combined(
-        ("exact", _exact_pairs(sm.checksum_groups(one))), ("normalized", _exact_pairs(sm.checksum_groups(one, normal=True))),
-        ("lexical", _lexical(spark, d)), ("minhash", sm.estimated(sm.lsh_candidates(s), s)),
-    )
+        ("exact", _stars(sm.checksum_groups(one))), ("normalized", _stars(sm.checksum_groups(one, normal=True))), ("lexical", sm.lexical_pairs(one))
+    )
 
 
 @query()
