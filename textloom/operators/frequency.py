@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import ngrams, syllables
-from textloom.operators.relations import ratio, token_rel
+from textloom.operators.relations import ratio, running, token_rel
+from textloom.tables import written
 
 
 def corpus_stats(prep: DataFrame) -> DataFrame:
@@ -69,21 +70,21 @@ def unit_msttr(prep: DataFrame, window: int = 50) -> DataFrame:
 def frequencies(rel: DataFrame, n_units: Column | int, key: str = "term", rate_per: int = 1000) -> DataFrame:
     """Counts, rates, unit frequencies, rank by (-count, term) and running share of every term.
 
-    The rank needs one order over the vocabulary, which is small beside the tokens.
+    The vocabulary is ranked in ranges, so that no task holds all of it.
     """
     counts = rel.groupBy(key).agg(F.count("*").alias("raw_count"), F.countDistinct("unit_id").alias("document_frequency"))
     return ranked(counts, n_units, key, rate_per)
 
 
 def ranked(counts: DataFrame, n_units: Column | int, key: str, rate_per: int) -> DataFrame:
+    counts = written(counts, "counts")
     total = counts.agg(F.sum("raw_count").alias("total"))
-    order = Window.orderBy(F.desc("raw_count"), key)
     share = F.col("raw_count") / F.col("total")
     units = n_units if isinstance(n_units, Column) else F.lit(n_units)
-    return counts.crossJoin(F.broadcast(total)).select(  # one row
+    placed = running(counts, [F.desc("raw_count"), F.col(key)], {"rank": F.lit(1), "run": F.col("raw_count")})
+    return placed.crossJoin(F.broadcast(total)).select(  # one row
         key, "raw_count", share.alias("relative_frequency"), (share * rate_per).alias("rate"), "document_frequency",
-        ratio(F.col("document_frequency"), units).alias("document_prevalence"), F.row_number().over(order).alias("rank"),
-        (F.sum("raw_count").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.col("total")).alias("cumulative_share"),
+        ratio(F.col("document_frequency"), units).alias("document_prevalence"), "rank", (F.col("run") / F.col("total")).alias("cumulative_share"),
     )
 
 
@@ -143,6 +144,7 @@ def weighted(matrix: DataFrame, scheme: str, n_units: int, smooth: bool = True,
     if scheme in ("count", "binary", "log_count"):
         weight = {"count": c.cast("double"), "binary": F.lit(1.0), "log_count": F.log1p(c)}[scheme]
         return matrix.select("unit_id", "term", weight.alias("weight"))
+    matrix = written(matrix, "matrix")  # read by each of the sums below
     if scheme == "tf":
         length = matrix.groupBy("unit_id").agg(F.sum("count").alias("length"))
         return matrix.join(length, "unit_id").select("unit_id", "term", (c / F.col("length")).alias("weight"))

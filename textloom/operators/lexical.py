@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.operators.relations import ratio
+from textloom.operators.relations import ratio, running
+from textloom.tables import written
 
 
 # --- keyness ---------------------------------------------------------------------------------
@@ -89,19 +90,17 @@ def with_effects(counts: DataFrame) -> DataFrame:
 def benjamini_hochberg(tests: DataFrame, p: str = "p", out: str = "q", *tie: str) -> DataFrame:
     """Adds step-up adjusted p-values over all tests; null p-values stay null and don't count.
 
-    The running minimum needs one order over the tests, which are one row a term.
+    Ranks and the running minimum are taken in ranges of the tests, so that no task holds all of them.
     """
     some = F.col(p).isNotNull()
+    tests = written(tests, "tests")
     every = tests.where(some).agg(F.count("*").alias("_m"))  # one row
-    up = Window.orderBy(F.col(p).asc(), *tie)
     made = (
-        tests.where(some)
+        running(tests.where(some), [F.col(p).asc(), *[F.col(t) for t in tie]], {"_rank": F.lit(1)})
         .crossJoin(F.broadcast(every))
-        .withColumn("_rank", F.row_number().over(up))
         .withColumn("_raw", F.col(p) * F.col("_m") / F.col("_rank"))
     )
-    down = Window.orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0)
-    made = made.withColumn(out, F.least(F.lit(1.0), F.min("_raw").over(down))).drop("_m", "_rank", "_raw")
+    made = running(made, [F.desc("_rank")], {out: F.col("_raw")}, F.min).withColumn(out, F.least(F.lit(1.0), F.col(out))).drop("_m", "_rank", "_raw")
     return made.unionByName(tests.where(~some).withColumn(out, F.lit(None).cast("double")))
 
 
@@ -123,17 +122,17 @@ def keyness(rel_a: DataFrame, rel_b: DataFrame, method: str = "log_likelihood",
 # --- collocation -----------------------------------------------------------------------------
 
 
-def window_pairs(prep: DataFrame, window: int = 5, directional: bool = False) -> DataFrame:
-    """(term_a, term_b): each token with the next ``window`` tokens; equal terms don't pair.
+def window_pairs(prep: DataFrame, window: int = 5, directional: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+    """(term_a, term_b, ...): each token with the next ``window`` tokens; equal terms don't pair.
 
     Pairs are made within each unit's array, so that no position join is shuffled.
     """
     toks = F.col("tokens")
     ahead = F.transform(toks, lambda t, i: F.struct(t.alias("a"), F.slice(toks, i + 2, F.lit(window)).alias("next")))
-    pairs = prep.select(F.explode(ahead).alias("x")).select(F.col("x.a").alias("a"), F.explode("x.next").alias("b")).where("a <> b")
+    pairs = prep.select(*carry, F.explode(ahead).alias("x")).select(*carry, F.col("x.a").alias("a"), F.explode("x.next").alias("b")).where("a <> b")
     if directional:
-        return pairs.select(F.col("a").alias("term_a"), F.col("b").alias("term_b"))
-    return pairs.select(F.least("a", "b").alias("term_a"), F.greatest("a", "b").alias("term_b"))
+        return pairs.select(F.col("a").alias("term_a"), F.col("b").alias("term_b"), *carry)
+    return pairs.select(F.least("a", "b").alias("term_a"), F.greatest("a", "b").alias("term_b"), *carry)
 
 
 def collocations(

@@ -13,7 +13,7 @@ from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.operators.relations import ratio
+from textloom.operators.relations import ratio, running
 
 # --- splits ----------------------------------------------------------------------------------
 
@@ -134,7 +134,8 @@ def binary_metrics(rows: DataFrame, truth: str = "truth", predicted: str = "pred
 def probability_metrics(rows: DataFrame, truth: str = "truth", score: str = "score") -> DataFrame:
     """One row: ROC AUC by average ranks, log loss, Brier score. The ranks come from counts by score."""
     by = rows.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    by = running(by, [F.col("s")], {"upto": F.col("neg")})
+    below = F.col("upto") - F.col("neg")
     auc = by.select(((F.col("pos") * (below + F.col("neg") / 2))).alias("w"), "pos", "neg").agg(ratio(F.sum("w"), F.sum("pos") * F.sum("neg")).alias("roc_auc"))
     p = F.least(F.greatest(F.col(score), F.lit(1e-15)), F.lit(1 - 1e-15))
     y = F.col(truth).cast("double")
@@ -289,20 +290,22 @@ def score_drift(baseline: DataFrame, current: DataFrame, score: str = "score") -
     """One row: two-sample Kolmogorov-Smirnov statistic and sizes. Scores are first counted by value."""
     tagged = baseline.select(F.col(score).alias("s"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionAll(current.select(F.col(score).alias("s"), F.lit(0).alias("a"), F.lit(1).alias("b")))
     by = tagged.groupBy("s").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    by = running(by, [F.col("s")], {"ra": F.col("a"), "rb": F.col("b")})
     total = by.agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))  # one row
-    run = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
-    gap = F.abs(F.sum("a").over(run) / F.col("ta") - F.sum("b").over(run) / F.col("tb"))
+    gap = F.abs(F.col("ra") / F.col("ta") - F.col("rb") / F.col("tb"))
     return by.crossJoin(F.broadcast(total)).withColumn("gap", gap).agg(F.max("gap").alias("ks"), F.first("ta").alias("n_baseline"), F.first("tb").alias("n_current"))
 
 
-def term_drift(baseline: DataFrame, current: DataFrame) -> DataFrame:
-    """One row: Jaccard index of two term lists, and the sorted terms added and removed."""
+def term_changes(baseline: DataFrame, current: DataFrame) -> DataFrame:
+    """(term, change): which terms of two lists stay, were added or removed, one row each."""
     both = baseline.select("term", F.lit(1).alias("a")).join(current.select("term", F.lit(1).alias("b")), "term", "full_outer")
-    shared = F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull())
-    return both.agg(
-        ratio(shared.cast("double"), F.count("*")).alias("jaccard"), F.sort_array(F.collect_list(F.when(F.col("a").isNull(), F.col("term")))).alias("added"),
-        F.sort_array(F.collect_list(F.when(F.col("b").isNull(), F.col("term")))).alias("removed"),
-    )
+    return both.select("term", F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").otherwise("kept").alias("change"))
+
+
+def term_drift(baseline: DataFrame, current: DataFrame) -> DataFrame:
+    """One row: Jaccard index of two term lists, and how many terms were added and removed (``term_changes`` has them)."""
+    count = lambda kind: F.count_if(F.col("change") == kind)
+    return term_changes(baseline, current).agg(ratio(count("kept").cast("double"), F.count("*")).alias("jaccard"), count("added").alias("added"), count("removed").alias("removed"))
 
 
 def drift_level(bands: Mapping[str, tuple[float, float]]) -> Column:

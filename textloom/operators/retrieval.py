@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,14 +15,56 @@ from textloom.operators.relations import ratio
 from textloom.operators.similarity import cosine
 
 
-def dense(chunks: DataFrame, queries: DataFrame, top_k: int, threshold: float = 0.0) -> DataFrame:
-    """(query_id, chunk_id, score, rank): the nearest chunks by cosine at or over the threshold.
+#: Two levels of digests, as ``digests`` takes them.
+DIGEST_SQL = """WITH l AS (SELECT lang, doc_id // 1000 AS k, doc_id, {line} AS line FROM documents),
+    b AS (SELECT lang, k, sha256(string_agg(line, ',' ORDER BY doc_id, line)) AS h FROM l GROUP BY lang, k)
+    SELECT lang, sha256(string_agg(h, ',' ORDER BY k)) AS {out} FROM b GROUP BY lang"""
 
-    ``queries`` is a stated set; each is compared with all chunks, and each task keeps top_k only.
+
+def digests(rows: DataFrame, group: str, key: str, line: Column, out: str, each: int = 1000) -> DataFrame:
+    """(group, out): one digest of all of a group's lines in order of an integer key.
+
+    Lines are hashed in runs of ``each`` keys first, so that what meets in one row is a run's lines, or one digest for each run.
+    """
+    lined = rows.select(group, F.floor(F.col(key) / each).alias("k"), F.struct(F.col(key).alias("key"), line.alias("line")).alias("x"))
+    joined = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda v: v["line"]), ","), 256)
+    runs = lined.groupBy(group, "k").agg(joined("x").alias("h"))
+    return runs.select(group, F.struct(F.col("k").alias("key"), F.col("h").alias("line")).alias("x")).groupBy(group).agg(joined("x").alias(out))
+
+
+def dense(chunks: DataFrame, queries: DataFrame, k: int, least: float, block: int = 512) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the ``k`` chunks of highest cosine for each query, over all chunks.
+
+    Queries and chunks are dealt into blocks, and each pair of blocks is one matrix product in one task, which keeps only
+    its own best ``k`` of each query. ``chunks``: (chunk_id, embedding), ``queries``: (query_id, q).
     """
-    q = queries.select("query_id", F.col("embedding").alias("q"))
-    scores = chunks.crossJoin(F.broadcast(q)).select("query_id", "chunk_id", cosine(F.col("q"), F.col("embedding")).alias("score")).where(F.col("score") >= threshold)
-    return top(scores, top_k)
+    rows = max(1, -(-queries.count() // block))
+    columns = max(1, -(-chunks.count() // (8 * block)))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = queries.select(F.col("query_id").alias("id"), F.col("q").cast("array<double>").alias("v"), deal("query_id", rows).alias("i"), spread(columns).alias("j"))
+    right = chunks.select(F.col("chunk_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), spread(rows).alias("i"), deal("chunk_id", columns).alias("j"))
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        # vectors of other lengths, and null ones, are near nothing
+        out: list[pa.Table] = []
+        for size in {len(v) for v in a["v"].to_pylist() if v}:
+            x, y = (t.filter(pc.fill_null(pc.equal(pc.list_value_length(t["v"]), size), False)) for t in (a, b))
+            if not len(x) or not len(y):
+                continue
+            p, q = (np.array(t["v"].to_pylist(), np.float64) for t in (x, y))
+            long = [np.sqrt((m * m).sum(axis=1)) for m in (p, q)]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                scores = np.round(np.nan_to_num(p @ q.T / long[0][:, None] / long[1][None, :]), 9)
+            ids = np.array(y["id"].to_pylist())
+            for row, query in zip(scores, x["id"].to_pylist()):
+                at = np.flatnonzero(row >= least)
+                at = at[np.lexsort((ids[at], -row[at]))[:k]]
+                out.append(pa.table({"query_id": pa.array([query] * len(at), pa.int64()), "chunk_id": pa.array(ids[at], pa.int64()), "score": row[at]}))
+        return pa.concat_tables(out) if out else pa.table({"query_id": pa.array([], pa.int64()), "chunk_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(best, "query_id bigint, chunk_id bigint, score double")
+    return top(found, k)
 
 
 def top(scores: DataFrame, top_k: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators import reliability as rl
+from textloom.operators import retrieval as rt
 from textloom.plans.frequency import docs, rounded
 from textloom.plans.registry import query, table
 
@@ -144,14 +145,14 @@ def gold_selected(spark, d):
 
 
 @query(
-    _M + """ SELECT count(*) AS n_units, sha256(string_agg(unit_id || ':' || value, ',' ORDER BY unit_id)) AS checksum FROM r WHERE k = 1""", uses="ann"
+    _M + """, bd AS (SELECT unit_id // 1000 AS k, count(*) AS n, sha256(string_agg(unit_id || ':' || value, ',' ORDER BY unit_id)) AS h FROM r WHERE k = 1 GROUP BY unit_id // 1000)
+    SELECT sum(n)::BIGINT AS n_units, sha256(string_agg(h, ',' ORDER BY k)) AS checksum FROM bd""", uses="ann"
 )
 def gold_snapshot(spark, d):
-    """Checksum of the frozen labels, from a checksum of each so that nothing whole is gathered but for this small set."""
-    gold = rl.majority(annotations(spark, d))
+    """Checksum of the frozen labels, from checksums of runs of them."""
+    gold = rl.majority(annotations(spark, d)).withColumn("all", F.lit(0))
     line = F.concat_ws(":", F.col("unit_id").cast("string"), F.col("value").cast("string"))
-    made = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("unit_id", line.alias("l")))), lambda x: x["l"]), ",")
-    return gold.agg(F.count("*").alias("n_units"), F.sha2(made, 256).alias("checksum"))
+    return gold.agg(F.count("*").alias("n_units")).crossJoin(rt.digests(gold, "all", "unit_id", line, "checksum").select("checksum"))  # one row each
 
 
 @query(
@@ -212,9 +213,16 @@ def rel_diagnostics(spark, d):
     return made.crossJoin(by.agg(F.count_if(F.col("c") < 3).alias("n_partial")))  # one row each
 
 
-@query("SELECT source, count(*) AS in_stratum FROM documents GROUP BY source")
+@query(
+    """WITH s AS (SELECT source, count(*) AS size FROM documents GROUP BY source), t AS (SELECT sum(size) AS t FROM s), q AS (SELECT source, size, 200 * size / t AS exact, floor(200 * size / t) AS low FROM s, t),
+    r AS (SELECT *, row_number() OVER (ORDER BY exact - low DESC, source) AS k, 200 - sum(low) OVER () AS spare FROM q)
+    SELECT source, size, least(size, low + CASE WHEN k <= spare THEN 1 ELSE 0 END)::BIGINT AS allocated FROM r"""
+)
 def smp_allocate(spark, d):
-    return docs(spark, d).groupBy("source").agg(F.count("*").alias("in_stratum"))
+    """200 units dealt to the sources in proportion, the largest remainders first."""
+    sizes = docs(spark, d).groupBy("source").agg(F.count("*").alias("size"))
+    dealt = rl.allocate({r["source"]: r["size"] for r in sizes.collect()}, 200, "proportional")  # one number a source
+    return sizes.select("source", "size", F.element_at(F.create_map(*[F.lit(x) for k, v in dealt.items() for x in (k, v)]), F.col("source")).cast("long").alias("allocated"))
 
 
 @query()

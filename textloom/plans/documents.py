@@ -216,13 +216,13 @@ def seg_chunks(spark, d):
     return dc.token_chunks(prep(spark, d), 200, 30)
 
 
-_PAGES = "pg AS (SELECT doc_id, i AS page_number, substr(text, i * 500 + 1, 500) AS text FROM documents, (SELECT unnest([0, 1, 2, 3]) AS i) WHERE length(text) > i * 500)"
+_PAGES = "pg AS (SELECT doc_id, i AS page_number, substr(text, i * 500 + 1, 500) AS text FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 499) // 500))::INT AS i FROM documents))"
 
 
 def pages(spark, d):
-    """Documents cut into pages of 500 characters."""
-    made = docs(spark, d).select("doc_id", "text", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("page_number"))
-    return made.where(F.length("text") > F.col("page_number") * 500).select("doc_id", "page_number", F.substring("text", F.col("page_number") * 500 + 1, F.lit(500)).alias("text"))
+    """Whole documents cut into pages of 500 characters, in one pass over each text."""
+    cut = F.regexp_extract_all("text", F.lit("(?s).{1,500}"), F.lit(0))
+    return docs(spark, d).select("doc_id", F.posexplode(cut).alias("page_number", "text"))
 
 
 @query(f"""WITH {_PAGES}, b AS (SELECT doc_id, page_number, length(trim(text, E' \\t\\r\\n')) AS n FROM pg WHERE trim(text, E' \\t\\r\\n') <> ''),

@@ -9,6 +9,7 @@ from textloom.functions.text import NUMBER, checksum, token_estimate, tokens, wh
 from textloom.operators import frequency as fr
 from textloom.operators.relations import dfm, prepared, token_rel
 from textloom.plans.registry import query, table
+from textloom.tables import written
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
@@ -117,8 +118,8 @@ for _name, _column in (("agg_ttr", "ttr"), ("agg_guiraud", "guiraud"), ("agg_her
 @query(
     """, n AS (SELECT doc_id, len(t) AS n FROM tk WHERE len(t) >= 50),
     w AS (SELECT doc_id, n, unnest(range(0, n - 49)) AS s FROM n),
-    r AS (SELECT w.doc_id, w.s, len(list_distinct(tk.t[w.s + 1 : w.s + 50])) / 50 AS r FROM w JOIN tk USING (doc_id))
-    SELECT doc_id AS unit_id, round(avg(r), 6) AS mattr FROM r GROUP BY doc_id""",
+    r AS (SELECT w.doc_id, w.s, len(list_distinct(tk.t[w.s + 1 : w.s + 50])) AS r FROM w JOIN tk USING (doc_id))
+    SELECT doc_id AS unit_id, round(sum(r)::DOUBLE / (count(*) * 50), 6) AS mattr FROM r GROUP BY doc_id""",
     uses="tk",
 )
 def agg_mattr(spark, d):
@@ -163,10 +164,10 @@ def win_rank_cumshare(spark, d):
 _BIGRAM = """, bi AS (SELECT doc_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS term FROM tk)"""
 
 
-@query(_BIGRAM + _FREQ.format(rel="bi") + " ORDER BY rank LIMIT 1000", uses="tk")
+@query(_BIGRAM + _FREQ.format(rel="bi"), uses="tk")
 def agg_ngrams(spark, d):
     p = prep(spark, d)
-    return rounded(fr.top_frequencies(fr.ngram_rel(p, 2), _count(p), 1000))
+    return rounded(fr.frequencies(fr.ngram_rel(p, 2), _count(p)))
 
 
 @query(_BIGRAM + _FREQ.format(rel="bi") + " ORDER BY rank LIMIT 50", uses="tk")
@@ -242,9 +243,15 @@ def agg_readability(spark, d):
     """WITH p AS (SELECT doc_id, ' ' || unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) || ' ' AS w FROM documents),
     g AS (SELECT doc_id, unnest(list_concat(
       list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3)), list_transform(range(1, length(w) - 2), lambda i: substr(w, i, 4)),
-      list_transform(range(1, length(w) - 3), lambda i: substr(w, i, 5)))) AS gram FROM p)
-    SELECT gram, count(*) AS n FROM g GROUP BY gram ORDER BY n DESC, gram LIMIT 500""",
+      list_transform(range(1, length(w) - 3), lambda i: substr(w, i, 5)))) AS gram FROM p),
+    m AS (SELECT doc_id, gram, count(*) AS c FROM g GROUP BY ALL), f AS (SELECT gram, count(*) AS df FROM m GROUP BY gram), n AS (SELECT count(*)::DOUBLE AS n FROM documents),
+    w AS (SELECT doc_id, gram, c, c * (ln((n + 1) / (df + 1)) + 1) AS w FROM m JOIN f USING (gram), n)
+    SELECT doc_id AS unit_id, count(*) AS n_features, sum(c)::BIGINT AS n_grams, round(sqrt(sum(w * w)), 4) AS norm FROM w GROUP BY doc_id""",
 )
 def vec_char(spark, d):
-    grams = docs(spark, d).select(F.explode(fr.char_ngrams(F.col("text"))).alias("gram"))
-    return grams.groupBy("gram").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "gram").limit(500)
+    """The matrix of character n-grams by TF-IDF, as its rows' sizes and lengths."""
+    grams = docs(spark, d).select(F.col("doc_id").alias("unit_id"), F.explode(fr.char_ngrams(F.col("text"))).alias("term"))
+    m = written(grams.groupBy("unit_id", "term").agg(F.count("*").alias("count")), "grams")
+    w = m.join(fr.weighted(m, "tfidf", docs(spark, d).count()), ["unit_id", "term"])
+    made = w.groupBy("unit_id").agg(F.count("*").alias("n_features"), F.sum("count").alias("n_grams"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    return rounded(made, 4)

@@ -13,6 +13,7 @@ from textloom.functions import text as tx
 from textloom.operators import documents as dc
 from textloom.operators import frequency as fr
 from textloom.operators import models as md
+from textloom.operators import retrieval as rt
 from textloom.operators import similarity as sm
 from textloom.operators.relations import dfm, prepared, token_rel
 from textloom.plans import annotation as an
@@ -21,6 +22,7 @@ from textloom.plans import models as pm
 from textloom.plans import similarity as ps
 from textloom.plans.frequency import docs, prep, rounded
 from textloom.plans.registry import ORACLE, QUERIES, query, table
+from textloom.tables import written
 
 
 def _also(name: str, of: str) -> None:
@@ -31,9 +33,9 @@ def _also(name: str, of: str) -> None:
 
 
 for _name, _of in {
-    "token_estimate": "token_estimates", "join_window_pairs": "col_pairs", "join_lsh_candidates": "dup_lsh", "join_span_overlap": "dict_exclusions",
+    "token_estimate": "token_estimates", "join_lsh_candidates": "dup_lsh", "join_span_overlap": "dict_exclusions",
     "join_inverted_index": "sim_jaccard_pairwise", "win_topk_heap": "sim_query", "kwic_hit": "kwic_word", "ms_agreement": "ms_compare",
-    "set_added_removed": "dr_terms", "dr_service": "dr_labels", "al_assign": "win_al_queue", "rt_exact_topk": "rt_dense", "rt_rank_metrics_alt": "win_rank_metrics",
+    "dr_service": "dr_labels", "al_assign": "win_al_queue", "rt_exact_topk": "rt_dense", "rt_rank_metrics_alt": "win_rank_metrics",
     "vec_word_count": "agg_dfm", "rel_service": "rel_alpha", "join_parent_child": "rt_parent", "ev_predict": "ml_fit_eval", "clu_run": "clu_kmeans", "st_dispatch": "st_ols",
     "tok_batched": "tok_unicode", "sink_units_csv": "scan_units", "sink_sparse_matrix": "agg_dfm",
 }.items():
@@ -46,24 +48,24 @@ def join_published(spark, d):
     return pm.predictions(spark, d).where("lang = 'en'").join(published, "unit_id", "left_semi").select("unit_id", "score")
 
 
-@query("SELECT a.n_nationkey AS i, b.n_nationkey AS j FROM nation a, nation b WHERE a.n_nationkey < b.n_nationkey AND a.n_regionkey <> b.n_regionkey")
+@query(", v AS (SELECT DISTINCT lang, term FROM tok), n AS (SELECT lang, count(*) AS n FROM v GROUP BY lang) SELECT a.lang AS i, b.lang AS j, a.n AS n_i, b.n AS n_j, (SELECT count(*) FROM v x JOIN v y ON x.term = y.term WHERE x.lang = a.lang AND y.lang = b.lang) AS both FROM n a JOIN n b ON a.lang < b.lang", uses="tk tok")
 def join_cross_allpairs(spark, d):
-    """All pairs of a fixed small table: the guarded case, behind a check of its size."""
-    n = table(spark, d, "nation")
-    if n.count() > 2000:
-        raise ValueError("too many rows for all pairs")
-    b = n.select(F.col("n_nationkey").alias("j"), F.col("n_regionkey").alias("rj"))
-    return n.crossJoin(F.broadcast(b)).where("n_nationkey < j AND n_regionkey <> rj").select(F.col("n_nationkey").alias("i"), "j")
+    """All pairs of groups, also those that share no term; pairs of units go through shared terms (``sim_*``)."""
+    terms = written(token_rel(prep(spark, d, "lang"), "lang").select("lang", "term").distinct(), "terms")
+    n = terms.groupBy("lang").agg(F.count("*").alias("n"))  # one row a language
+    a, b = n.select(F.col("lang").alias("i"), F.col("n").alias("n_i")), n.select(F.col("lang").alias("j"), F.col("n").alias("n_j"))
+    shared = terms.select(F.col("lang").alias("i"), "term").join(terms.select(F.col("lang").alias("j"), "term"), "term").where("i < j").groupBy("i", "j").agg(F.count("*").alias("both"))
+    return a.join(b, F.col("i") < F.col("j")).join(shared, ["i", "j"], "left").na.fill(0, ["both"])
 
 
 @query(
     f"""WITH {pd_docs._PAGES}, b AS (SELECT doc_id, page_number, length(trim(text, E' \\t\\r\\n')) AS n FROM pg WHERE trim(text, E' \\t\\r\\n') <> ''),
     c AS (SELECT *, coalesce(sum(n + 2) OVER (PARTITION BY doc_id ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM b),
-    u AS (SELECT doc_id, unnest([0, 400, 800]) AS start FROM documents)
+    u AS (SELECT doc_id, unnest(range(0, length(text), 400))::INT AS start FROM documents)
     SELECT u.doc_id, u.start, c.page_number FROM u LEFT JOIN c ON c.doc_id = u.doc_id AND c.s <= u.start AND u.start < c.s + c.n"""
 )
 def join_page_lookup(spark, d):
-    units = docs(spark, d).select("doc_id", F.explode(F.array(F.lit(0), F.lit(400), F.lit(800))).alias("start"))
+    units = docs(spark, d).where("length(text) > 0").select("doc_id", F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(400))).alias("start"))
     return dc.lookup_page(units, dc.canonical_pages(pd_docs.pages(spark, d))).select("doc_id", "start", "page_number")
 
 
@@ -222,10 +224,9 @@ def rt_context_dedup(spark, d):
     return a.join(b, "h").where("i < j").select("i", "j")
 
 
-@query("SELECT lang, sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS scope FROM documents WHERE doc_id % 5 = 0 GROUP BY lang")
+@query(rt.DIGEST_SQL.format(line="doc_id::VARCHAR", out="scope"))
 def rt_scope_hash(spark, d):
-    some = docs(spark, d).where("doc_id % 5 = 0").groupBy("lang").agg(F.sort_array(F.collect_list("doc_id")).alias("x"))
-    return some.select("lang", F.sha2(F.array_join(F.transform("x", lambda v: v.cast("string")), ","), 256).alias("scope"))
+    return rt.digests(docs(spark, d), "lang", "doc_id", F.col("doc_id").cast("string"), "scope")
 
 
 @query(

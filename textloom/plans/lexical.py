@@ -52,8 +52,8 @@ def key_effect(spark, d):
 
 @query()
 def key_fisher(spark, d):
-    """Exact p-values of the 500 most frequent terms; tested against enumeration."""
-    counts = lx.keyness_counts(*_pair(spark, d)).orderBy(F.desc(F.col("a") + F.col("b")), "term").limit(500)
+    """Exact p-values of all terms; tested against enumeration."""
+    counts = lx.keyness_counts(*_pair(spark, d))
     return counts.select("term", "a", "b", lx.fisher_p("a", "b", "total_a", "total_b").alias("p"))
 
 
@@ -74,11 +74,22 @@ def win_bh(spark, d):
 
 @query(
     """, w AS (SELECT a.doc_id, a.term AS x, b.term AS y FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos > a.pos AND b.pos <= a.pos + 5 AND a.term <> b.term)
-    SELECT least(x, y) AS term_a, greatest(x, y) AS term_b, count(*) AS count FROM w GROUP BY 1, 2 HAVING count(*) >= 20""",
+    SELECT least(x, y) AS term_a, greatest(x, y) AS term_b, count(*) AS count FROM w GROUP BY 1, 2""",
     uses="tk tok",
 )
 def col_pairs(spark, d):
-    return lx.window_pairs(prep(spark, d)).groupBy("term_a", "term_b").agg(F.count("*").alias("count")).where("count >= 20")
+    return lx.window_pairs(prep(spark, d)).groupBy("term_a", "term_b").agg(F.count("*").alias("count"))
+
+
+@query(
+    """ SELECT coalesce(list_aggregate(list_transform(range(1, len(t)), lambda i: len(list_filter(t[i + 1 : i + 5], lambda y: y <> t[i]))), 'sum'), 0)::BIGINT AS n_pairs, doc_id AS unit_id FROM tk""",
+    uses="tk",
+)
+def join_window_pairs(spark, d):
+    """How many pairs each unit's windows make."""
+    p = prep(spark, d)
+    made = lx.window_pairs(p.select("tokens", "unit_id"), carry=("unit_id",)).groupBy("unit_id").agg(F.count("*").alias("n_pairs"))
+    return p.select("unit_id").join(made, "unit_id", "left").na.fill(0, ["n_pairs"])
 
 
 _COL = """, w AS (SELECT a.term AS x, b.term AS y FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos > a.pos AND b.pos <= a.pos + 5 AND a.term <> b.term),

@@ -132,25 +132,44 @@ def dr_scores(spark, d):
     return rounded(md.score_drift(p.select("score"), p.select((F.col("score_b").cast("decimal(10,6)") * F.col("score_b").cast("decimal(10,6)")).cast("double").alias("score"))))
 
 
-_TOP = ", x AS (SELECT term FROM tok WHERE lang = 'en' AND doc_id % 2 = {m} GROUP BY term ORDER BY count(*) DESC, term LIMIT 100)"
+_LANG = ", {n} AS (SELECT DISTINCT term FROM tok WHERE lang = '{v}')"
 
 
 @query(
-    _TOP.format(m=0) + _TOP.format(m=1).replace("x AS", "y AS") + """ SELECT round((SELECT count(*) FROM x JOIN y USING (term)) / (SELECT count(*) FROM (SELECT term FROM x UNION SELECT term FROM y)), 8) AS jaccard,
-    (SELECT list_sort(list(term)) FROM y WHERE term NOT IN (SELECT term FROM x)) AS added, (SELECT list_sort(list(term)) FROM x WHERE term NOT IN (SELECT term FROM y)) AS removed""",
+    _LANG.format(n="x", v="en") + _LANG.format(n="y", v="de") + """, c AS (SELECT coalesce(x.term, y.term) AS term, CASE WHEN x.term IS NULL THEN 'added' WHEN y.term IS NULL THEN 'removed' ELSE 'kept' END AS change
+    FROM x FULL JOIN y ON x.term = y.term)
+    SELECT round(count(*) FILTER (WHERE change = 'kept') / count(*), 8) AS jaccard, count(*) FILTER (WHERE change = 'added') AS added, count(*) FILTER (WHERE change = 'removed') AS removed FROM c""",
     uses="tk tok",
 )
 def dr_terms(spark, d):
-    rel = token_rel(prep(spark, d, "lang"), "lang").where("lang = 'en'")
-    top = lambda m: rel.where(F.col("unit_id") % 2 == m).groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(100)
-    return rounded(md.term_drift(top(0), top(1)), 8)
+    """The vocabularies of two languages."""
+    return rounded(md.term_drift(*_vocabularies(spark, d)), 8)
 
 
-@query()
+@query(
+    _LANG.format(n="x", v="en") + _LANG.format(n="y", v="de") + """ SELECT coalesce(x.term, y.term) AS term, CASE WHEN x.term IS NULL THEN 'added' WHEN y.term IS NULL THEN 'removed' ELSE 'kept' END AS change
+    FROM x FULL JOIN y ON x.term = y.term""",
+    uses="tk tok",
+)
+def set_added_removed(spark, d):
+    return md.term_changes(*_vocabularies(spark, d))
+
+
+def _vocabularies(spark, d):
+    rel = token_rel(prep(spark, d, "lang"), "lang")
+    return [rel.where(F.col("lang") == v).select("term").distinct() for v in ("en", "de")]
+
+
+@query(
+    """, l AS (SELECT lang AS label, unit_id % 2 AS s FROM pred), c AS (SELECT label, count(*) FILTER (WHERE s = 0)::DOUBLE AS a, count(*) FILTER (WHERE s = 1)::DOUBLE AS b FROM l GROUP BY label), t AS (SELECT sum(a) AS ta, sum(b) AS tb FROM c),
+    m AS (SELECT sum(abs(a / ta - b / tb)) / 2 AS tvd, sum((b / tb - a / ta) * ln((b / tb) / (a / ta))) AS psi FROM c, t)
+    SELECT round(tvd, 8) AS tvd, round(psi, 8) AS psi, CASE WHEN tvd >= 0.2 OR psi >= 0.25 THEN 'investigate' WHEN tvd >= 0.1 OR psi >= 0.1 THEN 'watch' ELSE 'ok' END AS level FROM m""",
+    uses="pred",
+)
 def dr_level(spark, d):
     rows = predictions(spark, d).withColumnRenamed("lang", "label")
     made = md.label_drift(rows.where("unit_id % 2 = 0"), rows.where("unit_id % 2 = 1"))
-    return made.withColumn("level", md.drift_level({"tvd": (0.1, 0.2), "psi": (0.1, 0.25)}))
+    return rounded(made.withColumn("level", md.drift_level({"tvd": (0.1, 0.2), "psi": (0.1, 0.25)})), 8)
 
 
 @query(" SELECT lang AS label, count(*) AS n FROM pred GROUP BY lang", uses="pred")

@@ -19,10 +19,8 @@ _DENSE = f"""ds AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round({_C
 def _dense(spark, d, k=10):
     """Queries: every vector whose id is divisible by 50."""
     e = table(spark, d, "embeddings")
-    chunks = e.select(F.col("vec_id").alias("chunk_id"), "embedding")
-    scores = chunks.crossJoin(F.broadcast(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))))
-    scores = scores.select("query_id", "chunk_id", F.round(rt.cosine(F.col("q"), F.col("embedding")), 9).alias("score"))
-    return rt.top(scores.where("score >= 0.1"), k)
+    chunks, queries = e.select(F.col("vec_id").alias("chunk_id"), "embedding"), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return rt.dense(chunks, queries, k, 0.1)
 
 
 @query(f"WITH {_DENSE} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM dn")
@@ -31,8 +29,8 @@ def rt_dense(spark, d):
 
 
 def _query_terms(spark, d):
-    """The first three distinct tokens of each benchmark item are a query."""
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(F.array_distinct(tokens(F.col("text"))), 1, 3).alias("t"))
+    """The distinct tokens of each whole benchmark item are a query."""
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(tokens(F.col("text"))).alias("t"))
     return b.select("query_id", F.explode("t").alias("term"))
 
 
@@ -42,7 +40,7 @@ def _lexical(spark, d, k=20):
     return rt.lexical(m, _query_terms(spark, d), m.groupBy("chunk_id").agg(F.sum("count").alias("length")), k)
 
 
-_LEX = r""", qt AS (SELECT item_id AS query_id, unnest(l[1:3]) AS term FROM (SELECT item_id, list_transform(list_filter(list_zip(t, range(1, len(t) + 1)), lambda x: list_position(t, x[1]) = x[2]), lambda x: x[1]) AS l
+_LEX = r""", qt AS (SELECT item_id AS query_id, unnest(l) AS term FROM (SELECT item_id, list_transform(list_filter(list_zip(t, range(1, len(t) + 1)), lambda x: list_position(t, x[1]) = x[2]), lambda x: x[1]) AS l
     FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+(?:[''’][\p{L}\p{M}]+)?') AS t FROM benchmark))),
   f AS (SELECT doc_id AS chunk_id, term, count(*) AS c FROM tok GROUP BY ALL), ln AS (SELECT chunk_id, sum(c) AS length FROM f GROUP BY 1), st AS (SELECT count(*)::DOUBLE AS n, avg(length) AS mean FROM ln),
   df AS (SELECT term, count(*) AS df FROM f GROUP BY term), nd AS (SELECT query_id, count(*) AS need FROM qt GROUP BY 1),
@@ -179,11 +177,9 @@ def rt_citations(spark, d):
     return rt.citations(claims, table(spark, d, "labels").select(F.col("doc_id").alias("chunk_id"))).where(F.size("valid") > 0)
 
 
-@query("SELECT lang, sha256(string_agg(doc_id || ':' || n_chars, ',' ORDER BY doc_id)) AS revision FROM documents WHERE doc_id % 7 = 0 GROUP BY lang")
+@query(rt.DIGEST_SQL.format(line="doc_id || ':' || n_chars", out="revision"))
 def rt_evidence_hash(spark, d):
-    line = F.concat_ws(":", "doc_id", "n_chars")
-    some = docs(spark, d).where("doc_id % 7 = 0").groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("doc_id", line.alias("l")))).alias("x"))
-    return some.select("lang", F.sha2(F.array_join(F.transform("x", lambda v: v["l"]), ","), 256).alias("revision"))
+    return rt.digests(docs(spark, d), "lang", "doc_id", F.concat_ws(":", "doc_id", "n_chars"), "revision")
 
 
 @query("""SELECT event_id, round(0.4 * CASE event_type WHEN 'click' THEN 1.0 WHEN 'view' THEN 0.95 ELSE 0.65 END + 0.35 * ((event_id % 100) / 100.0) + 0.15 * ((event_id % 7) / 7.0) + 0.1 * greatest(0, 1 - (event_id % 120) / 90.0), 6)::DOUBLE AS score FROM events""")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from textloom.operators import documents as dc
@@ -11,14 +9,17 @@ from textloom.plans.frequency import docs, rounded
 from textloom.plans.registry import query, table
 from textloom.sources import files
 from textloom.streaming.counts import stream_term_counts, stream_windows
+from textloom.tables import new_path
 
 
 def drained(stream, mode):  # noqa: ANN001, ANN201
-    """What a stream gives once it has read all that is there now."""
-    name = f"s{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """What a stream gives once it has read all that is there now: each batch replaces the table in the shared folder."""
+    spark = stream.sparkSession
+    path, state = new_path(spark, "stream"), new_path(spark, "state")
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(path)
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", state).foreachBatch(write).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 @query("SELECT term, count(*) AS count FROM tok GROUP BY term", uses="tk tok")
