@@ -2,65 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.tables import dropped, new_path, shared_folder, shuffles_dropped, written
+
+__all__ = ["BLANKS", "WORD", "ascii_lower", "bucketed", "dropped", "shared_folder", "words", "written"]
+
 #: A word is a maximal run of anything but blank, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the session's ``spark.checkpoint.dir``. Where that is unset and the
-    master is local (tests), a temporary folder is made and set.
-    """
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not known:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        known = tempfile.mkdtemp(prefix="textloom-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(known)
-    return known
-
-
-@contextmanager
-def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files go as soon as a query ends: what is written needs them no more."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
-def _new_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, which is deleted when the session's JVM ends."""
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
-def written(df: DataFrame, name: str = "t") -> DataFrame:
-    """``df`` as a table in the shared folder: cuts the lineage, survives lost
-    executors, and gives the planner true sizes."""
-    spark = df.sparkSession
-    path = _new_path(spark, name)
-    with _shuffles_dropped(spark):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bucketed(df: DataFrame, key: str, name: str = "t", rows_each: int = 20_000) -> DataFrame:
     """``df`` as a table that is dealt out by ``key`` once: joins on it shuffle the other side alone.
 
@@ -69,19 +24,11 @@ def bucketed(df: DataFrame, key: str, name: str = "t", rows_each: int = 20_000)
     spark = df.sparkSession
     n = min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.count() // rows_each))  # Spark's most buckets
     table = f"textloom_{name}_{uuid.uuid4().hex}"
-    with _shuffles_dropped(spark):
-        df.repartition(n, key).write.bucketBy(n, key).option("path", _new_path(spark, name)).format("parquet").saveAsTable(table)
+    with shuffles_dropped(spark):
+        df.repartition(n, key).write.bucketBy(n, key).option("path", new_path(spark, name)).format("parquet").saveAsTable(table)
     return spark.table(table)
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes the files of a table made by ``written`` that is no longer read."""
-    spark = df.sparkSession
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def ascii_lower(c: Column) -> Column:
     """A-Z in lower case, everything else as it is."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -11,8 +11,8 @@ reader resumes anywhere without an index.
 The stream is in the order of ids, ties by a hash of the text, so slots and shards depend on the rows alone and
 not on the cluster's size or on files. A first job deals the documents into ranges of ids, encodes them,
 once, and writes their ids with each document's offset in its range. The ranges' offsets are sums
-over one number for each range. A second job gives each piece of a sequence its slot, and one
-shuffle by ranges of slots brings the pieces together; no document is held whole by more than one
+over one number for each range. Further jobs, one for each third of the shards, give each piece of a
+sequence its slot, and one shuffle by ranges of slots brings the pieces together; no document is held whole by more than one
 task. Each task writes its shards under a temporary name and renames them, so a repeated attempt
 leaves the same files.
 
@@ -29,6 +29,7 @@ import uuid
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import shared_folder, written
+from textloom.llm.common import dropped, shared_folder, written
 
 LENGTH = 1024
 PER_SHARD = 4096
@@ -119,12 +120,12 @@ def _file_system(uri: str):  # noqa: ANN202
 def materialize(
     docs: DataFrame, tokenizer: BytePairs, id_col: str = "doc_id", text_col: str = "text",
     length: int = LENGTH, per_shard: int = PER_SHARD, key: int = 2026, folder: str | None = None, kind: str = "<u2",
-    rows_each: int = 100_000,
+    rows_each: int = 100_000, waves: int = 3,
 ) -> DataFrame:
     """Writes the shards and returns their index: slot, shard, place, sequence, n_tokens, first_id, sha256.
 
     ``folder`` is a URI that all executors reach; by default a new one in the shared folder. The
-    files are written when the result is. n_tokens is ``length`` but for the padded sequence;
+    files are there when this returns. n_tokens is ``length`` but for the padded sequence;
     first_id is the document that the sequence begins in.
     """
     folder = folder or f"{shared_folder(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
@@ -159,7 +160,8 @@ def materialize(
     total = sums.agg(F.sum("n")).first()[0] or 0
     sequences = -(-total // length)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch], low: int, high: int) -> Iterator[pa.RecordBatch]:
+        """The pieces whose slots are from low to below high."""
         for batch in batches:
             if not len(batch):
                 continue
@@ -173,8 +175,11 @@ def materialize(
             start = np.maximum(at[doc], sequence * length)
             cuts = np.append(bounds[doc] + (start - at[doc]) * width, bounds[-1]).astype(np.int32)
             pieces = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(cuts.tobytes()), made.buffers()[2]])
+            slot = permuted(sequence, sequences, key)
+            now = np.flatnonzero((slot >= low) & (slot < high))
+            rows = pa.array(now)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(permuted(sequence, sequences, key)), pa.array(sequence), pa.array((start % length).astype(np.int32)), ids.take(pa.array(doc)), pieces],
+                [pa.array(slot[now]), pa.array(sequence[now]), pa.array((start[now] % length).astype(np.int32)), ids.take(pa.array(doc[now])), pieces.take(rows)],
                 ["slot", "sequence", "begin", "id", "tokens"],
             )
 
@@ -227,18 +232,25 @@ def materialize(
         close_shard()
         yield index()
 
-    # whole shards to a task: dealt by the shard's number, ordered by slot within
+    # whole shards to a task: dealt by the shard's number, ordered by slot within. The shards are written in waves, so that
+    # the pieces of one wave alone are on disk beside the ids
     shards = max(1, -(-sequences // per_shard))
     placed = encoded.join(starts, "part").select((F.col("start") + F.col("before")).alias("at"), "id", "tokens")
-    pieces = placed.mapInArrow(deal, f"slot bigint, sequence bigint, begin int, id {id_kind}, tokens binary")
-    tasks = min(shards, 100_000)
-    # ranges of equal width are known beforehand
-    ordered = (
-        pieces.withColumn("task", F.floor(F.floor(F.col("slot") / per_shard) * tasks / shards).cast("int"))
-        .repartitionById(tasks, "task")
-        .sortWithinPartitions("slot", "begin")
-        .select("slot", "sequence", "id", "tokens")
-    )
-    return ordered.mapInArrow(
-        write, f"slot bigint, shard bigint, place int, sequence bigint, n_tokens int, first_id {id_kind}, sha256 string"
-    )
+    out = []
+    for first in range(0, shards, -(-shards // waves)):
+        many = min(shards - first, -(-shards // waves))
+        low, high, tasks = first * per_shard, (first + many) * per_shard, min(many, 100_000)
+        pieces = placed.mapInArrow(
+            lambda b, low=low, high=high: deal(b, low, high), f"slot bigint, sequence bigint, begin int, id {id_kind}, tokens binary"
+        )
+        # ranges of equal width are known beforehand
+        ordered = (
+            pieces.withColumn("task", F.floor((F.floor(F.col("slot") / per_shard) - first) * tasks / many).cast("int"))
+            .repartitionById(tasks, "task")
+            .sortWithinPartitions("slot", "begin")
+            .select("slot", "sequence", "id", "tokens")
+        )
+        index = ordered.mapInArrow(write, f"slot bigint, shard bigint, place int, sequence bigint, n_tokens int, first_id {id_kind}, sha256 string")
+        out.append(written(index, "index"))
+    dropped(encoded)
+    return reduce(DataFrame.unionAll, out)
