@@ -138,6 +138,23 @@ def test_vectors_against_all_pairs(spark):
         assert all(x.kept == (x.vec_id == x.component_id) for x in got.values())
 
 
+def test_planted_links_are_recalled(spark):
+    """Pairs of 64 components just over the threshold, among vectors of one label that have no partner."""
+    r = np.random.default_rng(15)
+    x = r.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = r.normal(size=(1500, 64))
+    side -= (side * x[:1500]).sum(axis=1, keepdims=True) * x[:1500]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    near = 0.9805 * x[:1500] + math.sqrt(1 - 0.9805**2) * side
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([x, near]))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").select("*", F.lit("x").alias("id"), F.lit(1).alias("rep"), F.lit(2).alias("keys"))
+    got = {g.vec_id: g.component_id for g in embeddings.vector_components(df).collect()}
+    found = sum(got[3000 + i] == i for i in range(1500))
+    assert found >= 1500 * 0.999 - 1 and sum(k != v for k, v in got.items()) == found
+    assert embeddings.vector_components(df.limit(0)).count() == 0
+
+
 def test_components(spark):
     random.seed(4)
     edges = [(random.randint(0, 300), random.randint(0, 300)) for _ in range(170)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5), (None, 3)]

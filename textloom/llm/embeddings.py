@@ -32,16 +32,21 @@ from textloom.llm.common import written
 from textloom.llm.components import connected_components
 
 THRESHOLD = 0.98
-BUCKET = 128
+BUCKET = 512
 
 
 def plan_tables(rows: int, threshold: float = THRESHOLD, miss: float = 1e-4) -> tuple[int, int]:
     """Bits a table and number of tables, where a row's label has so many rows."""
-    bits = min(60, max(4, math.ceil(math.log2(max(2, rows) / BUCKET))))
+    bits = min(60, max(2, math.ceil(math.log2(max(2, rows) / BUCKET))))
     same = (1 - math.acos(min(1.0, threshold)) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(miss) / math.log(1 - same))) if same < 1 else 1
 
 
+def _key_kind(bits: int) -> str:
+    """The narrowest whole number for keys of so many bits."""
+    return "<i2" if bits < 16 else "<i4" if bits < 32 else "<i8"
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
@@ -65,12 +70,12 @@ def _keyed(batches: Iterator[pa.RecordBatch], kind: str, bits: int, tables: int,
         packed = pa.array([data[a * width : b * width] for a, b in zip(ends, ends[1:])], pa.binary())
         offsets = pa.array(np.arange(0, keys.size + 1, tables), pa.int32())
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:-1], packed, pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())), pa.array([k.tobytes() for k in keys], pa.binary())],
+            [*batch.columns[:-1], packed, pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())), pa.array([k.tobytes() for k in keys.astype(_key_kind(bits))], pa.binary())],
             [*batch.schema.names[:-1], "payload", "keys", "extra"],
         )
 
 
-def _near(table: pa.Table, left: np.ndarray, right: np.ndarray, kind: str, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _near(table: pa.Table, left: np.ndarray, right: np.ndarray, kind: str, key_kind: str, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of rows at the threshold or over it, and whether this table is the first in which they meet."""
     x = _unit(packed_rows(table["payload"].chunk(0), kind))
     near = x[left] @ x[right].T >= threshold
@@ -78,7 +83,7 @@ def _near(table: pa.Table, left: np.ndarray, right: np.ndarray, kind: str, thres
         np.fill_diagonal(near, False)
     a, b = np.nonzero(near)
     a, b = left[a], right[b]
-    keys = packed_rows(table["extra"].chunk(0), "<i8")
+    keys = packed_rows(table["extra"].chunk(0), key_kind)
     earlier = slice(0, table["t"][0].as_py())
     return a, b, (keys[a, earlier] != keys[b, earlier]).all(axis=1)
 
@@ -121,7 +126,7 @@ def vector_components(
     spread = keyed.select("rep", "copies", "label", "payload", "extra", F.posexplode("keys").alias("t", "key"))
     same = ["label", F.length("payload"), "t", "key"]
     spread = spread.select(F.xxhash64(*same).alias("b1"), F.xxhash64(F.lit(1), *same).alias("b2"), "rep", "copies", "payload", "extra", "t")
-    found = written(linked(spread, lambda t, x, y: _near(t, x, y, kind, threshold), block, seed), "links")
+    found = written(linked(spread, lambda t, x, y: _near(t, x, y, kind, _key_kind(bits), threshold), block, seed), "links")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     component = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     of_rep = (

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-_MEMORY = 400_000
+_MEMORY = 100_000
 _LONGEST = 64  # longer words are encoded anew each time, which bounds the memory in bytes too
 
 

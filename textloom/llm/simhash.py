@@ -193,8 +193,8 @@ def wide_fingerprints(texts: pa.Array, size: int) -> np.ndarray:
     order = np.argsort(doc, kind="stable")
     value, doc = value[order], doc[order]
     ones = np.zeros((n, WIDE), np.int32)
-    for s in range(0, len(value), _AT_ONCE):
-        v, d = value[s : s + _AT_ONCE], doc[s : s + _AT_ONCE]
+    for s in range(0, len(value), _AT_ONCE // 4):
+        v, d = value[s : s + _AT_ONCE // 4], doc[s : s + _AT_ONCE // 4]
         words = np.stack([mix(v, np.full(len(v), k, np.uint64), k) for k in range(WIDE // 64)], axis=1)
         bits = np.unpackbits(words.view(np.uint8), axis=1)
         first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
@@ -205,7 +205,7 @@ def wide_fingerprints(texts: pa.Array, size: int) -> np.ndarray:
 
 def _fingerprinted(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in pieces(batch, 1, 1 << 20):
+        for part in pieces(batch, 1, 1 << 19):
             made = wide_fingerprints(part.column(1), size)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in made], pa.binary())], ["row", "fp"])
 
@@ -216,8 +216,8 @@ def _anchored(batches: Iterator[pa.RecordBatch], plain: int, tables: int, seed:
     places = [r.choice(WIDE, _BLOCK + plain, replace=False) for _ in range(tables)]
     weight = 1 << np.arange(_BLOCK + plain, dtype=np.int64)
     for batch in batches:
-        for s in range(0, len(batch), 4096):
-            part = batch.slice(s, 4096)
+        for s in range(0, len(batch), 1024):
+            part = batch.slice(s, 1024)
             bits = np.unpackbits(packed_rows(part.column(1), "u1"), axis=1)
             for t, of in enumerate(places):
                 taken = bits[:, of].astype(np.int64)
