@@ -83,7 +83,7 @@ def clean_whitespace(text: Column) -> Column:
 
 def clean_dehyphenate(text: Column) -> Column:
     """Joins ASCII words that a hyphen breaks at a line end."""
-    return F.regexp_replace(text, r"([A-Za-z])-\n([A-Za-z])", "$1$2")
+    return F.regexp_replace(text, r"([A-Za-z])-\s*\n\s*([A-Za-z])", "$1$2")
 
 
 def _kept_lines(text: Column, dropped: str) -> Column:
@@ -92,17 +92,17 @@ def _kept_lines(text: Column, dropped: str) -> Column:
 
 def clean_page_numbers(text: Column) -> Column:
     """Drops lines that are a page number only, such as "12", "page 3" or "- 4 -"."""
-    return _kept_lines(text, r"(?i)^\s*(?:page\s+)?(?:-\s*)?\d{1,4}(?:\s*-)?\s*$")
+    return _kept_lines(text, r"(?i)^\s*(?:page\s+)?(?:\d{1,4}|[-–—]\s*\d{1,4}\s*[-–—])\s*$")
 
 
 def clean_tables(text: Column) -> Column:
-    """Drops pipe-table lines and lines with three or more tabs."""
-    return _kept_lines(text, r"^\s*\|.*\|\s*$|(?:\t[^\t]*){3,}")
+    """Drops pipe-table lines, their rulers, and lines with three or more tabs."""
+    return _kept_lines(text, r"^\s*\|.+\|\s*$|^\s*\|?[\s:-]+\|[\s|:-]*$|(?:\t[^\t]*){3,}")
 
 
 def clean_bibliography(text: Column) -> Column:
     """Cuts the text at the first bibliography heading from the fourth line on."""
-    heading = r"(?i)^\s*(?:references|bibliography|works cited|literature|literatur|literaturverzeichnis|bibliographie|kaynakça)\s*:?\s*$"
+    heading = r"(?i)^\s*(?:references|bibliography|works\s+cited|literature\s+cited|reference\s+list|endnotes)\s*:?\s*$"
     lines = F.split(text, "\n")
     at = F.array_min(F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(heading) & (i >= 3), i)), lambda i: i.isNotNull()))
     return F.when(at.isNull(), text).otherwise(F.array_join(F.slice(lines, 1, F.coalesce(at, F.lit(0))), "\n"))

@@ -183,10 +183,10 @@ def repeated_lines(pages: DataFrame, share: float = 0.6, least_pages: int = 3, l
 
 
 def text_score(text: Column) -> Column:
-    """Printable share times density times one less the replacement share."""
+    """Share of printable characters and white space, times how near the text is to 80 characters, times one less the replacement share."""
     n = F.length(text)
-    printable = 1 - F.regexp_count(text, F.lit(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")) / n
-    dense = F.regexp_count(text, F.lit(r"\S")) / n
+    printable = 1 - F.regexp_count(text, F.lit(r"[\p{Cc}\p{Cf}\p{Co}&&[^\t-\r\x1c-\x1f\x85]]")) / n
+    dense = F.least(F.lit(1.0), n / 80)
     return F.when(n == 0, 0.0).otherwise(printable * dense * (1 - F.regexp_count(text, F.lit("�")) / n))
 
 

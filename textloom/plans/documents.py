@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as tx
 from textloom.operators import documents as dc
+from textloom.operators.memory import SECRETS, matches
 
 from textloom.plans.frequency import docs, prep, rounded
 from textloom.plans.registry import query, table
@@ -137,17 +138,17 @@ def clean_whitespace(spark, d):
     return docs(spark, d).select(F.col("doc_id").alias("unit_id"), tx.clean_whitespace(F.col("text")).alias("text"))
 
 
-@query(r"SELECT doc_id AS unit_id, regexp_replace(text, E'([A-Za-z])-\n([A-Za-z])', '\1\2', 'g') AS text FROM documents")
+@query(r"SELECT doc_id AS unit_id, regexp_replace(text, '([A-Za-z])-\s*\n\s*([A-Za-z])', '\1\2', 'g') AS text FROM documents")
 def clean_dehyphenate(spark, d):
     return docs(spark, d).select(F.col("doc_id").alias("unit_id"), tx.clean_dehyphenate(F.col("text")).alias("text"))
 
 
-@query(r"SELECT doc_id AS unit_id, array_to_string(list_filter(string_split(text, E'\n'), lambda x: NOT regexp_matches(x, '(?i)^\s*(?:page\s+)?(?:-\s*)?\d{1,4}(?:\s*-)?\s*$')), E'\n') AS text FROM documents")
+@query(r"SELECT doc_id AS unit_id, array_to_string(list_filter(string_split(text, E'\n'), lambda x: NOT regexp_matches(x, '(?i)^\s*(?:page\s+)?(?:\d{1,4}|[-–—]\s*\d{1,4}\s*[-–—])\s*$')), E'\n') AS text FROM documents")
 def clean_page_numbers(spark, d):
     return docs(spark, d).select(F.col("doc_id").alias("unit_id"), tx.clean_page_numbers(F.col("text")).alias("text"))
 
 
-@query(r"SELECT doc_id AS unit_id, array_to_string(list_filter(string_split(text, E'\n'), lambda x: NOT regexp_matches(x, E'^\\s*\\|.*\\|\\s*$|(?:\t[^\t]*){3,}')), E'\n') AS text FROM documents")
+@query(r"SELECT doc_id AS unit_id, array_to_string(list_filter(string_split(text, E'\n'), lambda x: NOT regexp_matches(x, E'^\\s*\\|.+\\|\\s*$|^\\s*\\|?[\\s:-]+\\|[\\s|:-]*$|(?:\t[^\t]*){3,}')), E'\n') AS text FROM documents")
 def clean_tables(spark, d):
     return docs(spark, d).select(F.col("doc_id").alias("unit_id"), tx.clean_tables(F.col("text")).alias("text"))
 
@@ -168,19 +169,21 @@ def qa_token_outliers(spark, d):
     return rounded(dc.length_outliers(prep(spark, d).select("unit_id", F.size("tokens").alias("n_tokens"))))
 
 
-@query("SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)ignore (all )?(previous|prior) instructions|system prompt|reveal your')")
-def policy_injection(spark, d):
-    return docs(spark, d).where(F.col("text").rlike(INJECTION)).select("doc_id")
+# Signs of text written to steer a model.
+INJECTION = (
+    "(?i)ignore (all )?(previous|prior|system) (instructions|rules)|ignore (all )?(previous|prior) (system )?(instructions|rules)"
+    "|you are now (in )?developer mode|reveal (the )?(secret|password|api[_-]?key|token)|override (system|developer|safety)"
+)
 
 
-#: Signs of text written to steer a model.
-INJECTION = "(?i)ignore (all )?(previous|prior) instructions|system prompt|reveal your"
-SECRET = "(?i)(api[_-]?key|password|secret|token)\\s*[:=]\\s*\\S+"
+@query(f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{INJECTION}')")
+def policy_injection(spark, d):
+    return docs(spark, d).where(F.col("text").rlike(INJECTION)).select("doc_id")
 
 
-@query(r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(api[_-]?key|password|secret|token)\s*[:=]\s*\S+')")
+@query("SELECT doc_id FROM documents WHERE " + " OR ".join(f"regexp_matches(text, '{p}')" for p in SECRETS))
 def policy_secrets(spark, d):
-    return docs(spark, d).where(F.col("text").rlike(SECRET)).select("doc_id")
+    return docs(spark, d).where(matches(F.col("text"), SECRETS)).select("doc_id")
 
 
 @query(r"""WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, E'\n\\s*\n+'), lambda x: trim(x, E' \t\n\r\v\f')), lambda x: x <> '') AS p FROM documents)
@@ -262,11 +265,6 @@ def lang_router(spark, d):
     return docs(spark, d).where(F.col("lang").isin("en", "de", "fr", "tr")).select("doc_id", "source").distinct()
 
 
-@query("SELECT doc_id AS unit_id, round(score, 6)::DOUBLE AS score FROM (SELECT doc_id, len(regexp_extract_all(text, '\\S')) / length(text) AS score FROM documents)")
-def pdf_text_quality(spark, d):
-    return rounded(docs(spark, d).select(F.col("doc_id").alias("unit_id"), dc.text_score(F.col("text")).alias("score")))
-
-
 @query("SELECT doc_id, regexp_replace(text, E'\\r\\n?', E'\\n', 'g') AS text FROM documents")
 def canon_full_text(spark, d):
     return docs(spark, d).select("doc_id", F.regexp_replace("text", "\r\n?", "\n").alias("text"))

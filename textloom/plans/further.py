@@ -95,7 +95,7 @@ def clean_custom_regex(spark, d):
 
 @query(
     r"""SELECT doc_id AS unit_id, CASE WHEN i IS NULL THEN text ELSE array_to_string(l[1 : i - 1], E'\n') END AS text FROM (SELECT doc_id, text, l,
-      list_min(list_filter(range(4, len(l) + 1), lambda k: regexp_matches(l[k], '(?i)^\s*(?:references|bibliography|works cited|literature|literatur|literaturverzeichnis|bibliographie|kaynakça)\s*:?\s*$'))) AS i
+      list_min(list_filter(range(4, len(l) + 1), lambda k: regexp_matches(l[k], '(?i)^\s*(?:references|bibliography|works\s+cited|literature\s+cited|reference\s+list|endnotes)\s*:?\s*$'))) AS i
     FROM (SELECT doc_id, text, string_split(text, E'\n') AS l FROM documents))"""
 )
 def clean_bibliography(spark, d):

@@ -8,6 +8,7 @@ from textloom.functions.text import tokens
 from textloom.operators import models as md
 from textloom.operators import retrieval as rt
 from textloom.operators.relations import dfm, token_rel
+from textloom.plans.documents import INJECTION
 from textloom.plans.frequency import docs, prep, rounded
 from textloom.plans.registry import query, table
 
@@ -119,10 +120,8 @@ def rt_scope(spark, d):
     return scoped.select(F.col("doc_id").alias("chunk_id"), "source")
 
 
-@query("SELECT doc_id AS chunk_id FROM documents WHERE NOT regexp_matches(text, '(?i)ignore (all )?(previous|prior) instructions|system prompt|reveal your')")
+@query(f"SELECT doc_id AS chunk_id FROM documents WHERE NOT regexp_matches(text, '{INJECTION}')")
 def rt_injection_filter(spark, d):
-    from textloom.plans.documents import INJECTION
-
     return docs(spark, d).where(~F.col("text").rlike(INJECTION)).select(F.col("doc_id").alias("chunk_id"))
 
 
