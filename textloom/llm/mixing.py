@@ -67,17 +67,21 @@ def form_of(text: Column) -> Column:
     )
 
 
-def topic_of(text: Column, topics: Mapping[str, Sequence[str]] = TOPICS, least: float = 0.004) -> Column:
-    """The topic most of whose words the text has, if they are at least so large a part of its words; else its form.
+def topic_of(text: Column, topics: Mapping[str, Sequence[str]] = TOPICS, least: int = 2) -> Column:
+    """The topic most of whose words the text has, if it has so many different ones at least; null if none does.
 
     Ties go to the topic that is listed first. A classifier's column may be given in its place.
     """
-    every = [w for listed in topics.values() for w in listed]
-    found = F.regexp_extract_all(F.lower(text), F.lit(rf"(?<!\p{{L}})(?:{'|'.join(every)})(?!\p{{L}})"), F.lit(0))
-    # most texts have none of the words: only those that have are looked at by topic
-    counts = F.transform(F.array(found), lambda f: F.array(*[F.struct(F.size(F.filter(f, lambda w: w.isin(*listed))).alias("n"), F.lit(-i).alias("rank"), F.lit(name).alias("name")) for i, (name, listed) in enumerate(topics.items())]))
-    best = F.array_max(F.element_at(counts, 1))
-    return F.when(best["n"] * 6 >= F.length(text) * least, F.when(best["n"] > 0, best["name"])).otherwise(None)
+    every = F.array(*[F.lit(w) for listed in topics.values() for w in listed])
+    found = F.array_intersect(F.split(F.lower(text), r"[^\p{L}]+"), every)
+
+    def best(hits: Column) -> Column:
+        count = lambda listed: F.size(F.filter(hits, lambda w: w.isin(*listed)))
+        made = F.array_max(F.array(*[F.struct(count(listed).alias("n"), F.lit(-i).alias("rank"), F.lit(name).alias("name")) for i, (name, listed) in enumerate(topics.items())]))
+        return F.when(made["n"] >= least, made["name"])
+
+    # a one-element transform binds the words that were found, most often none
+    return F.element_at(F.transform(F.array(found), lambda hits: F.when(F.size(hits) >= least, best(hits))), 1)
 
 
 def tokens_of(text: Column) -> Column:
