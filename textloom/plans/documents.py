@@ -260,9 +260,26 @@ def lang_detect_heuristic(spark, d):
     return made.select("unit_id", "x.language", F.round(F.least(F.lit(1.0), 4 * F.col("x.share")), 6).alias("confidence"))
 
 
-@query("SELECT DISTINCT doc_id, source FROM documents WHERE lang IN ('en', 'de', 'fr', 'tr')")
+_SEEN = """SELECT doc_id, source, lang, CASE WHEN m = 0 THEN 'und' WHEN en = m THEN 'en' WHEN de = m THEN 'de' WHEN fr = m THEN 'fr' ELSE 'es' END AS seen FROM (SELECT *, greatest(en, de, fr, es) AS m FROM (SELECT doc_id, source, lang,
+    len(list_filter(t, lambda x: x IN ('the','of','and','in','to'))) AS en, len(list_filter(t, lambda x: x IN ('der','die','und','den','das'))) AS de,
+    len(list_filter(t, lambda x: x IN ('le','la','les','et','des'))) AS fr, len(list_filter(t, lambda x: x IN ('el','los','que','y','del'))) AS es FROM tk))"""
+
+
+def _seen(spark, d):
+    return prep(spark, d, "source", "lang").select("unit_id", "source", "lang", dc.detect_language(F.col("tokens"), _LISTS)["language"].alias("seen"))
+
+
+@query(f" SELECT doc_id AS unit_id, coalesce(CASE WHEN source = 'src1' THEN lang END, seen) AS language FROM ({_SEEN})", uses="tk")
+def lang_detect_units(spark, d):
+    """What is detected, but for one source whose own mark wins."""
+    manual = F.when(F.col("source") == "src1", F.col("lang"))
+    return _seen(spark, d).select("unit_id", F.coalesce(manual, "seen").alias("language"))
+
+
+@query(f" SELECT doc_id, CASE seen WHEN 'und' THEN 'generic' ELSE 'list-' || seen END AS profile FROM ({_SEEN})", uses="tk")
 def lang_router(spark, d):
-    return docs(spark, d).where(F.col("lang").isin("en", "de", "fr", "tr")).select("doc_id", "source").distinct()
+    """Each document goes to the profile of the language that was detected, and without one to the generic profile."""
+    return _seen(spark, d).select(F.col("unit_id").alias("doc_id"), F.when(F.col("seen") == "und", "generic").otherwise(F.concat(F.lit("list-"), "seen")).alias("profile"))
 
 
 @query("SELECT doc_id, regexp_replace(text, E'\\r\\n?', E'\\n', 'g') AS text FROM documents")

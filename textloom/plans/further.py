@@ -37,7 +37,7 @@ for _name, _of in {
     "join_inverted_index": "sim_jaccard_pairwise", "win_topk_heap": "sim_query", "kwic_hit": "kwic_word", "ms_agreement": "ms_compare",
     "dr_service": "dr_labels", "al_assign": "win_al_queue", "rt_exact_topk": "rt_dense", "rt_rank_metrics_alt": "win_rank_metrics",
     "vec_word_count": "agg_dfm", "rel_service": "rel_alpha", "join_parent_child": "rt_parent", "ev_predict": "ml_fit_eval", "clu_run": "clu_kmeans", "st_dispatch": "st_ols",
-    "tok_batched": "tok_unicode", "sink_units_csv": "scan_units", "sink_sparse_matrix": "agg_dfm",
+    "tok_batched": "tok_unicode", 
 }.items():
     _also(_name, _of)
 
@@ -210,20 +210,6 @@ def rt_pack_reduce(spark, d):
     return x.withColumn("pack", F.floor((t - F.col("n")) / 200)).groupBy("conv_id", "pack").agg(F.count("*").alias("items"), F.sum("n").alias("tokens"))
 
 
-@query("SELECT doc_id AS unit_id, coalesce(CASE WHEN doc_id % 10 = 0 THEN 'tr' END, lang) AS language FROM documents")
-def lang_detect_units(spark, d):
-    """A manual override wins over what was detected."""
-    manual = docs(spark, d).where("doc_id % 10 = 0").select("doc_id", F.lit("tr").alias("manual"))
-    return docs(spark, d).join(manual, "doc_id", "left").select(F.col("doc_id").alias("unit_id"), F.coalesce("manual", "lang").alias("language"))
-
-
-@query("SELECT a.doc_id AS i, b.doc_id AS j FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id < b.doc_id WHERE a.n_chars >= 40")
-def rt_context_dedup(spark, d):
-    t = docs(spark, d).where("n_chars >= 40").select("doc_id", tx.checksum(F.col("text")).alias("h"))
-    a, b = t.select(F.col("doc_id").alias("i"), "h"), t.select(F.col("doc_id").alias("j"), "h")
-    return a.join(b, "h").where("i < j").select("i", "j")
-
-
 @query(rt.DIGEST_SQL.format(line="doc_id::VARCHAR", out="scope"))
 def rt_scope_hash(spark, d):
     return rt.digests(docs(spark, d), "lang", "doc_id", F.col("doc_id").cast("string"), "scope")
@@ -289,11 +275,6 @@ def ev_coefficients(spark, d):
     return spark.createDataFrame([(t, w) for w, t in rows[:10] + rows[-10:]], "term string, weight double")
 
 
-@query("SELECT unit_id, coder_id, value FROM ann", uses="ann")
-def sink_annotations_csv(spark, d):
-    return an.annotations(spark, d)
-
-
 @query("SELECT lower(source) AS a, lower(lang) AS b, count(*) AS n FROM documents GROUP BY ALL")
 def opt_aliases(spark, d):
     return docs(spark, d).groupBy(F.lower("source").alias("a"), F.lower("lang").alias("b")).agg(F.count("*").alias("n"))

@@ -38,12 +38,6 @@ def stream_event_windows(spark, d):
     return rounded(drained(stream_windows(stream), "complete"), 4)
 
 
-@query("SELECT doc_id, 'lang: ' || lang || ' | source: ' || source AS text FROM documents")
-def src_csv(spark, d):
-    cells = [F.concat(F.lit(f"{c}: "), F.col(c)) for c in ("lang", "source")]
-    return docs(spark, d).select("doc_id", F.concat_ws(" | ", *cells).alias("text"))
-
-
 @query("SELECT count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents")
 def sink_manifest(spark, d):
     """The counts of the manifest, read back from its JSON."""
@@ -53,15 +47,12 @@ def sink_manifest(spark, d):
     return back.crossJoin(one.agg(F.sum("n_chars").alias("chars")))  # one row each
 
 
-@query("SELECT doc_id, lang || '|' || source AS labels FROM documents")
-def sink_predictions_csv(spark, d):
-    rows = docs(spark, d).select("doc_id", F.array("lang", "source").alias("labels"), F.create_map("lang", F.lit(0.5)).alias("scores"))
-    return files.prediction_rows(rows).select("doc_id", "labels")
-
-
-@query("SELECT doc_id, lang, source, n_chars FROM documents ORDER BY doc_id LIMIT 250")
+@query("SELECT doc_id, lang, source, n_chars, (SELECT count(*) FROM documents) AS n_rows, (SELECT count(*) > 250 FROM documents) AS truncated FROM documents ORDER BY doc_id LIMIT 250")
 def sink_row_budget(spark, d):
-    return docs(spark, d).select("doc_id", "lang", "source", "n_chars").orderBy("doc_id").limit(250)
+    """The first 250 rows, with how many there were and whether some are left out."""
+    one = docs(spark, d).select("doc_id", "lang", "source", "n_chars")
+    n = one.agg(F.count("*").alias("n_rows")).withColumn("truncated", F.col("n_rows") > 250)
+    return one.orderBy("doc_id").limit(250).crossJoin(F.broadcast(n))  # one row
 
 
 @query("SELECT doc_id, doc_id || ':document:0' AS unit_id, sha256(text) AS text_hash FROM documents")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.operators.relations import running
+
 
 @F.pandas_udf(T.StringType())
 def decoded(content: pd.Series) -> pd.Series:
@@ -80,6 +82,14 @@ def write_units(units: DataFrame, path: str, kind: str = "parquet") -> None:
     out.option("header", True).option("escape", '"').csv(path) if kind == "csv" else out.format(kind).save(path)
 
 
+def write_matrix(matrix: DataFrame, path: str) -> None:
+    """A matrix (unit_id, term, count) as two tables: cells (i, j, value), and terms (j, term) by term."""
+    terms = running(matrix.select("term").distinct(), [F.col("term")], {"j": F.lit(1)}).select((F.col("j") - 1).alias("j"), "term")
+    terms.write.mode("overwrite").parquet(f"{path}/terms")
+    named = matrix.sparkSession.read.parquet(f"{path}/terms")
+    matrix.join(named, "term").select(F.col("unit_id").alias("i"), "j", F.col("count").alias("value")).write.mode("overwrite").parquet(f"{path}/cells")
+
+
 def prediction_rows(predictions: DataFrame) -> DataFrame:
     """Predictions as flat text: labels joined by |, scores as JSON."""
     return predictions.withColumns({"labels": F.array_join("labels", "|"), "scores": F.to_json("scores")})
