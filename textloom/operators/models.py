@@ -13,14 +13,14 @@ from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.operators.relations import ratio, running
+from textloom.operators.relations import drawn, ratio, running
 
 # --- splits ----------------------------------------------------------------------------------
 
 
 def grouped_split(rows: DataFrame, group: str, test: float = 0.2, validation: float = 0.2, seed: int = 42) -> DataFrame:
     """Adds split: whole groups go to test, validation or train by a seeded hash, so nothing leaks."""
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(group)), F.lit(1 << 20)) / (1 << 20)
+    u = drawn(seed, F.coalesce(F.col(group).cast("string"), F.lit(""))) % (1 << 20) / (1 << 20)
     return rows.withColumn("split", F.when(u < test, "test").when(u < test + validation, "validation").otherwise("train"))
 
 

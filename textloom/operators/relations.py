@@ -44,6 +44,12 @@ def running(rows: DataFrame, by: Sequence[Column], values: Mapping[str, Column],
     return made.select(*rows.columns, *[together(F.col(f"_{name}"), F.col(f"_own_{name}")).alias(name) for name in values])
 
 
+def drawn(seed: int, *keys: Column) -> Column:
+    """A number of 32 bits for the keys, by MD5: the same on any cluster and in any engine."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
     return F.when(b == 0, 0.0).otherwise(a / b)

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators.relations import drawn
+
 
 def raw_agreement(pairs: DataFrame) -> DataFrame:
     """One row of a pair table (a, b): share of equal labels, and how many pairs."""
@@ -131,7 +134,7 @@ def allocate(sizes: dict[str, int], total: int, mode: str = "proportional") -> d
 
 def draw(seed: int, *keys: str) -> Column:
     """A number for each key that stays the same on any cluster."""
-    return F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
+    return drawn(seed, *[F.col(k) for k in keys])
 
 
 def stratified_sample(units: DataFrame, stratum: str, size: int, mode: str = "proportional", seed: int = 42, max_per_document: int | None = None, document: str = "doc_id") -> DataFrame:
@@ -162,21 +165,21 @@ def assignment(units: DataFrame, annotators: Sequence[str], strategy: str = "ove
 def bootstrap_agreement(pairs: DataFrame, samples: int = 200, level: float = 0.95, seed: int = 42) -> DataFrame:
     """(low, high): percentile interval of Cohen's kappa over resampled units.
 
-    The pairs are first counted into a contingency table, so that a resample is a draw of Poisson
-    weights for its few cells, not of units.
+    The pairs are counted into a contingency table, whose few cells come to the driver; a resample of the units is a
+    multinomial draw of the cells' counts.
     """
-    cells = pairs.groupBy("a", "b").agg(F.count("*").alias("c"))
-    # a Poisson count of mean c is near enough a normal one here; each cell and sample has its own draw
-    u = lambda k: (F.pmod(F.xxhash64(F.lit(seed + k), "s", "a", "b"), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    normal = F.sqrt(-2 * F.ln(u(0))) * F.cos(2 * F.pi() * u(1))
-    drawn = cells.crossJoin(F.broadcast(pairs.sparkSession.range(samples).select(F.col("id").alias("s")))).withColumn(
-        "w", F.greatest(F.lit(0.0), F.round(F.col("c") + F.sqrt("c") * normal))
-    )
-    total = drawn.groupBy("s").agg(F.sum("w").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0.0)).alias("same"))
-    a = drawn.groupBy("s", F.col("a").alias("v")).agg(F.sum("w").alias("na"))
-    b = drawn.groupBy("s", F.col("b").alias("v")).agg(F.sum("w").alias("nb"))
-    chance = a.join(b, ["s", "v"]).groupBy("s").agg(F.sum(F.col("na") * F.col("nb")).alias("cross"))
-    po, pe = F.col("same") / F.col("n"), F.col("cross") / (F.col("n") * F.col("n"))
-    kappas = total.join(chance, "s").select(F.when(pe >= 1, 1.0).otherwise((po - pe) / (1 - pe)).alias("kappa"))
+    cells = pairs.groupBy("a", "b").agg(F.count("*").alias("c")).orderBy("a", "b").collect()  # at most a cell for each two labels
+    labels = sorted({v for r in cells for v in (r["a"], r["b"])}, key=str)
+    at = {v: i for i, v in enumerate(labels)}
+    counts = np.array([r["c"] for r in cells], np.int64)
+    n = int(counts.sum()) if len(counts) else 0
+    found: list[float] = []
+    for w in np.random.default_rng(seed).multinomial(n, counts / n, samples) if n else []:
+        table = np.zeros((len(labels), len(labels)))
+        for r, x in zip(cells, w):
+            table[at[r["a"]], at[r["b"]]] += x / n
+        po, pe = float(np.trace(table)), float(table.sum(axis=1) @ table.sum(axis=0))
+        found.append(1.0 if pe >= 1 else (po - pe) / (1 - pe))
     tail = (1 - level) / 2
-    return kappas.agg(F.percentile("kappa", F.lit(tail)).alias("low"), F.percentile("kappa", F.lit(1 - tail)).alias("high"))
+    ends = [float(np.quantile(found, q)) for q in (tail, 1 - tail)] if found else [None, None]
+    return pairs.sparkSession.createDataFrame([tuple(ends)], "low double, high double")

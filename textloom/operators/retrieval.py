@@ -77,14 +77,14 @@ def lexical(rel: DataFrame, terms: DataFrame, lengths: DataFrame, top_k: int, k1
     """(query_id, chunk_id, score, rank) by BM25. ``rel``: (chunk_id, term, count); ``terms``: (query_id, term);
     ``lengths``: (chunk_id, length). With ``every`` a chunk must hold all terms of the query."""
     stats = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))  # one row
-    asked = F.broadcast(terms.distinct())  # the queries' terms
-    df = rel.join(F.broadcast(terms.select("term").distinct()), "term").groupBy("term").agg(F.count("*").alias("df"))
+    asked = terms.distinct()
+    df = rel.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     need = terms.distinct().groupBy("query_id").agg(F.count("*").alias("need"))
     hit = rel.join(asked, "term").join(df, "term").join(lengths, "chunk_id").crossJoin(F.broadcast(stats))
     n, c = F.col("n"), F.col("count")
     idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * c * (k1 + 1) / (c + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    by = hit.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"), F.count("*").alias("k")).join(F.broadcast(need), "query_id")
+    by = hit.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 9).alias("score"), F.count("*").alias("k")).join(need, "query_id")
     return top((by.where("k = need") if every else by).select("query_id", "chunk_id", "score"), top_k)
 
 

@@ -225,13 +225,20 @@ def smp_allocate(spark, d):
     return sizes.select("source", "size", F.element_at(F.create_map(*[F.lit(x) for k, v in dealt.items() for x in (k, v)]), F.col("source")).cast("long").alias("allocated"))
 
 
-@query()
+_SAMPLE = """s AS (SELECT source, count(*) AS size FROM documents GROUP BY source), t AS (SELECT sum(size) AS t FROM s), q AS (SELECT source, size, {n} * size / t AS exact, floor({n} * size / t) AS low FROM s, t),
+    al AS (SELECT source, least(size, low + CASE WHEN row_number() OVER (ORDER BY exact - low DESC, source) <= {n} - sum(low) OVER () THEN 1 ELSE 0 END) AS many FROM q),
+    p AS (SELECT doc_id, source, ('0x' || left(md5('42:' || doc_id), 8))::BIGINT AS h FROM documents),
+    sm AS (SELECT doc_id, p.source, h FROM p JOIN al USING (source) QUALIFY row_number() OVER (PARTITION BY p.source ORDER BY h, doc_id) <= any_value(many) OVER (PARTITION BY p.source))"""
+
+
+@query("WITH " + _SAMPLE.format(n=100) + " SELECT doc_id AS unit_id, doc_id, source FROM sm")
 def smp_plan(spark, d):
     units = docs(spark, d).select(F.col("doc_id").alias("unit_id"), "doc_id", "source")
     return rl.stratified_sample(units, "source", 100)
 
 
-@query()
+@query("WITH " + _SAMPLE.format(n=60) + """, k AS (SELECT doc_id, row_number() OVER (ORDER BY h, doc_id) - 1 AS k FROM sm)
+    SELECT doc_id AS unit_id, unnest(CASE WHEN k < 15 THEN ['ann', 'bea', 'cem'] ELSE [['ann', 'bea', 'cem'][k % 3 + 1]] END) AS annotator FROM k""")
 def asg_plan(spark, d):
     units = docs(spark, d).select(F.col("doc_id").alias("unit_id"), "doc_id", "source")
     return rl.assignment(rl.stratified_sample(units, "source", 60), ["ann", "bea", "cem"], "overlap", 15)

@@ -106,14 +106,21 @@ def _cleaned(c):  # noqa: ANN001, ANN202
     return tx.clean_tables(tx.clean_page_numbers(tx.clean_whitespace(tx.clean_dehyphenate(c))))
 
 
-@query()
+_KEEP = "array_to_string(list_filter(string_split({x}, E'\\n'), lambda y: NOT regexp_matches(y, {p})), E'\\n')"
+_CLEANED = r"""a AS (SELECT doc_id, text, regexp_replace(text, '([A-Za-z])-\s*\n\s*([A-Za-z])', '\1\2', 'g') AS c FROM documents),
+    b AS (SELECT doc_id, text, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(c, E'\r\n?', E'\n', 'g'), E'[ \t]+', ' ', 'g'), E'\n{3,}', E'\n\n', 'g'), E' ?\n ?', E'\n', 'g'), E' \t\n') AS c FROM a),
+    p AS (SELECT doc_id, text, """ + _KEEP.format(x="c", p=r"'(?i)^\s*(?:page\s+)?(?:\d{1,4}|[-–—]\s*\d{1,4}\s*[-–—])\s*$'") + """ AS c FROM b),
+    cl AS (SELECT doc_id, text, """ + _KEEP.format(x="c", p=r"E'^\\s*\\|.+\\|\\s*$|^\\s*\\|?[\\s:-]+\\|[\\s|:-]*$|(?:\t[^\t]*){3,}'") + """ AS cleaned FROM p)"""
+
+
+@query("WITH " + _CLEANED + " SELECT doc_id AS unit_id, cleaned, sha256(text) AS before, sha256(cleaned) AS after FROM cl")
 def clean_pipeline(spark, d):
     """The steps in order, with checksums before and after."""
     made = docs(spark, d).select(F.col("doc_id").alias("unit_id"), "text", _cleaned(F.col("text")).alias("cleaned"))
     return made.select("unit_id", "cleaned", tx.checksum(F.col("text")).alias("before"), tx.checksum(F.col("cleaned")).alias("after"))
 
 
-@query()
+@query("WITH " + _CLEANED + " SELECT doc_id, text, cleaned FROM cl ORDER BY doc_id LIMIT 20")
 def clean_preview(spark, d):
     return docs(spark, d).orderBy("doc_id").limit(20).select("doc_id", "text", _cleaned(F.col("text")).alias("cleaned"))
 
@@ -181,7 +188,7 @@ def agg_dashboard(spark, d):
     return one.crossJoin(table(spark, d, "labels").agg(F.count("*").alias("n_labelled")))  # one row each
 
 
-@query()
+@query("SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in fr.WEIGHTINGS.items()) + ") v(scheme, weight)")
 def wt_catalog(spark, d):
     return spark.createDataFrame(list(fr.WEIGHTINGS.items()), "scheme string, weight string")
 

@@ -202,7 +202,8 @@ def ms_prevalence(spark, d):
     return rounded(p.groupBy(F.col("lang").alias("category")).agg(F.count("*").alias("c")).crossJoin(F.broadcast(n)).select("category", (F.col("c") / F.col("n")).alias("share")), 8)  # one row
 
 
-@query()
+@query("""SELECT doc_id, source, CASE WHEN u < 0.2 THEN 'test' WHEN u < 0.4 THEN 'validation' ELSE 'train' END AS split
+    FROM (SELECT doc_id, source, (('0x' || left(md5('42:' || source), 8))::BIGINT % 1048576) / 1048576 AS u FROM documents)""")
 def split_group_holdout(spark, d):
     """Sources never straddle a split; tested for leaks."""
     return md.grouped_split(docs(spark, d).select("doc_id", "source"), "source")

@@ -154,11 +154,15 @@ def rt_budget(spark, d):
     return rt.packed(c, 600, 512)
 
 
-@query()
+@query(
+    _LEX + """, o AS (SELECT lx.*, round(len(list_intersect(q.t, tk.t)) / len(q.t), 6) AS overlap FROM lx JOIN (SELECT query_id, list(term) AS t FROM qt GROUP BY query_id) q USING (query_id) JOIN tk ON tk.doc_id = chunk_id)
+    SELECT query_id, chunk_id, rank, overlap, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, score DESC, rank) AS new_rank FROM o""",
+    uses="tk tok",
+)
 def rt_rerank(spark, d):
     lexical = _lexical(spark, d).join(prep(spark, d).select(F.col("unit_id").alias("chunk_id"), F.col("tokens").alias("chunk_tokens")), "chunk_id")
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), tokens(F.col("text")).alias("query_tokens"))
-    return rt.reranked(lexical.join(asked, "query_id")).select("query_id", "chunk_id", "rank", "overlap", "new_rank")
+    return rounded(rt.reranked(lexical.join(asked, "query_id")).select("query_id", "chunk_id", "rank", "overlap", "new_rank"))
 
 
 @query(""", b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}]+(?:[''’][\\p{L}\\p{M}]+)?')) AS t FROM benchmark)
