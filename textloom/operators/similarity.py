@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,6 +116,41 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (below == 0), 0.0).otherwise(dot / below)
 
 
+def vector_pairs(vectors: DataFrame, min_score: float, block: int = 512) -> DataFrame:
+    """(i, j, score) by cosine of the vectors of equal label, at or over the score; i < j.
+
+    ``vectors``: (id long, label, v array<double>). A label's vectors are dealt into blocks, and each pair of blocks is
+    one matrix product in one task, so a large label is many tasks. Zero vectors and those of other lengths have no pair.
+    """
+    sizes = vectors.groupBy("label").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("k")).alias("a"), F.greatest(k, F.col("k")).alias("b")))
+    dealt = vectors.where(F.size("v") > 0).join(sizes, "label").withColumn("k", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = dealt.select("id", "label", "v", "k", F.explode(pairs).alias("p")).select("id", "label", "v", "k", "p.a", "p.b")
+
+    def near(t: pa.Table) -> pa.Table:
+        i, j, score = [], [], []
+        a, b, k, ids = t["a"][0].as_py(), t["b"][0].as_py(), t["k"].to_numpy(), t["id"].to_numpy()
+        values = t["v"].to_pylist()
+        sizes = np.array([len(v) for v in values])
+        for size in np.unique(sizes):
+            of = np.flatnonzero(sizes == size)
+            x = np.array([values[n] for n in of], np.float64)
+            long = np.sqrt((x * x).sum(axis=1))
+            of, x, long = of[long > 0], x[long > 0], long[long > 0]
+            left, right = np.flatnonzero(k[of] == a), np.flatnonzero(k[of] == b)
+            scores = x[left] @ x[right].T / long[left][:, None] / long[right][None, :]
+            m, n = np.nonzero(scores >= min_score)
+            p, q = ids[of[left[m]]], ids[of[right[n]]]
+            once = p < q if a == b else p != q
+            i.append(np.minimum(p, q)[once])
+            j.append(np.maximum(p, q)[once])
+            score.append(scores[m, n][once])
+        cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
+        return pa.table({"i": cat(i, np.int64), "j": cat(j, np.int64), "score": cat(score, np.float64)})
+
+    return dealt.groupBy("label", "a", "b").applyInArrow(near, "i bigint, j bigint, score double")
+
+
 # --- duplicates ------------------------------------------------------------------------------
 
 

@@ -84,11 +84,9 @@ def vec_cosine(spark, d):
     WHERE {_COS} >= 0.2500001"""
 )
 def sim_embedding_pairwise(spark, d):
-    """Vectors of the same label: the label bounds what is compared."""
-    e = table(spark, d, "embeddings")
-    a, b = e.select("label", F.col("vec_id").alias("i"), F.col("embedding").alias("x")), e.select("label", F.col("vec_id").alias("j"), F.col("embedding").alias("y"))
-    made = a.join(b, "label").where("i < j").select("i", "j", sm.cosine(F.col("x"), F.col("y")).alias("score"))
-    return rounded(made.where("score >= 0.2500001"))
+    """Vectors of the same label."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("v"))
+    return rounded(sm.vector_pairs(e, 0.2500001))
 
 
 def _groups_sql(key):
