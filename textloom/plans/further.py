@@ -34,10 +34,10 @@ def _also(name: str, of: str) -> None:
 
 for _name, _of in {
     "token_estimate": "token_estimates", "join_lsh_candidates": "dup_lsh", "join_span_overlap": "dict_exclusions",
-    "join_inverted_index": "sim_jaccard_pairwise", "win_topk_heap": "sim_query", "kwic_hit": "kwic_word", "ms_agreement": "ms_compare",
-    "dr_service": "dr_labels", "al_assign": "win_al_queue", "rt_exact_topk": "rt_dense", "rt_rank_metrics_alt": "win_rank_metrics",
-    "vec_word_count": "agg_dfm", "rel_service": "rel_alpha", "join_parent_child": "rt_parent", "ev_predict": "ml_fit_eval", "clu_run": "clu_kmeans", "st_dispatch": "st_ols",
-    "tok_batched": "tok_unicode", 
+    "join_inverted_index": "sim_jaccard_pairwise", "kwic_hit": "kwic_word", 
+    "rt_exact_topk": "rt_dense", "rt_rank_metrics_alt": "win_rank_metrics",
+    "join_parent_child": "rt_parent", "ev_predict": "ml_fit_eval", "clu_run": "clu_kmeans",
+    
 }.items():
     _also(_name, _of)
 
@@ -291,3 +291,64 @@ def opt_aliases(spark, d):
 def dfm_preview(spark, d):
     return dfm(token_rel(prep(spark, d))).orderBy("unit_id", "term").limit(200)
 
+
+
+@query(ps._W + " SELECT b.doc_id AS unit_id, round(sum(a.w * b.w), 6) AS score FROM v a JOIN v b ON a.term = b.term AND b.doc_id <> 7 WHERE a.doc_id = 7 GROUP BY 1 ORDER BY round(sum(a.w * b.w), 9) DESC, unit_id LIMIT 10", uses="tk tok")
+def win_topk_heap(spark, d):
+    """The ten units most like one: only ten rows are kept in order."""
+    scores = sm.query_scores(ps._weights(spark, d), 7).withColumn("order", F.round("score", 9))
+    return rounded(scores.orderBy(F.desc("order"), "unit_id").limit(10).select("unit_id", "score"))
+
+
+@query(" SELECT unit_id, ['ann', 'bea', 'cem'][(row_number() OVER (ORDER BY 1 - 2 * abs(score - 0.5) DESC, unit_id) - 1) % 3 + 1] AS annotator FROM (SELECT * FROM pred ORDER BY 1 - 2 * abs(score - 0.5) DESC, unit_id LIMIT 20)", uses="pred")
+def al_assign(spark, d):
+    """The 20 least certain units, dealt to three annotators in turn."""
+    queue = pm.predictions(spark, d).select("unit_id", md.uncertainty(F.col("score")).alias("u")).orderBy(F.desc("u"), "unit_id").limit(20)
+    place = (F.row_number().over(Window.orderBy(F.desc("u"), "unit_id")) - 1) % 3  # 20 rows
+    return queue.select("unit_id", F.get(F.array(*[F.lit(n) for n in ("ann", "bea", "cem")]), place).alias("annotator"))
+
+
+@query(" SELECT doc_id // 100 AS batch, count(*) AS n_units, sum(len(t))::BIGINT AS n_tokens FROM tk GROUP BY 1", uses="tk")
+def tok_batched(spark, d):
+    """Tokens by batches of a hundred ids, as they would be reported while a run goes on."""
+    p = prep(spark, d)
+    return p.groupBy(F.floor(F.col("unit_id") / 100).alias("batch")).agg(F.count("*").alias("n_units"), F.sum(F.size("tokens")).alias("n_tokens"))
+
+
+@query(" SELECT doc_id AS unit_id, len(list_distinct(t))::BIGINT AS n_features, len(t)::BIGINT AS total FROM tk WHERE len(t) > 0", uses="tk")
+def vec_word_count(spark, d):
+    """The rows of the count matrix by their sizes."""
+    return dfm(token_rel(prep(spark, d))).groupBy("unit_id").agg(F.count("*").alias("n_features"), F.sum("count").alias("total"))
+
+
+@query(f"SELECT a.*, b.* FROM ({ORACLE['rel_fleiss']}) a, ({ORACLE['rel_diagnostics']}) b")
+def rel_service(spark, d):
+    """What a report of agreement holds: the coefficient beside what it rests on."""
+    return QUERIES["rel_fleiss"](spark, d).crossJoin(QUERIES["rel_diagnostics"](spark, d))  # one row each
+
+
+@query(f"SELECT l.tvd, l.psi, s.ks FROM ({ORACLE['dr_labels']}) l, ({ORACLE['dr_scores']}) s")
+def dr_service(spark, d):
+    """All drift of labels and scores in one row."""
+    return QUERIES["dr_labels"](spark, d).crossJoin(QUERIES["dr_scores"](spark, d).select("ks"))  # one row each
+
+
+@query(
+    """, c AS (SELECT lang AS subgroup, count(*)::DOUBLE AS n, sum((truth = (score >= 0.5)::INT)::INT) / count(*) AS po, avg(truth) AS t, avg((score >= 0.5)::INT) AS p FROM pred WHERE truth IS NOT NULL GROUP BY lang)
+    SELECT subgroup, round(CASE WHEN t * p + (1 - t) * (1 - p) >= 1 THEN 1 ELSE (po - (t * p + (1 - t) * (1 - p))) / (1 - (t * p + (1 - t) * (1 - p))) END, 6) AS kappa FROM c""",
+    uses="pred",
+)
+def ms_agreement(spark, d):
+    """Chance-corrected agreement of predictions with the truth in each group."""
+    t, p = F.avg("truth").alias("t"), F.avg("predicted").alias("p")
+    by = pm.judged(spark, d).groupBy(F.col("lang").alias("subgroup")).agg(F.avg((F.col("truth") == F.col("predicted")).cast("int")).alias("po"), t, p)
+    chance = F.col("t") * F.col("p") + (1 - F.col("t")) * (1 - F.col("p"))
+    return rounded(by.select("subgroup", F.when(chance >= 1, 1.0).otherwise((F.col("po") - chance) / (1 - chance)).alias("kappa")))
+
+
+@query("SELECT 'l_quantity' AS outcome, CASE WHEN count(DISTINCT l_quantity) = 2 THEN 'logit' ELSE 'ols' END AS model FROM lineitem UNION ALL SELECT 'l_linestatus', CASE WHEN count(DISTINCT l_linestatus) = 2 THEN 'logit' ELSE 'ols' END FROM lineitem")
+def st_dispatch(spark, d):
+    """Which regression an outcome calls for: two values a logistic one, more a linear one."""
+    made = table(spark, d, "lineitem").agg(*[F.countDistinct(c).alias(c) for c in ("l_quantity", "l_linestatus")])
+    kinds = F.array(*[F.struct(F.lit(c).alias("outcome"), F.when(F.col(c) == 2, "logit").otherwise("ols").alias("model")) for c in ("l_quantity", "l_linestatus")])
+    return made.select(F.explode(kinds).alias("k")).select("k.*")
