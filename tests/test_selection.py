@@ -113,6 +113,20 @@ def test_factors_find_planted_topics(spark):
     assert sl.matched([{"a", "b"}, {"c"}], [{"c"}, {"a", "b"}]) == 1.0
 
 
+def test_singular_vectors_against_numpy(spark):
+    random.seed(7)
+    rows = [(i, random.choices("abcdefgh", [8, 7, 6, 5, 4, 3, 2, 1], k=12)) for i in range(40)]
+    df = spark.createDataFrame(rows, "unit_id int, tokens array<string>")
+    x, terms = sl._rows_of(df, 50)
+    m = np.zeros((40, len(terms)))
+    for r in x.collect():
+        m[r.unit_id, r["at"]] = r.value
+    v = np.linalg.svd(m)[2][:2].T
+    v *= np.sign(v[np.abs(v).argmax(axis=0), [0, 1]])
+    got = np.array([r.components for r in sorted(sl.svd(df, 2, 50).collect(), key=lambda r: r.unit_id)])
+    assert got == pytest.approx(m @ v, abs=1e-9)
+
+
 def test_chunk_rules(spark):
     one = lambda c, t: spark.createDataFrame([(t,)], "t string").select(c(F.col("t"))).first()[0]
     text = "Head line\nbody a\n\nHead line\nbody b\n\nHead line\nbody c\n\nother\nbody d"

@@ -155,6 +155,11 @@ def top_nmf(spark, d):
     return sl.nmf(prep(spark, d), 4, 8, 500)[0]
 
 
+@query()
+def dim_svd(spark, d):
+    return sl.svd(prep(spark, d), 2, 128)
+
+
 @query()
 def top_ksweep(spark, d):
     """Coherence and diversity for several numbers of topics; none is picked."""
