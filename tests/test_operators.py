@@ -141,6 +141,12 @@ def test_sentences_keep_abbreviations(spark):
     assert all(t[r.start : r.end] == r.text for r in got)
 
 
+def test_sentences_follow_the_language(spark):
+    df = spark.createDataFrame([(1, "Siehe Abs. zwei vgl. drei. Ende.", "de"), (2, "Siehe Abs. zwei.", "en"), (3, "See dept. two.", None)], "doc_id int, text string, lang string")
+    got = [(r.doc_id, r.text) for r in dc.segment(df, "sentence").orderBy("doc_id", "position").collect()]
+    assert got == [(1, "Siehe Abs. zwei vgl. drei."), (1, "Ende."), (2, "Siehe Abs."), (2, "zwei."), (3, "See dept. two.")]
+
+
 def test_cleaning(spark):
     df = docs(spark, ["a\n12\nb\n- 4 -\npage 3", "x|\n| a | b |\ny", "l1\nl2\nl3\nReferences\nz"])
     got = df.select(tx.clean_page_numbers("text"), tx.clean_tables("text"), tx.clean_bibliography("text")).collect()

@@ -106,23 +106,37 @@ def paragraphs(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: _cut(t or "", [m.span() for m in gap.finditer(t or "")]))
 
 
-# Words whose full stop ends no sentence.
-ABBREVIATIONS = frozenset("dr mr mrs ms prof sr jr st vs etc e.g i.e fig no vol cf al approx inc ltd co u.s u.k z.b d.h bzw usw nr ca m mme mlle p ex".split())
+# Words whose full stop ends no sentence, in all languages and in each.
+ABBREVIATIONS = {
+    "": "e.g i.e etc dr prof fig vs cf u.s u.k e.u",
+    "en": "e.g i.e etc vs viz cf approx dept dr mr mrs ms mssrs prof fig figs eq eqs vol vols no nos pp ch sec al ed eds rev gen lt col sgt jr sr st ave "
+    "blvd rd jan feb mar apr jun jul aug sep sept oct nov dec u.s u.k e.u ph.d m.d b.a m.a inc ltd co corp assn",
+    "de": "z.b u.a u.ä d.h bzw ca dr prof usw vgl evtl inkl exkl nr abs art s bd hrsg",
+    "fr": "m mme mlle dr pr prof c.-à-d c.a.d etc cf ex fig vol p pp n ste st",
+    "es": "dr dra sr sra srta prof etc pág pags vol fig ee.uu u.s núm cap",
+    "tr": "dr prof doç yrd vb vd örn vs no mad sf bkz",
+}
+
+
+def abbreviations_of(language: str | None) -> frozenset[str]:
+    """Those of all languages and of one; without a language the English ones."""
+    code = (language or "und").lower().replace("_", "-").split("-")[0]
+    return frozenset(f"{ABBREVIATIONS['']} {ABBREVIATIONS.get('en' if code == 'und' else code, '')}".split())
 
 
 @F.pandas_udf(_SPAN)
-def sentences(texts: pd.Series) -> pd.Series:
-    """Spans up to terminal marks, but not at abbreviations, decimals, initials, addresses and list numbers."""
+def sentences(texts: pd.Series, languages: pd.Series) -> pd.Series:
+    """Spans up to terminal marks, but not at the language's abbreviations, decimals, initials, addresses and list numbers."""
     import re
 
     end = re.compile(r"[.!?…。！？]+[\"'”’)\]]*(?=\s|$)")
 
-    def false_end(t: str, m: re.Match) -> bool:
+    def false_end(t: str, m: re.Match, known: frozenset[str]) -> bool:
         if "." not in m[0]:
             return False
         word = re.search(r"\S*$", t[: m.start()])[0]
         low = word.lower().lstrip("([\"'“‘")
-        if low in ABBREVIATIONS or "://" in low or "@" in low or low.startswith("www."):
+        if low in known or "://" in low or "@" in low or low.startswith("www."):
             return True
         rest = t[m.end() :].lstrip()[:1]
         if re.fullmatch(r"(?:[A-Za-z]\.)+[A-Za-z]", word):
@@ -132,17 +146,24 @@ def sentences(texts: pd.Series) -> pd.Series:
             return not before or before[-1] in ".!?…\"'”’)"
         return len(word) == 1 and word.isupper() and rest.isupper()
 
-    def one(t: str | None) -> list[dict]:
+    given = [v if isinstance(v, str) else None for v in languages]
+    lists = {v: abbreviations_of(v) for v in set(given)}
+
+    def one(t: str | None, language: str | None) -> list[dict]:
         t = t or ""
-        return _cut(t, [(m.end(), m.end()) for m in end.finditer(t) if not false_end(t, m)])
+        return _cut(t, [(m.end(), m.end()) for m in end.finditer(t) if not false_end(t, m, lists[language])])
+
+    return pd.Series([one(t, v) for t, v in zip(texts, given)])
 
-    return texts.map(one)
 
+def segment(docs: DataFrame, unit_type: str, doc: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """Units of each document: (doc_id, unit_id, unit_type, position, start, end, text, text_hash).
 
-def segment(docs: DataFrame, unit_type: str, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """Units of each document: (doc_id, unit_id, unit_type, position, start, end, text, text_hash)."""
+    Sentences follow the language in ``lang``, where there is such a column.
+    """
+    language = F.col(lang) if lang in docs.columns else F.lit(None).cast("string")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.length(text).alias("end"), F.col(text).alias("text")))
-    spans = {"document": whole, "paragraph": paragraphs(F.col(text)), "sentence": sentences(F.col(text))}[unit_type]
+    spans = {"document": whole, "paragraph": paragraphs(F.col(text)), "sentence": sentences(F.col(text), language)}[unit_type]
     made = docs.select(F.col(doc).alias("doc_id"), F.posexplode(spans).alias("position", "s"))
     return made.select(
         "doc_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(unit_type), F.col("position").cast("string")).alias("unit_id"),
