@@ -26,11 +26,13 @@ def unit_tfidf(matrix: DataFrame, n_units: int) -> DataFrame:
     return raw.join(norm, "unit_id").select("unit_id", "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def _candidates(prefixes: DataFrame) -> DataFrame:
-    """(i, j) of units that share a term of ``prefixes`` (unit_id, term, size); i < j. Sizes may differ as the caller allows."""
-    a = prefixes.select(F.col("unit_id").alias("i"), "term", F.col("least").alias("li"), F.col("size").alias("ni"))
-    b = prefixes.select(F.col("unit_id").alias("j"), "term", F.col("least").alias("lj"), F.col("size").alias("nj"))
-    return a.join(b, "term").where((F.col("i") < F.col("j")) & (F.col("ni") >= F.col("lj")) & (F.col("nj") >= F.col("li"))).select("i", "j").distinct()
+def _candidates(prefixes: DataFrame, fits: Column | None = None) -> DataFrame:
+    """(i, j) of units that share a term of ``prefixes`` (unit_id, term, ...); i < j. ``fits`` may compare the other columns,
+    which end in _a for the one and in _b for the other unit."""
+    others = [c for c in prefixes.columns if c not in ("unit_id", "term")]
+    side = lambda name, end: prefixes.select(F.col("unit_id").alias(name), "term", *[F.col(c).alias(c + end) for c in others])
+    paired = F.col("i") < F.col("j")
+    return side("i", "_a").join(side("j", "_b"), "term").where(paired if fits is None else paired & fits).select("i", "j").distinct()
 
 
 def pairwise(weights: DataFrame, min_score: float, top_k: int | None = None) -> DataFrame:
@@ -45,7 +47,7 @@ def pairwise(weights: DataFrame, min_score: float, top_k: int | None = None) ->
     order = Window.partitionBy("unit_id").orderBy(F.desc("df"), F.desc("term"))
     tail = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(order))
     rare = weights.join(common, "term").withColumn("tail", tail).where(F.col("tail") >= min_score - 1e-9)
-    pairs = _candidates(rare.select("unit_id", "term", F.lit(0).alias("least"), F.lit(0).alias("size")))
+    pairs = _candidates(rare.select("unit_id", "term"))
     a = weights.select(F.col("unit_id").alias("i"), "term", F.col("weight").alias("wa"))
     b = weights.select(F.col("unit_id").alias("j"), "term", F.col("weight").alias("wb"))
     scores = pairs.join(a, "i").join(b, ["j", "term"]).groupBy("i", "j").agg(F.sum(F.col("wa") * F.col("wb")).alias("score")).where(F.col("score") >= min_score)
@@ -56,8 +58,8 @@ def jaccard_pairs(matrix: DataFrame, min_score: float, counted: bool = False) ->
     """(i, j, score) of units by the Jaccard index of their terms; i < j. ``counted``: of multisets, by ``count``.
 
     Exact, by prefix filtering: two sets can reach the score only if they share one of the rarest
-    size - ⌈score · size⌉ + 1 terms of each, and if their sizes are near enough. Only these terms are
-    joined to find pairs; then all terms of these pairs are.
+    size - ⌈score · size⌉ + 1 terms of each, and if their sizes and the places of the term are near enough. Only these
+    terms are joined to find pairs; then all terms of these pairs are.
     """
     one = F.col("count") if counted else F.lit(1)
     sized = matrix.select("unit_id", "term", one.cast("long").alias("count")).withColumn("size", F.sum("count").over(Window.partitionBy("unit_id")))
@@ -67,7 +69,11 @@ def jaccard_pairs(matrix: DataFrame, min_score: float, counted: bool = False) ->
     before = F.sum("count").over(order) - F.col("count")
     least = F.ceil(F.col("size") * min_score - 1e-9)
     rare = sized.join(common, "term").withColumn("before", before).withColumn("least", least).where(F.col("before") < F.col("size") - F.col("least") + 1)
-    pairs = _candidates(rare.select("unit_id", "term", "least", "size"))
+    # what two units can share is bounded by what stands before and from the term on in each
+    before_a, before_b, size_a, size_b = (F.col(c) for c in ("before_a", "before_b", "size_a", "size_b"))
+    most = F.least(before_a, before_b) + F.least(size_a - before_a, size_b - before_b)
+    near = (size_a >= F.col("least_b")) & (size_b >= F.col("least_a")) & (most >= (size_a + size_b) * (min_score / (1 + min_score)) - 1e-9)
+    pairs = _candidates(rare.select("unit_id", "term", "least", "size", "before"), near)
     a = sized.select(F.col("unit_id").alias("i"), "term", F.col("count").alias("ca"), F.col("size").alias("ni"))
     b = sized.select(F.col("unit_id").alias("j"), "term", F.col("count").alias("cb"), F.col("size").alias("nj"))
     shared = pairs.join(a, "i").join(b, ["j", "term"]).groupBy("i", "j", "ni", "nj").agg(F.sum(F.least("ca", "cb")).alias("both"))
