@@ -250,7 +250,7 @@ def fit(
     drawn = F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1_000_000))
     # counting reads no text; a language of n rows keeps about three times what is wanted
     counts = usable.groupBy("lang").agg(F.count("*").alias("rows"))
-    usable = usable.join(counts, "lang")
+    usable = usable.join(F.broadcast(counts), "lang")  # one row a language
     limit = F.lit(3_000_000 * per_language) / F.col("rows") + 1
     few = usable.where((drawn < limit) & F.col("text").isNotNull())
     order = Window.partitionBy("lang").orderBy("drawn", "id")
