@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +43,10 @@ class Words:
 
     A word is a maximal run of bytes other than blank, TAB, LF, VT, FF and CR. ``offsets``
     has the number of the first word of each row, and the number of words. Null is empty.
-    ``lower``: A-Z in lower case.
+    ``lower``: A-Z in lower case. ``inside`` says which bytes belong to words, if others than these.
     """
 
-    def __init__(self, column: pa.Array, lower: bool = False) -> None:
+    def __init__(self, column: pa.Array, lower: bool = False, inside: Callable[[np.ndarray], np.ndarray] = lambda data: ~_BLANK[data]) -> None:
         column = column.fill_null("") if column.null_count else column
         _, bounds, data = column.buffers()
         at = np.frombuffer(bounds, np.int32)[column.offset :][: len(column) + 1].astype(np.int64)
@@ -55,26 +55,27 @@ class Words:
             self.data = _LOWER[self.data]
         at = at - at[0]
         # a blank between rows: the first byte of each row begins a word even without one before it
-        inside = ~_BLANK[self.data]
-        before = np.zeros(len(inside), bool)
-        before[1:] = inside[:-1]
+        within = inside(self.data)
+        before = np.zeros(len(within), bool)
+        before[1:] = within[:-1]
         firsts = at[:-1][at[:-1] < at[1:]]
         before[firsts] = False
-        self.start = np.flatnonzero(inside & ~before)
-        after = np.zeros(len(inside), bool)
-        after[:-1] = inside[1:]
+        self.start = np.flatnonzero(within & ~before)
+        after = np.zeros(len(within), bool)
+        after[:-1] = within[1:]
         after[at[1:][at[:-1] < at[1:]] - 1] = False
-        self.end = np.flatnonzero(inside & ~after) + 1
+        self.end = np.flatnonzero(within & ~after) + 1
         self.offsets = np.searchsorted(self.start, at)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word, the same in every process."""
+    def hashes(self, first: int | None = None) -> np.ndarray:
+        """A 64-bit hash of each word, or of its ``first`` bytes, the same in every process."""
         n = len(self.data)
         power, inverse = _tables(n)
         sums = np.zeros(n + 1, np.uint64)
+        end = self.end if first is None else np.minimum(self.end, self.start + first)
         with np.errstate(over="ignore"):
             np.cumsum(_VALUE[self.data] * power[:n], out=sums[1:])
-            h = (sums[self.end] - sums[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64)
+            h = (sums[end] - sums[self.start]) * inverse[self.start] + (end - self.start).astype(np.uint64)
             h ^= h >> np.uint64(31)
             h *= np.uint64(0xD6E8FEB86659FD93)
             return h ^ (h >> np.uint64(32))
