@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from textloom.plans import annotation, chunks, documents, frequency, lexical, models, retrieval, similarity, streams  # noqa: F401
-from textloom.plans import further, glue, named, selection  # noqa: F401  # after the others, which it refers to
+from textloom.plans import further, glue, named, selection, structures  # noqa: F401  # after the others, which it refers to
 from textloom.plans.registry import ORACLE, QUERIES, Query
 
 

@@ -277,11 +277,19 @@ def estimated(pairs: DataFrame, signatures: DataFrame, threshold: float = 0.8) -
 
 
 def hashed_embedding(toks: Column, dims: int = 256) -> Column:
-    """Bag of hashed tokens, as a vector of length one."""
-    slots = F.transform(toks, lambda t: F.pmod(F.xxhash64(t), F.lit(dims)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.size(F.filter(slots, lambda s: s == k)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, v: s + v * v))
-    return F.when(norm == 0, counts).otherwise(F.transform(counts, lambda v: v / norm))
+    """Bag of hashed tokens (MD5), as a vector of length one; of no tokens all zeros."""
+    slot = lambda t: (F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long") % dims).cast("int")
+
+    def counts(slots: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.size(F.filter(slots, lambda s: s == k)).cast("double"))
+
+    def unit(v: Column) -> Column:
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+        return F.when(norm == 0, v).otherwise(F.element_at(F.transform(F.array(norm), lambda n: F.transform(v, lambda x: x / n)), 1))
+
+    # one-element transforms bind the slots and the counts, which would else be made anew for each dimension
+    made = F.transform(F.transform(F.array(F.transform(toks, slot)), counts), unit)
+    return F.element_at(made, 1)
 
 
 def combined(*tiers: tuple[str, DataFrame]) -> DataFrame:

@@ -33,11 +33,8 @@ def _also(name: str, of: str) -> None:
 
 
 for _name, _of in {
-    "token_estimate": "token_estimates", "join_lsh_candidates": "dup_lsh", "join_span_overlap": "dict_exclusions",
-    "join_inverted_index": "sim_jaccard_pairwise", "kwic_hit": "kwic_word", 
-    "rt_exact_topk": "rt_dense", "rt_rank_metrics_alt": "win_rank_metrics",
+    "token_estimate": "token_estimates", "join_lsh_candidates": "dup_lsh", "kwic_hit": "kwic_word", "rt_rank_metrics_alt": "win_rank_metrics",
     "join_parent_child": "rt_parent", "ev_predict": "ml_fit_eval", "clu_run": "clu_kmeans",
-    
 }.items():
     _also(_name, _of)
 
@@ -321,10 +318,10 @@ def vec_word_count(spark, d):
     return dfm(token_rel(prep(spark, d))).groupBy("unit_id").agg(F.count("*").alias("n_features"), F.sum("count").alias("total"))
 
 
-@query(f"SELECT a.*, b.* FROM ({ORACLE['rel_fleiss']}) a, ({ORACLE['rel_diagnostics']}) b")
+@query(f"SELECT a.*, b.* EXCLUDE (n_units) FROM ({ORACLE['rel_fleiss']}) a, ({ORACLE['rel_diagnostics']}) b")
 def rel_service(spark, d):
     """What a report of agreement holds: the coefficient beside what it rests on."""
-    return QUERIES["rel_fleiss"](spark, d).crossJoin(QUERIES["rel_diagnostics"](spark, d))  # one row each
+    return QUERIES["rel_fleiss"](spark, d).crossJoin(QUERIES["rel_diagnostics"](spark, d).drop("n_units"))  # one row each
 
 
 @query(f"SELECT l.tvd, l.psi, s.ks FROM ({ORACLE['dr_labels']}) l, ({ORACLE['dr_scores']}) s")

@@ -165,6 +165,10 @@ def dup_report(spark, d):
     )
 
 
-@query()
+@query(
+    """, c AS (SELECT doc_id, list_transform(range(64), lambda k: len(list_filter(s, lambda x: x = k))::DOUBLE) AS c FROM (SELECT doc_id, list_transform(t, lambda x: ('0x' || md5(x)[1:8])::BIGINT % 64) AS s FROM tk))
+    SELECT doc_id AS unit_id, list_transform(c, lambda x: x / CASE WHEN list_sum(c) = 0 THEN 1 ELSE sqrt(list_dot_product(c, c)) END) AS embedding FROM c""",
+    uses="tk",
+)
 def emb_hash(spark, d):
     return prep(spark, d).select("unit_id", sm.hashed_embedding(F.col("tokens"), 64).alias("embedding"))
