@@ -285,7 +285,8 @@ def predict(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str
 
 
 def with_language(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
-    """``docs`` with all its columns, and lang_pred and score after them."""
+    """``docs`` with all its columns, and lang_pred and score after them; columns of these names give way."""
+    docs = docs.drop("lang_pred", "score")
     at = docs.columns.index(text_col)
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     schema = T.StructType([*docs.schema.fields, *added])

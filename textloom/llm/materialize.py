@@ -152,7 +152,8 @@ def materialize(
 
     id_kind = base.schema["id"].dataType.simpleString()
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), base.count() // rows_each)
-    in_order = base.repartitionByRange(ranges, "id").sortWithinPartitions("id", F.xxhash64("text"))
+    order = ("id", F.xxhash64("text"))  # so that the rows of one id, or of none, are dealt over ranges too
+    in_order = base.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     encoded = written(in_order.mapInArrow(encode, f"part bigint, before bigint, n bigint, id {id_kind}, tokens binary"), "tokens")
     # one row for each range
     sums = written(encoded.groupBy("part").agg(F.sum("n").alias("n")), "sums")

@@ -3,7 +3,7 @@
 Documents are counted into cells of source, language and topic, by tokens. The cells'
 tokens are raked: scaled to the target of one margin after the other until all three
 hold, never above what a cell has. The ratio of raked to present tokens is the
-probability with which each document of the cell is sampled, by a hash of its id, so that
+probability with which each document of the cell is sampled, by a hash of its id and text, so that
 the expected tokens of the sample meet the targets, and the same rows are drawn again on any
 cluster.
 
@@ -21,8 +21,8 @@ Raking ends when the margins hold, or when nothing moves any more; targets that
 ask for cells that are not there can't hold, which is warned of with the distance that is left.
 
 Defined cases: null source, language or topic is a value of its own, "unspecified"; null
-or blank texts have no tokens and are never sampled; rows of equal id and content are
-sampled together; an empty table gives an empty table. Other columns stay as they are; one that bears the
+or blank texts have no tokens and are never sampled; rows of equal id and text are
+sampled together, and rows that share only the id (or have none) each for itself; an empty table gives an empty table. Other columns stay as they are; one that bears the
 name of a result (``RESULTS``) gives way to it.
 """
 
@@ -203,8 +203,8 @@ def mixed(
     celled = with_cells(docs, text_col, source_col, lang_col, topic)
     cells = written(celled.groupBy(*MARGINS).agg(F.sum("_tokens").cast("double").alias("have")).where("have > 0"), "have")
     weights = written(raked(cells, targets or {}, share, flatten).select(*MARGINS, (F.col("want") / F.col("have")).alias("_weight")), "weights")
-    ident = F.col("doc").getField(id_col)
-    draw = (F.xxhash64(ident, F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1).cast("long")) / F.lit(float(1 << 52))).cast("double")
+    ident, text = F.col("doc").getField(id_col), F.col("doc").getField(text_col)
+    draw = (F.xxhash64(ident, text, F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1).cast("long")) / F.lit(float(1 << 52))).cast("double")
     weighed = celled.join(weights, list(MARGINS), "left").withColumn("_weight", F.when(F.col("_tokens") > 0, F.coalesce("_weight", F.lit(0.0))).otherwise(0.0))
     others = [F.col("doc").getField(c).alias(c) for c in docs.columns if c not in RESULTS]
     return weighed.withColumn("_sampled", draw < F.col("_weight")).select(*others, *RESULTS)

@@ -6,10 +6,10 @@ sends a word once for each piece of text. Counts are summed by Spark.
 A word's code points have polynomial hashes of all its prefixes and suffixes; from these comes the
 64-bit hash of the word without its i-th code point for every i at once, without building one string. Two words are
 one replacement apart just if both lose the same position and become the same, and one insertion apart just if one of
-them becomes the other. So a row goes out for each deletion, and one for the word itself, under the
+them becomes the other. So a row of three numbers goes out for each deletion, and one for the word itself, under the
 hash of what is left. Spark deals them by the hash's leading bits and sorts each partition by the hash
-(long keys are sorted by radix); a task reads one run of equal keys after the other. Where a
-run holds different words, what is left is built as a string and compared, so a collision of hashes links nothing.
+(long keys are sorted by radix); a task reads one run of equal keys after the other. Rows that
+meet another word there are joined with the words, and what is left is built as a string and compared, so a collision of hashes links nothing.
 
 What is left of a word has at most one more letter at a place, so the words that meet under a key and position are
 no more than the alphabet has letters, and no key is hot, whatever the counts. Nor are pairs sent: each word of a run
@@ -96,8 +96,11 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return base.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def deletion_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, position, key) of every deletion of every word, and of the word itself at position -1."""
+def deletion_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word, position, key, new) of every deletion of every word, and of the word itself at position -1.
+
+    new is false where the letter before is the same, as that deletion leaves the same.
+    """
     size = np.array([len(w) for w in words], np.int64)
     code = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
     n = int(size.max(initial=0))
@@ -118,24 +121,24 @@ def deletion_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         keys ^= keys >> np.uint64(31)
         keys *= np.uint64(0xD6E8FEB86659FD93)
         keys ^= keys >> np.uint64(32)
-    return np.r_[word, np.arange(len(words))], np.r_[pos, np.full(len(words), -1)], keys.view(np.int64)
+    new = np.ones(len(code) + len(words), bool)
+    new[1 : len(code)] = (code[1:] != code[:-1]) | (pos[1:] == 0)
+    return np.r_[word, np.arange(len(words))], np.r_[pos, np.full(len(words), -1)], keys.view(np.int64), new
 
 
 def _keyed(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """(radix, key, wid, pos, new) from (wid, word)."""
     for batch in batches:
-        for part in pieces(batch, 0, 1 << 16):
-            at, pos, key = deletion_keys(part.column(0).to_pylist())
+        for part in pieces(batch, 1, 1 << 16):
+            at, pos, key, new = deletion_keys(part.column(1).to_pylist())
             if bits < 64:
                 key = key & ((1 << bits) - 1)
-            which = pa.array(at)
             radix = (key.view(np.uint64) >> np.uint64(max(0, min(bits, 64) - _RADIX_BITS))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(radix), pa.array(key), part.column(0).take(which), part.column(1).take(which), pa.array(pos.astype(np.int32))], ["radix", "key", "word", "n", "pos"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(radix), pa.array(key), part.column(0).take(pa.array(at)), pa.array(pos.astype(np.int32)), pa.array(new)], ["radix", "key", "wid", "pos", "new"])
 
 
 def _equal_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of runs of equal keys that hold more than one word, a run or several at once; rows come sorted by key."""
+    """The rows of whole runs of equal keys, one run or several at once; rows come sorted by key."""
     held: pa.Table | None = None
     for batch in batches:
         now = pa.Table.from_batches([batch])
@@ -149,16 +152,39 @@ def _equal_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield held
 
 
+_WHOLE, _SHORTER, _REPLACED = 0, 1, 2
+
+
+def _met(table: pa.Table) -> pa.RecordBatch:
+    """(key, wid, pos, how) of the rows that meet another word under their key, from whole runs of keys.
+
+    A word itself and, where there is one, the deletions of other words that leave something new stand for insertions; deletions of
+    different words at one position stand for replacements. All other rows go.
+    """
+    key, wid, pos, other = (table[c].to_numpy() for c in ("key", "wid", "pos", "new"))
+    order = np.lexsort((wid, pos, key))
+    key, wid, pos, other = key[order], wid[order], pos[order], other[order]
+    new = np.r_[True, key[1:] != key[:-1]]
+    of = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    several = (np.minimum.reduceat(wid, first) != np.maximum.reduceat(wid, first))[of]
+    whole = np.bitwise_or.reduceat((pos < 0).astype(np.int8), first).astype(bool)[of]
+    place = np.r_[True, new[1:] | (pos[1:] != pos[:-1])]
+    at = np.cumsum(place) - 1
+    begin = np.flatnonzero(place)
+    replaced = (pos >= 0) & (np.minimum.reduceat(wid, begin) != np.maximum.reduceat(wid, begin))[at]
+    parts = [(_WHOLE, several & (pos < 0)), (_SHORTER, several & whole & other & (pos >= 0)), (_REPLACED, replaced)]
+    kept = [np.flatnonzero(x) for _, x in parts]
+    how = np.repeat([k for k, _ in parts], [len(x) for x in kept]).astype(np.int32)
+    rows = np.concatenate(kept)
+    return pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(wid[rows]), pa.array(pos[rows]), pa.array(how)], ["key", "wid", "pos", "how"])
+
+
 def _near(table: pa.Table) -> dict[str, list]:
-    """For each word of a table of whole runs: how many words it is near to there, and the commonest with its count."""
-    key = table["key"].to_numpy()
-    same = np.zeros(len(key), bool)
-    same[1:] = key[1:] == key[:-1]
-    same[:-1] |= same[1:]
-    few = table.filter(pa.array(same))
-    groups: dict[tuple[int, str], list[tuple[int, str, int]]] = defaultdict(list)
-    for k, word, n, pos in zip(*(few[c].to_pylist() for c in ("key", "word", "n", "pos"))):
-        groups[k, word if pos < 0 else word[:pos] + word[pos + 1 :]].append((pos, word, n))
+    """For each word of a table of whole runs (key, how, pos, word, n): how many words it is near to there, and the commonest with its count."""
+    groups: dict[tuple[int, str], list[tuple[int, int, int, str]]] = defaultdict(list)
+    for k, how, pos, word, n in zip(*(table[c].to_pylist() for c in ("key", "how", "pos", "word", "n"))):
+        groups[k, word if pos < 0 else word[:pos] + word[pos + 1 :]].append((how, pos, -n, word))
     out: dict[str, list] = {c: [] for c in ("word", "n_near", "near", "near_n")}
 
     def put(word: str, others: int, best: tuple[int, str]) -> None:
@@ -166,20 +192,18 @@ def _near(table: pa.Table) -> dict[str, list]:
             out[c].append(v)
 
     for members in groups.values():
-        if len(members) < 2:
-            continue
-        whole = [(w, n) for pos, w, n in members if pos < 0]
-        longer = {w: n for pos, w, n in members if pos >= 0}
+        whole = [(n, w) for how, _, n, w in members if how == _WHOLE]
+        longer = [(n, w) for how, _, n, w in members if how == _SHORTER]
         if whole and longer:
-            w, n = whole[0]
-            put(w, len(longer), min((-m, v) for v, m in longer.items()))
-            for v in longer:
-                put(v, 1, (-n, w))
+            put(whole[0][1], len(longer), min(longer))
+            for _, w in longer:
+                put(w, 1, whole[0])
         by_place = defaultdict(list)
-        for pos, w, n in members:
-            by_place[pos].append((-n, w))
-        for pos, at in by_place.items():
-            if pos >= 0 and len(at) > 1:
+        for how, pos, n, w in members:
+            if how == _REPLACED:
+                by_place[pos].append((n, w))
+        for at in by_place.values():
+            if len(at) > 1:
                 first, second = sorted(at)[:2]
                 for x in at:
                     put(x[1], len(at) - 1, second if x == first else first)
@@ -187,17 +211,25 @@ def _near(table: pa.Table) -> dict[str, list]:
 
 
 def near_words(words: DataFrame, bits: int = 64) -> DataFrame:
-    """(word, n_near, near, near_n): the near words of each of ``words`` (word, n) that has any, and the commonest of them."""
-    spark = words.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    keyed = words.select("word", "n").mapInArrow(lambda b: _keyed(b, bits), "radix int, key bigint, word string, n bigint, pos int")
+    """(word, n_near, near, near_n): the near words of each of ``words`` (wid, word, n) that has any, and the commonest of them.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Only keys, ids and positions are dealt and sorted; strings join the few rows that met another word.
+    """
+    parts = max(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    keyed = words.select("wid", "word").mapInArrow(lambda b: _keyed(b, bits), "radix int, key bigint, wid bigint, pos int, new boolean")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _equal_runs(batches):
+            yield _met(table)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _equal_runs(batches):
             made = _near(table)
             yield pa.RecordBatch.from_arrays([pa.array(made["word"], pa.string()), pa.array(made["n_near"], pa.int64()), pa.array(made["near"], pa.string()), pa.array(made["near_n"], pa.int64())], ["word", "n_near", "near", "near_n"])
 
-    found = keyed.repartition(parts, "radix").sortWithinPartitions("key").mapInArrow(run, "word string, n_near bigint, near string, near_n bigint")
+    met = written(keyed.repartition(parts, "radix").sortWithinPartitions("key").mapInArrow(meet, "key bigint, wid bigint, pos int, how int"), "met")
+    told = met.join(words, "wid").select("key", "how", "pos", "word", "n").repartition("key").sortWithinPartitions("key")
+    found = told.mapInArrow(judge, "word string, n_near bigint, near string, near_n bigint")
     best = F.min(F.struct((-F.col("near_n")).alias("o"), "near")).alias("b")
     return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best).select("word", "n_near", F.col("b.near").alias("near"), (-F.col("b.o")).alias("near_n"))
 
@@ -224,7 +256,8 @@ def spelling_variants(
 
     ``bits`` of the keys may be fewer in tests, which makes them collide.
     """
-    words = written(word_counts(docs, id_col, text_col, least_letters, every).where(F.col("n") >= least_count), "words")
+    counts = word_counts(docs, id_col, text_col, least_letters, every).where(F.col("n") >= least_count)
+    words = written(counts.withColumn("wid", F.monotonically_increasing_id()), "words")
     near = words.join(near_words(words, bits), "word", "left")
     enough = F.col("near_n") >= ratio * F.col("n")
     made = written(near.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(enough, F.col("near")).alias("form"), F.when(enough, F.col("near_n")).alias("form_n")), "near")
