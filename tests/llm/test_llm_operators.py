@@ -551,3 +551,91 @@ def test_texts_in_no_known_language_score_low(spark):
     assert (scores(foreign) < LEAST_SCORE).all()
     assert (scores([shuffled(t) for t in known if len(t) > 200]) < LEAST_SCORE).mean() >= 0.9
     assert (scores(known) >= LEAST_SCORE).mean() >= 0.98
+
+
+# --- the pipeline's near copies, and draws by id and text ------------------------------------------
+
+
+def five_word_sets(rows):
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    out = {}
+    for i, t in rows:
+        w = WORD.findall((t or "").translate(lower))
+        out[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+    return out
+
+
+def alike_groups(sets):
+    """Groups of rows joined by likeness 0.8 or more, and the pairs themselves."""
+    holders, pairs = {}, set()
+    for i, s in sets.items():
+        for g in s or {()}:
+            holders.setdefault(g, []).append(i)
+    for members in holders.values():
+        pairs.update(itertools.combinations(members, 2))
+    pairs = {(a, b) for a, b in pairs if (len(sets[a] & sets[b]) / len(sets[a] | sets[b]) if sets[a] | sets[b] else 1.0) >= 0.8}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in pairs:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    return {i: root(i) for i in sets}, pairs
+
+
+@pytest.mark.parametrize("verify_block", [256, 4])  # also with candidate groups cut in blocks
+def test_near_copies_against_exact_likeness(spark, verify_block):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    random.seed(8)
+    base = rows[3][1].split()
+    base = (base * 3)[:300]
+    for k in range(60):  # a group of near copies of one text
+        words = list(base)
+        for _ in range(random.randint(0, 4)):
+            words[random.randrange(len(words))] = f"w{random.randint(0, 99)}"
+        rows.append((100_000 + k, " ".join(words)))
+    got = {r.row: r.root for r in simhash.near_copies(spark.createDataFrame(rows, "row long, text string"), verify_block=verify_block).collect()}
+    group, pairs = alike_groups(five_word_sets(rows))
+    found = sum(a in got and got[a] == got.get(b) for a, b in pairs)
+    assert found >= 0.95 * len(pairs)
+    by_root = {}
+    for i, r in got.items():
+        by_root.setdefault(r, set()).add(i)
+    assert all(len({group[i] for i in members}) == 1 and len(members) > 1 for members in by_root.values())  # nothing else is grouped
+
+
+def test_without_near_copies_of_odd_rows(spark):
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(5, "a b c d e f g"), (4, "A b c d e f g"), (None, "a b c d e f g"), (4, "a b c d e f g"), (1, None), (2, ""), (3, " \n"), (9, "other words are here now"), (8, long), (7, f"{long} end"), (None, "quite another text of words")]
+    got = simhash.without_near_copies(docs(spark, rows, extra=True)).collect()
+    ids = sorted((r.doc_id is None, r.doc_id or 0) for r in got)
+    assert ids == [(False, 1), (False, 4), (False, 7), (False, 9), (True, 0)]
+    assert simhash.without_near_copies(docs(spark, [])).count() == 0
+
+
+def test_likeness_of_sets():
+    a, b = np.array([1, 5, 9], np.uint64), np.array([5, 9, 11, 12], np.uint64)
+    assert simhash.likeness(a, b) == 2 / 5 and simhash.likeness(a, a) == 1 and simhash.likeness(a[:0], b) == 0 and simhash.likeness(a[:0], b[:0]) == 1
+    assert simhash.plan_anchors(1000)[0] == 0 and simhash.plan_anchors(10**9)[0] > 8
+
+
+def test_mixing_draws_by_id_and_text(spark):
+    """Rows that share an id, or have none, are drawn each for itself."""
+    for ident in (None, 7):
+        rows = [(ident, f"word number {k} of a text") for k in range(3000)]
+        got = mixing.mixed(docs(spark, rows), share=0.5).select("_sampled", "_weight").collect()
+        weight = got[0]["_weight"]
+        deviation = (weight * (1 - weight) * len(got)) ** 0.5
+        assert 0 < weight < 1 and abs(sum(r["_sampled"] for r in got) - weight * len(got)) <= 3 * deviation
+    twice = [(3, "the same text")] * 50
+    assert len({r["_sampled"] for r in mixing.mixed(docs(spark, twice), share=0.5).collect()}) == 1
+
+
+def test_language_columns_give_way(spark):
+    base = docs(spark, [(1, "one two"), (2, None)]).withColumns({"lang_pred": F.lit("x"), "score": F.lit(9.0)})
+    got = langid.with_language(base, langid.Network.fresh([], 4, 1))
+    assert got.columns == ["doc_id", "text", "lang", "source", "lang_pred", "score"] and {r.lang_pred for r in got.collect()} == {"und"}
