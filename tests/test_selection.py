@@ -11,6 +11,7 @@ from textloom.operators import chunks as ch
 from textloom.operators import memory as mm
 from textloom.operators import reliability as rl
 from textloom.operators import retrieval as rt
+from textloom.operators import factors as fc
 from textloom.operators import selection as sl
 from textloom.operators import settings as st
 from textloom.operators import similarity as sm
@@ -104,27 +105,91 @@ def test_factors_find_planted_topics(spark):
     random.seed(6)
     groups = [["ant", "bee", "fly"], ["oak", "elm", "ash"]]
     rows = [(i, random.choices(groups[i % 2], k=20)) for i in range(60)]
-    terms, shares = sl.nmf(spark.createDataFrame(rows, "unit_id int, tokens array<string>"), 2, 30, 50, top_n=3)
+    terms, shares, errors = fc.nmf(spark.createDataFrame(rows, "unit_id int, tokens array<string>"), 2, 12, top_n=3)
     by = {}
     for r in terms.collect():
         by.setdefault(r.topic, set()).add(r.term)
     assert sorted(map(sorted, by.values())) == sorted(map(sorted, groups))
     assert all(max(r.shares) > 0.9 for r in shares.collect())
-    assert sl.matched([{"a", "b"}, {"c"}], [{"c"}, {"a", "b"}]) == 1.0
+    assert errors == sorted(errors, reverse=True)
+
+
+def test_matching_against_all_permutations():
+    random.seed(11)
+    assert sl.matched([{"a", "b"}, {"c"}], [{"c"}, {"a", "b"}]) == 1.0 and sl.matched([], []) == 1.0
+    for _ in range(40):
+        a, b = ([set(random.sample("abcdefgh", random.randint(0, 5))) for _ in range(random.randint(1, 5))] for _ in range(2))
+        small, large = sorted((a, b), key=len)
+        near = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+        want = max(sum(near(x, y) for x, y in zip(small, p)) / len(small) for p in itertools.permutations(large, len(small)))
+        assert sl.matched(a, b) == pytest.approx(want)
+
+
+def dense(rows):
+    """The matrix of (unit_id, term, weight) rows, by sorted units and terms."""
+    units, terms = sorted({r.unit_id for r in rows}), sorted({r.term for r in rows})
+    m = np.zeros((len(units), len(terms)))
+    for r in rows:
+        m[units.index(r.unit_id), terms.index(r.term)] = r.weight
+    return m, units, terms
 
 
 def test_singular_vectors_against_numpy(spark):
     random.seed(7)
-    rows = [(i, random.choices("abcdefgh", [8, 7, 6, 5, 4, 3, 2, 1], k=12)) for i in range(40)]
-    df = spark.createDataFrame(rows, "unit_id int, tokens array<string>")
-    x, terms = sl._rows_of(df, 50)
-    m = np.zeros((40, len(terms)))
-    for r in x.collect():
-        m[r.unit_id, r["at"]] = r.value
+    df = spark.createDataFrame([(i, random.choices("abcdefgh", [8, 7, 6, 5, 4, 3, 2, 1], k=12)) for i in range(40)] + [(40, [])], "unit_id int, tokens array<string>")
+    m, _, _ = dense(fc.weights_of(df).collect())
     v = np.linalg.svd(m)[2][:2].T
     v *= np.sign(v[np.abs(v).argmax(axis=0), [0, 1]])
-    got = np.array([r.components for r in sorted(sl.svd(df, 2, 50).collect(), key=lambda r: r.unit_id)])
-    assert got == pytest.approx(m @ v, abs=1e-9)
+    got = np.array([r.components for r in sorted(fc.svd(df, 2).collect(), key=lambda r: r.unit_id)])
+    assert got == pytest.approx(np.r_[m @ v, np.zeros((1, 2))], abs=1e-9)
+
+
+def test_singular_values_of_the_whole_vocabulary(spark):
+    from textloom.plans.frequency import prep
+
+    weights = fc.weights_of(prep(spark, "/root/testdata/sf0.01"))
+    m, _, terms = dense(weights.collect())
+    assert len(terms) > 20_000
+    got = fc.singular(weights, 4)
+    want = np.sqrt(np.linalg.eigvalsh(m @ m.T)[::-1][:4])
+    assert got.values == pytest.approx(want, rel=1e-3)
+
+
+def plain_nmf(m, k, rounds, tolerance):
+    u, s, v = np.linalg.svd(m, full_matrices=False)
+    w, h = np.zeros((len(m), k)), np.zeros((k, m.shape[1]))
+    for i in range(k):
+        if i == 0:
+            w[:, 0], h[0] = np.sqrt(s[0]) * np.abs(u[:, 0]), np.sqrt(s[0]) * np.abs(v[0])
+            continue
+        parts = [(np.maximum(sign * u[:, i], 0), np.maximum(sign * v[i], 0)) for sign in (1, -1)]
+        x, y = max(parts, key=lambda p: np.linalg.norm(p[0]) * np.linalg.norm(p[1]))
+        a, b = np.linalg.norm(x), np.linalg.norm(y)
+        w[:, i], h[i] = np.sqrt(s[i] * a * b) * x / a, np.sqrt(s[i] * a * b) * y / b
+    w[w < 1e-6], h[h < 1e-6] = m.mean(), m.mean()
+    errors = []
+    for _ in range(rounds):
+        w = w * (m @ h.T) / np.maximum(w @ (h @ h.T), 1e-12)
+        errors.append(np.linalg.norm(m - w @ h))
+        if len(errors) > 10 and errors[-11] - errors[-1] < tolerance * errors[0]:
+            break
+        h = h * (w.T @ m) / np.maximum((w.T @ w) @ h, 1e-12)
+    return w, h, errors
+
+
+def test_nonnegative_factors_against_numpy(spark):
+    from textloom.plans.frequency import prep
+
+    p = prep(spark, "/root/testdata/sf0.001")
+    m, units, terms = dense(fc.weights_of(p).collect())
+    got, shares, errors = fc.nmf(p, 3, 4)
+    w, h, want = plain_nmf(m, 3, 4, 1e-4)
+    assert errors == pytest.approx(want, rel=1e-4)
+    for t in range(3):
+        order = sorted(range(len(terms)), key=lambda i: (-round(h[t, i], 9), terms[i]))[:10]
+        assert [r.weight for r in sorted(got.where(f"topic = {t}").collect(), key=lambda r: r.rank)] == pytest.approx([h[t, i] for i in order], rel=1e-2)
+    want_shares = dict(zip(units, w / w.sum(axis=1, keepdims=True)))
+    assert all(r.shares == pytest.approx(want_shares[r.unit_id], abs=0.01) for r in shares.collect())
 
 
 def test_chunk_rules(spark):

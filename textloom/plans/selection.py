@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textloom.operators import factors as fc
 from textloom.operators import frequency as fr
 from textloom.operators import models as md
 from textloom.operators import selection as sl
@@ -152,12 +153,12 @@ def ev_robustness(spark, d):
 
 @query()
 def top_nmf(spark, d):
-    return sl.nmf(prep(spark, d), 4, 8, 500)[0]
+    return fc.nmf(prep(spark, d), 4)[0]
 
 
 @query()
 def dim_svd(spark, d):
-    return sl.svd(prep(spark, d), 2, 128)
+    return fc.svd(prep(spark, d), 2)
 
 
 @query()
