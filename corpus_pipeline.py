@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import langid, mixing, pii, sentencepieces, simhash
-from textloom.llm.common import written
+from textloom.llm.common import small_batches, written
 from textloom.llm.queries import MIX, MIX_SHARE, piece_vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -18,17 +18,20 @@ LEAST_SCORE = 0.4
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or whose language the network can't tell, go."""
+    small_batches(spark)
     judged = langid.with_language(docs.select(*COLUMNS), langid.fit(docs))
     return judged.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near copies (five-word shingles, likeness 0.8 or more) stays."""
+    small_batches(spark)
     return simhash.without_near_copies(docs.select(*COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is masked in the text; n_chars follows."""
+    small_batches(spark)
     return pii.masked(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
 
 
@@ -39,6 +42,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document that is left."""
+    small_batches(spark)
     made = sentencepieces.encode_documents(docs, piece_vocabulary())
     return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.tables import dropped, new_path, shared_folder, shuffles_dropped, written
 
-__all__ = ["BLANKS", "WORD", "ascii_lower", "bucketed", "dropped", "shared_folder", "words", "written"]
+__all__ = ["BLANKS", "WORD", "ascii_lower", "bucketed", "dropped", "shared_folder", "small_batches", "words", "written"]
 
 #: A word is a maximal run of anything but blank, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,6 +29,16 @@ def bucketed(df: DataFrame, key: str, name: str = "t", rows_each: int = 20_000)
     return spark.table(table)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Sends at most so many rows to a Python worker at once, from now on in this session.
+
+    Ten thousand whole texts, Spark's own limit, are tens of megabytes in each worker and as many beside it in the JVM.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z in lower case, everything else as it is."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
