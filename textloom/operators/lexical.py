@@ -260,6 +260,16 @@ def dictionary_entries(spec: Mapping) -> list[dict]:
     return out
 
 
+def parsed_entries(entries: DataFrame) -> DataFrame:
+    """(expression, match_type, category, subcategory, path): ``entries`` (path, expression) as a dictionary's matching takes them.
+
+    A path is names between slashes; the first is the category, the second the subcategory. Blank expressions are left out.
+    """
+    e, parts = F.btrim("expression"), F.split("path", "/")
+    kind = F.when(e.startswith("re:"), "regex").when(e.contains("*") | e.contains("?"), "wildcard").when(e.contains(" "), "phrase").otherwise("token")
+    return entries.where(e != "").select(e.alias("expression"), kind.alias("match_type"), F.get(parts, F.lit(0)).alias("category"), F.get(parts, F.lit(1)).alias("subcategory"), parts.alias("path"))
+
+
 def dictionary_hits(prep: DataFrame, spec: Mapping) -> DataFrame:
     """(unit_id, start, end, expression, category, subcategory): matches not overlapping an exclusion.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.operators.relations import drawn, ratio, running
+from textloom.tables import written
 
 # --- splits ----------------------------------------------------------------------------------
 
@@ -24,6 +26,21 @@ def grouped_split(rows: DataFrame, group: str, test: float = 0.2, validation: fl
     return rows.withColumn("split", F.when(u < test, "test").when(u < test + validation, "validation").otherwise("train"))
 
 
+def simple_group_split(rows: DataFrame, group: str, test_size: float = 0.25, seed: int = 42) -> DataFrame:
+    """``rows`` with split (train or test), n_groups and n_test_groups: the stated part of all groups, rounded up, is tested on.
+
+    Groups are taken in order of a hash. No group is in both parts; with fewer than two groups it's an error.
+    """
+    groups = written(rows.select(group).distinct(), "groups")
+    n = groups.count()
+    if n < 2:
+        raise ValueError("a grouped split needs two groups at least")
+    tested = math.ceil(test_size * n)
+    placed = running(groups, (drawn(seed, F.col(group)), F.col(group)), {"_place": F.lit(1)})
+    part = placed.select(group, F.when(F.col("_place") <= tested, "test").otherwise("train").alias("split"))
+    return rows.join(part, group).select(*rows.columns, "split", F.lit(n).cast("long").alias("n_groups"), F.lit(tested).cast("long").alias("n_test_groups"))
+
+
 def leave_one_out(rows: DataFrame, group: str) -> DataFrame:
     """(group, fold, split): every row once for each group, which is that fold's test set."""
     folds = rows.select(F.col(group).alias("fold")).distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -162,6 +163,106 @@ def assignment(units: DataFrame, annotators: Sequence[str], strategy: str = "ove
     return ranked.select("unit_id", F.explode(F.when(shared, names).otherwise(own)).alias("annotator"))
 
 
+def rating_patterns(ann: DataFrame) -> tuple[DataFrame, list]:
+    """(pattern, n): how many units got each combination of ratings, and the coders that a pattern lists in order. A missing rating is null.
+
+    Patterns are as many as combinations of values, not as units.
+    """
+    coders = [r[0] for r in ann.select("coder_id").distinct().orderBy("coder_id").collect()]  # a row a coder
+    by = ann.where(F.col("value").isNotNull()).groupBy("unit_id").agg(*[F.max(F.when(F.col("coder_id") == c, F.col("value"))).cast("string").alias(f"c{i}") for i, c in enumerate(coders)])
+    return by.groupBy(F.array(*[F.col(f"c{i}") for i in range(len(coders))]).alias("pattern")).agg(F.count("*").alias("n")), coders
+
+
+def _agreements(codes: np.ndarray, kinds: int, weights: np.ndarray) -> dict[str, np.ndarray]:
+    """Cohen's kappa of the first two coders, Krippendorff's alpha and Fleiss' kappa for each row of ``weights`` (resample, pattern).
+
+    ``codes``: (pattern, coder), -1 for a missing rating. NaN where a coefficient isn't defined.
+    """
+    counts = (codes[:, :, None] == np.arange(kinds)[None, None, :]).sum(axis=1).astype(float)  # (pattern, value)
+    raters = counts.sum(axis=1)
+    out = {}
+    with np.errstate(divide="ignore", invalid="ignore"):
+        both = (codes[:, :2] >= 0).all(axis=1) & (codes.shape[1] > 1)
+        w, pair = weights[:, both], codes[both, :2]
+        total = w.sum(axis=1)
+        po = w @ (pair[:, 0] == pair[:, 1]) / total if both.any() else np.full(len(weights), np.nan)
+        shares = [np.stack([w @ (pair[:, side] == v) / total for v in range(kinds)], axis=1) if both.any() else np.zeros((len(weights), kinds)) for side in (0, 1)]
+        pe = (shares[0] * shares[1]).sum(axis=1)
+        out["cohen_kappa"] = np.where(np.abs(pe - 1) <= 1e-12, np.where(np.abs(po - 1) <= 1e-12, 1.0, 0.0), (po - pe) / (1 - pe))
+
+        several = raters >= 2
+        w, c, m = weights[:, several], counts[several], raters[several]
+        values = w @ c
+        n = values.sum(axis=1)
+        apart = w @ ((c * (m[:, None] - c)).sum(axis=1) / (m - 1))
+        squares = (values**2).sum(axis=1)
+        alone = ((weights @ counts) > 0).sum(axis=1) < 2
+        out["krippendorff_alpha"] = np.where(n == 0, np.nan, np.where(alone | (n * n == squares), 1.0, 1 - (n - 1) * apart / (n * n - squares)))
+
+        sizes = np.unique(m)
+        units = np.stack([w[:, m == s].sum(axis=1) for s in sizes], axis=1) if len(sizes) else np.zeros((len(weights), 0))
+        fleiss = np.full(len(weights), np.nan)
+        modal = len(sizes) - 1 - units[:, ::-1].argmax(axis=1) if len(sizes) else np.zeros(len(weights), int)  # the larger of equals
+        for at, s in enumerate(sizes):
+            rows = (modal == at) & (s >= 3) & (units[:, at] >= 2)
+            if not rows.any():
+                continue
+            x, d = w[rows][:, m == s], c[m == s]
+            k = x.sum(axis=1)
+            p_bar = x @ (((d**2).sum(axis=1) - s) / (s * (s - 1))) / k
+            p_e = ((x @ d / (k * s)[:, None]) ** 2).sum(axis=1)
+            fleiss[rows] = np.where(p_e >= 1, 1.0, (p_bar - p_e) / (1 - p_e))
+        out["fleiss_kappa"] = fleiss
+    return out
+
+
+def bootstrap_coefficients(ann: DataFrame, samples: int = 2000, level: float = 0.95, seed: int = 42, most_patterns: int = 20_000) -> DataFrame:
+    """(coefficient, estimate, low, high, n_replicates) of three coefficients, by resampling units.
+
+    Drawing units with replacement is drawing patterns by a multinomial of their counts, so a resample costs
+    as much as there are patterns. Resamples are dealt over tasks; to each goes the table of patterns, which must not be longer than
+    ``most_patterns``. The interval is from the sorted replicates at the floor of the lower and the ceiling of the upper place; null with fewer than two.
+    """
+    table, coders = rating_patterns(ann)
+    kept = table.orderBy("pattern").limit(most_patterns + 1).collect()
+    if len(kept) > most_patterns:
+        raise ValueError(f"ratings have more than {most_patterns} patterns; group rare values first")
+    spark, shape = ann.sparkSession, "coefficient string, estimate double, low double, high double, n_replicates bigint"
+    if not kept:
+        return spark.createDataFrame([], shape)
+    values = sorted({v for r in kept for v in r["pattern"] if v is not None})
+    codes = np.array([[values.index(v) if v is not None else -1 for v in r["pattern"]] for r in kept]).reshape(len(kept), len(coders))
+    n = np.array([r["n"] for r in kept], np.int64)
+    given = _agreements(codes, len(values), n[None, :].astype(float))
+
+    def run(frames):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        for frame in frames:
+            for start in range(0, len(frame), 64):
+                part = frame["id"].to_numpy()[start : start + 64]
+                drawn_ = np.stack([np.random.default_rng([seed, int(i)]).multinomial(n.sum(), n / n.sum()) for i in part])
+                for name, x in _agreements(codes, len(values), drawn_.astype(float)).items():
+                    yield pd.DataFrame({"coefficient": name, "x": x})
+
+    made = spark.range(samples).mapInPandas(run, "coefficient string, x double").where(~F.isnan("x"))
+    lists = {r["coefficient"]: sorted(r["x"]) for r in made.groupBy("coefficient").agg(F.collect_list("x").alias("x")).collect()}  # ``samples`` numbers each
+    rows, tail = [], (1 - level) / 2
+    for name, x in given.items():
+        found = lists.get(name, [])
+        ends = (found[math.floor(tail * (len(found) - 1))], found[math.ceil((1 - tail) * (len(found) - 1))]) if len(found) > 1 else (None, None)
+        rows.append((name, None if math.isnan(x[0]) else float(x[0]), *ends, len(found)))
+    return spark.createDataFrame(rows, shape)
+
+
+def metadata(ann: DataFrame) -> DataFrame:
+    """One row: n_coders (most ratings a unit could have), n_units, pairable_units (two ratings or more) and missing_values of the unit-by-coder table."""
+    coders = ann.agg(F.countDistinct("coder_id").alias("n_coders"))
+    by = ann.groupBy("unit_id").agg(F.count("value").alias("m"))
+    units = by.agg(F.count("*").alias("n_units"), F.count_if(F.col("m") >= 2).alias("pairable_units"), F.coalesce(F.sum("m"), F.lit(0)).alias("present"))
+    return units.crossJoin(coders).select("n_coders", "n_units", "pairable_units", (F.col("n_units") * F.col("n_coders") - F.col("present")).alias("missing_values"))  # one row each
+
+
 def bootstrap_agreement(pairs: DataFrame, samples: int = 200, level: float = 0.95, seed: int = 42) -> DataFrame:
     """(low, high): percentile interval of Cohen's kappa over resampled units.
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -133,25 +132,15 @@ def with_parents(children: DataFrame, parents: DataFrame) -> DataFrame:
     return named.groupBy("query_id", "chunk_id").agg(F.min("rank").alias("rank"))
 
 
-def packed(context: DataFrame, max_tokens: int, reserved: int = 512) -> DataFrame:
-    """Adds kept_tokens: chunks taken in order while the budget lasts; the first too large one is cut to what is left.
+def budgeted(context: DataFrame, order: str, budget: int) -> DataFrame:
+    """Adds kept_tokens: chunks of each query taken in order while the budget lasts; the first too large one is cut to what is left."""
+    before = F.sum("n_tokens").over(Window.partitionBy("query_id").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
+    return context.withColumn("kept_tokens", F.greatest(F.lit(0), F.least(F.col("n_tokens"), F.lit(budget) - before)).cast("long"))
 
-    Sequential by nature, on the few chunks of one query at a time.
-    """
-    budget = max(0, max_tokens - reserved)
-
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("rank")
-        left, kept = budget, []
-        for n in part["n_tokens"]:
-            take = int(min(n, left))
-            kept.append(take)
-            left -= take
-        return part.assign(kept_tokens=kept)[["query_id", "chunk_id", "rank", "n_tokens", "kept_tokens"]]
-
-    return context.select("query_id", "chunk_id", "rank", "n_tokens").groupBy("query_id").applyInPandas(
-        one, "query_id bigint, chunk_id string, rank int, n_tokens bigint, kept_tokens bigint"
-    )
+
+def packed(context: DataFrame, max_tokens: int, reserved: int = 512) -> DataFrame:
+    """(query_id, chunk_id, rank, n_tokens, kept_tokens) of ``budgeted``, by rank."""
+    return budgeted(context.select("query_id", "chunk_id", "rank", "n_tokens"), "rank", max(0, max_tokens - reserved))
 
 
 # How much each level of memory weighs.

@@ -5,11 +5,9 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators.lexical import dictionary_entries
-
 # Languages with a list of stop words.
 STOPWORD_LANGUAGES = ("en", "de", "fr", "es", "it", "pt", "tr")
 CLEANING = ("dehyphenate", "whitespace", "edge_lines", "page_numbers", "bibliography", "tables", "custom")
@@ -37,12 +35,22 @@ def cleaning_steps(wanted: Mapping[str, bool]) -> list[str]:
     return [s for s in CLEANING if wanted.get(s)]
 
 
-def serialized(spark: SparkSession, spec: Mapping) -> DataFrame:
-    """(path, expressions): a dictionary's entries by path, as JSON lists in their order."""
-    entries = [(i, "/".join(e["path"]), e["expression"]) for i, e in enumerate(dictionary_entries(spec))]
-    rows = spark.createDataFrame(entries, "k int, path string, expression string")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("k", "expression"))), lambda x: x["expression"])  # one dictionary
-    return rows.groupBy("path").agg(F.to_json(ordered).alias("expressions"))
+def normalised_list(values: Column) -> Column:
+    """A filter's list of values in one spelling: trimmed, blanks and repeats gone, sorted, as JSON."""
+    return F.to_json(F.array_sort(F.array_distinct(F.filter(F.transform(values, lambda v: F.btrim(v)), lambda v: v != ""))))
+
+
+def ordered_steps(wanted: Mapping[str, Column]) -> Column:
+    """array<string>: the steps whose condition holds, in the order in which they run."""
+    if set(wanted) - set(CLEANING):
+        raise ValueError(f"unknown steps {sorted(set(wanted) - set(CLEANING))}")
+    return F.array_compact(F.array(*[F.when(wanted[s], s) for s in CLEANING if s in wanted]))
+
+
+def serialized(entries: DataFrame) -> DataFrame:
+    """(path, expressions): a dictionary's ``entries`` (path, k, expression) by path, as JSON lists in order of k."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("k", "expression"))), lambda x: x["expression"])  # a dictionary's own size
+    return entries.groupBy("path").agg(F.to_json(ordered).alias("expressions"))
 
 
 def language_code(tag: Column) -> Column:

@@ -106,7 +106,13 @@ def adj_disagreements(spark, d):
 
 @query()
 def rel_bootstrap(spark, d):
-    return rl.bootstrap_agreement(two_coders(spark, d))
+    """Intervals of kappa, alpha and Fleiss' kappa from 2,000 resamples of units."""
+    return rl.bootstrap_coefficients(annotations(spark, d))
+
+
+@query(" SELECT count(DISTINCT coder_id) AS n_coders, count(DISTINCT unit_id) AS n_units, (SELECT count(*) FROM (SELECT unit_id FROM ann GROUP BY unit_id HAVING count(value) >= 2)) AS pairable_units, count(DISTINCT coder_id) * count(DISTINCT unit_id) - count(value) AS missing_values FROM ann", uses="ann")
+def rel_meta(spark, d):
+    return rl.metadata(annotations(spark, d))
 
 
 _M = """, b AS (SELECT unit_id, value, count(*) AS c, min(coder_id) AS f FROM ann GROUP BY 1, 2),

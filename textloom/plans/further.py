@@ -185,9 +185,17 @@ def agg_dashboard(spark, d):
     return one.crossJoin(table(spark, d, "labels").agg(F.count("*").alias("n_labelled")))  # one row each
 
 
-@query("SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in fr.WEIGHTINGS.items()) + ") v(scheme, weight)")
+_SCHEMES = {"count": "wt_count", "binary": "wt_binary", "log_count": "wt_log_count", "tf": "wt_tf", "tfidf": "wt_tfidf", "sublinear_tfidf": "wt_sublinear", "bm25": "wt_bm25"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{scheme}' AS scheme, count(*) AS n, round(sum(weight), 1)::DOUBLE AS total FROM ({ORACLE[name]})" for scheme, name in _SCHEMES.items()))
 def wt_catalog(spark, d):
-    return spark.createDataFrame(list(fr.WEIGHTINGS.items()), "scheme string, weight string")
+    """Every weighting of the catalogue with its weights over the whole corpus."""
+    out = None
+    for scheme, name in _SCHEMES.items():
+        one = QUERIES[name](spark, d).agg(F.count("*").alias("n"), F.round(F.sum("weight"), 1).alias("total")).select(F.lit(scheme).alias("scheme"), "n", "total")
+        out = one if out is None else out.unionAll(one)
+    return out
 
 
 @query(ps._W + " SELECT doc_id AS unit_id, term, round(w, 6) AS weight FROM v", uses="tk tok")
@@ -243,9 +251,9 @@ def dup_pair_score(spark, d):
     return rounded(made.select(F.col("unit_id").alias("j"), (both / (F.size("u") + F.size("v") - both)).alias("score")))
 
 
-@query(f"WITH {pm._TSQL}, p AS (SELECT a.topic AS i, b.topic AS j, (SELECT count(*) FROM tp x JOIN tp y USING (term) WHERE x.topic = a.topic AND y.topic = b.topic) AS s FROM (SELECT DISTINCT topic FROM tp) a, (SELECT DISTINCT topic FROM tp) b WHERE a.topic < b.topic) SELECT i, j, round(s / (8 - s), 8) AS score FROM p WHERE s > 0")
+@query(f"WITH {pm._TSQL}, n AS (SELECT topic, count(*) AS n FROM tp GROUP BY topic), p AS (SELECT x.topic AS i, y.topic AS j, count(*) AS s FROM tp x JOIN tp y ON x.term = y.term AND x.topic < y.topic GROUP BY ALL) SELECT i, j, round(s / (a.n + b.n - s), 8) AS score FROM p JOIN n a ON a.topic = i JOIN n b ON b.topic = j")
 def top_overlap(spark, d):
-    made = sm.jaccard_pairs(pm._topic_terms(spark).select(F.col("topic").alias("unit_id"), "term"), 0.0)
+    made = sm.jaccard_pairs(pm._topic_terms(spark, d).select(F.col("topic").alias("unit_id"), "term"), 0.0)
     return rounded(made, 8)
 
 

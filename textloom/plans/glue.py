@@ -10,6 +10,7 @@ from textloom.functions import text as tx
 from textloom.operators import documents as dc
 from textloom.operators import models as md
 from textloom.operators import retrieval as rt
+from textloom.operators import lexical as lx
 from textloom.operators import settings as st
 from textloom.operators import similarity as sm
 from textloom.operators.relations import dfm, token_rel
@@ -191,24 +192,43 @@ def nlp_morph_phrase(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.array_join(parts, "_").alias("phrase"))
 
 
-@query("SELECT * FROM (VALUES ('lang', '[\"de\",\"en\"]'), ('source', '[\"src1\"]'), ('year_from', '1990')) v(name, value)")
+@query("SELECT source AS name, to_json(list_sort(list_distinct(list_filter(list(trim(lang)), lambda x: x <> ''))))::VARCHAR AS value FROM documents GROUP BY source")
 def flt_normalise(spark, d):
-    """Filters in one spelling: aliases resolved, blanks and repeats gone, lists sorted."""
-    made = st.normalised_filters({"language": ["en", "de", "en", ""], "Source": " src1 ", "yearFrom": "1990", "country": None})
-    return spark.createDataFrame(list(made.items()), "name string, value string")
+    """Each source's languages as a filter's list: trimmed, without blanks and repeats, sorted, as JSON."""
+    lists = docs(spark, d).groupBy(F.col("source").alias("name")).agg(F.collect_set("lang").alias("value"))  # a few languages
+    return lists.select("name", st.normalised_list(F.col("value")).alias("value"))
 
 
-@query("SELECT * FROM (VALUES (0, 'dehyphenate'), (1, 'whitespace'), (2, 'page_numbers')) v(position, step)")
+@query(
+    r"""SELECT doc_id AS unit_id, list_filter([CASE WHEN regexp_matches(text, '[A-Za-z]-\s*\n\s*[A-Za-z]') THEN 'dehyphenate' END, CASE WHEN regexp_matches(text, '[ \t]{2,}|\r|\n{3,}') THEN 'whitespace' END,
+    CASE WHEN regexp_matches(text, '(^|\n)\s*[0-9]{1,4}\s*(\n|$)') THEN 'page_numbers' END, CASE WHEN regexp_matches(text, '\|') THEN 'tables' END], lambda x: x IS NOT NULL) AS steps FROM documents"""
+)
 def cfg_cleaning(spark, d):
-    """The steps of a configuration in the order in which they run."""
-    steps = st.cleaning_steps({"page_numbers": True, "whitespace": True, "tables": False, "dehyphenate": True})
-    return spark.createDataFrame(list(enumerate(steps)), "position long, step string")
+    """The cleaning steps that a document asks for, in the order in which they run."""
+    has = lambda p: F.col("text").rlike(p)
+    wanted = {"page_numbers": has(r"(^|\n)\s*[0-9]{1,4}\s*(\n|$)"), "whitespace": has(r"[ \t]{2,}|\r|\n{3,}"), "tables": has(r"\|"), "dehyphenate": has(r"[A-Za-z]-\s*\n\s*[A-Za-z]")}
+    return docs(spark, d).select(F.col("doc_id").alias("unit_id"), st.ordered_steps(wanted).alias("steps"))
+
+
+def _entries(spark, d):
+    """A dictionary as a table: each region is a category, each nation's name an expression of it."""
+    made = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return made.select(F.concat_ws("/", F.lit("places"), F.lower("r_name")).alias("path"), F.col("n_nationkey").alias("k"), F.concat(F.when(F.col("n_nationkey") % 5 == 0, "re:^").otherwise(""), F.lower("n_name"), F.when(F.col("n_nationkey") % 7 == 0, "*").otherwise("")).alias("expression"))
 
 
-@query("SELECT * FROM (VALUES ('a/x', '[\"the\",\"of the\"]'), ('a/y', '[\"an*\"]'), ('b', '[\"in\"]')) v(path, expressions)")
+_ENTRIES = "e AS (SELECT 'places/' || lower(r_name) AS path, n_nationkey AS k, CASE WHEN n_nationkey % 5 = 0 THEN 're:^' ELSE '' END || lower(n_name) || CASE WHEN n_nationkey % 7 = 0 THEN '*' ELSE '' END AS expression FROM nation JOIN region ON n_regionkey = r_regionkey)"
+
+
+@query(f"WITH {_ENTRIES} SELECT path, to_json(list(expression ORDER BY k))::VARCHAR AS expressions FROM e GROUP BY path")
 def dict_serialize(spark, d):
-    """A dictionary's entries as one list for each path, and back."""
-    return st.serialized(spark, {"a": {"x": ["the", "of the"], "y": ["an*"]}, "b": ["in"]})
+    """A dictionary's entries as one list for each path."""
+    return st.serialized(_entries(spark, d))
+
+
+@query(f"WITH {_ENTRIES} SELECT expression, CASE WHEN starts_with(expression, 're:') THEN 'regex' WHEN contains(expression, '*') OR contains(expression, '?') THEN 'wildcard' WHEN contains(expression, ' ') THEN 'phrase' ELSE 'token' END AS match_type, string_split(path, '/')[1] AS category, string_split(path, '/')[2] AS subcategory, string_split(path, '/') AS path FROM e")
+def dict_parse(spark, d):
+    """A table of entries in the form that a dictionary's matching takes."""
+    return lx.parsed_entries(_entries(spark, d))
 
 
 # --- quality of a corpus ---------------------------------------------------------------------

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from textloom.operators import models as md
 from textloom.operators.relations import dfm, token_rel
 from textloom.plans.frequency import docs, prep, rounded
-from textloom.plans.registry import query, table
+from textloom.plans.registry import ORACLE, QUERIES, query, table
+from textloom.tables import written
 
 
 def predictions(spark, d) -> DataFrame:
@@ -209,6 +210,13 @@ def split_group_holdout(spark, d):
     return md.grouped_split(docs(spark, d).select("doc_id", "source"), "source")
 
 
+@query("""SELECT doc_id, source, CASE WHEN r <= ceil(0.25 * n) THEN 'test' ELSE 'train' END AS split, n AS n_groups, ceil(0.25 * n)::BIGINT AS n_test_groups FROM documents JOIN
+    (SELECT source, row_number() OVER (ORDER BY ('0x' || left(md5('42:' || source), 8))::BIGINT, source) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents)) USING (source)""")
+def split_group_simple(spark, d):
+    """A quarter of the sources, rounded up, is the test part."""
+    return md.simple_group_split(docs(spark, d).select("doc_id", "source"), "source", 0.25)
+
+
 @query("SELECT d.doc_id, d.source, f.fold, CASE WHEN d.source = f.fold THEN 'test' ELSE 'train' END AS split FROM documents d, (SELECT DISTINCT source AS fold FROM documents) f")
 def split_logo(spark, d):
     return md.leave_one_out(docs(spark, d).select("doc_id", "source"), "source")
@@ -315,13 +323,12 @@ def top_transform(spark, d):
     return md.topics(prep(spark, d), 4, 8)[1]
 
 
-#: Fixed term lists that stand for topics in the coherence queries.
-_TERMS = {0: ["the", "of", "and", "in"], 1: ["der", "die", "und", "ein"], 2: ["the", "und", "le", "la"]}
-_TSQL = "tp AS (SELECT * FROM (VALUES " + ", ".join(f"({t}, '{w}')" for t, ws in _TERMS.items() for w in ws) + ") v(topic, term))"
+_TSQL = f"tp AS (SELECT cluster AS topic, term FROM ({ORACLE['top_ctfidf']}))"
 
 
-def _topic_terms(spark):
-    return spark.createDataFrame([(t, w) for t, ws in _TERMS.items() for w in ws], "topic int, term string")
+def _topic_terms(spark, d):
+    """The terms that stand out in each language, as topics."""
+    return written(QUERIES["top_ctfidf"](spark, d).select(F.col("cluster").alias("topic"), "term"), "topics")
 
 
 @query(
@@ -333,12 +340,12 @@ def _topic_terms(spark):
 )
 def top_npmi(spark, d):
     p = prep(spark, d)
-    return rounded(md.npmi_coherence(dfm(token_rel(p)), _topic_terms(spark), p.count()))
+    return rounded(md.npmi_coherence(dfm(token_rel(p)), _topic_terms(spark, d), p.count()))
 
 
 @query(f"WITH {_TSQL} SELECT round(count(DISTINCT term) / count(*), 8) AS diversity FROM tp")
 def top_diversity(spark, d):
-    return rounded(md.topic_diversity(_topic_terms(spark)), 8)
+    return rounded(md.topic_diversity(_topic_terms(spark, d)), 8)
 
 
 @query("SELECT lang AS topic, source AS value, count(*) AS n FROM documents GROUP BY ALL")

@@ -9,6 +9,7 @@ from textloom.plans.frequency import docs, rounded
 from textloom.plans.registry import query, table
 from textloom.sources import files
 from textloom.streaming.counts import stream_term_counts, stream_windows
+from textloom.streaming.tables import LatestCounts, kept_up
 from textloom.tables import new_path
 
 
@@ -26,7 +27,9 @@ def drained(stream, mode):  # noqa: ANN001, ANN201
 def tok_stream_counts(spark, d):
     one = docs(spark, d)
     stream = spark.readStream.schema(one.schema).option("pathGlobFilter", "documents.parquet").parquet(d)
-    return drained(stream_term_counts(stream), "complete")
+    counts = LatestCounts(spark, new_path(spark, "counts"))
+    kept_up(stream_term_counts(stream), counts, new_path(spark, "state"))
+    return counts.read()
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
