@@ -13,7 +13,7 @@ from textloom import catalog
 SF = "/root/testdata/sf0.001"
 NEXT = "/root/testdata/sf0.01"
 #: Queries whose plans or roundings only show with more rows.
-AT_NEXT = ("agg_mattr", "agg_term_freq", "dup_lexical", "qa_near_dups", "gold_snapshot", "join_page_lookup", "ml_select", "rt_dense", "rt_rerank", "sim_jaccard_pairwise", "smp_plan", "win_bh")
+AT_NEXT = ("agg_mattr", "agg_term_freq", "dup_lexical", "emb_hash", "join_inverted_index", "join_span_overlap", "key_bh", "rel_service", "rt_ann_recall", "rt_context_dedup", "rt_exact_topk", "rt_service_context", "wt_catalog", "qa_near_dups", "gold_snapshot", "join_page_lookup", "ml_select", "rt_dense", "rt_rerank", "sim_jaccard_pairwise", "smp_plan", "win_bh")
 
 
 def connected(folder):
@@ -64,7 +64,7 @@ def compare(spark, duck, name, folder):
     got = sorted("|".join(plain(r[c]) for c in sorted(df.columns)) for r in df.collect())
     cur = duck.execute(catalog.oracle_sql()[name])
     names = [x[0] for x in cur.description]
-    assert sorted(names) == sorted(df.columns)
+    assert sorted(names) == sorted(df.columns) and len(set(names)) == len(names)
     at = [names.index(c) for c in sorted(names)]
     assert got == sorted("|".join(plain(r[i]) for i in at) for r in cur.fetchall())
 

@@ -74,7 +74,7 @@ def build(vectors: DataFrame, cells: int | None = None, sample: int = 20_000, re
     n = unit.count()
     drawn = F.pmod(F.xxhash64("chunk_id", F.lit(seed)), F.lit(1_000_000))
     few = unit.where(drawn < 1_000_000 * sample * 2 // max(1, n) + 1).orderBy(drawn, "chunk_id").limit(sample).select("v").toArrow()["v"].to_pylist()
-    x = np.array(few, np.float64).reshape(len(few), -1)
+    x = np.array(few, np.float64)
     if not len(x):
         return Index(unit.select(F.lit(0).alias("cell"), F.lit(0).alias("block"), "chunk_id", F.lit(b"").alias("code")), unit, np.zeros((1, 1)), np.ones(1), 1)
     wanted = min(len(x), cells or max(1, round(n**0.5)), max(1, len(x) // 8))
@@ -108,9 +108,16 @@ def build(vectors: DataFrame, cells: int | None = None, sample: int = 20_000, re
 def search(index: Index, queries: DataFrame, k: int, least: float = -1.0, allowed: DataFrame | None = None, probe: int | None = None, wide: int = 4) -> DataFrame:
     """(query_id, chunk_id, score, rank): the best ``k`` by (-score, chunk_id), among the cells nearest to each of ``queries`` (query_id, q).
 
-    ``allowed`` (chunk_id): only these are found; the list is applied before the best are kept, so it never shortens a result.
+    ``allowed`` (chunk_id): only these are found; the list is applied before the best are kept. Cells without allowed rows are passed over, and
+    more cells are looked at until they hold as many allowed rows as the usual number of cells holds rows, so a short list is searched more widely.
     """
     centroids, step, looked = index.centroids, index.step, min(len(index.centroids), probe or index.probe)
+    rows = index.cells if allowed is None else index.cells.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    held = np.zeros(len(centroids), np.int64)
+    for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect():  # a row a cell
+        held[r["cell"]] = r["n"]
+    every = index.vectors.count() if allowed is not None else int(held.sum())
+    wanted = every * looked // len(centroids)
     asked = queries.select("query_id", F.col("q").cast("array<double>").alias("q"))
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,12 +126,15 @@ def search(index: Index, queries: DataFrame, k: int, least: float = -1.0, allowe
             if not len(x) or x.shape[1] != centroids.shape[1]:
                 continue
             ids = batch.column(0).filter(pa.array(fits))
-            cell = np.argsort(-(x @ centroids.T), axis=1, kind="stable")[:, :looked]
-            at = pa.array(np.repeat(np.arange(len(x)), looked))
-            yield pa.RecordBatch.from_arrays([pa.array(cell.ravel().astype(np.int32)), ids.take(at), pa.array(list(x), pa.list_(pa.float64())).take(at)], ["cell", "query_id", "q"])
+            cell = np.argsort(-(x @ centroids.T), axis=1, kind="stable")
+            some = held[cell] > 0
+            before = np.cumsum(held[cell], axis=1) - held[cell]
+            taken = some & ((np.cumsum(some, axis=1) <= looked) | (before < wanted))
+            query, place = np.nonzero(taken)
+            at = pa.array(query)
+            yield pa.RecordBatch.from_arrays([pa.array(cell[query, place].astype(np.int32)), ids.take(at), pa.array(list(x), pa.list_(pa.float64())).take(at)], ["cell", "query_id", "q"])
 
     probes = asked.mapInArrow(nearest, "cell int, query_id bigint, q array<double>")
-    rows = index.cells if allowed is None else index.cells.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi")
     blocks = rows.select("cell", "block").distinct()
     most = k * wide
 

@@ -134,16 +134,23 @@ def sentences(texts: pd.Series, languages: pd.Series) -> pd.Series:
     def false_end(t: str, m: re.Match, known: frozenset[str]) -> bool:
         if "." not in m[0]:
             return False
-        word = re.search(r"\S*$", t[: m.start()])[0]
+        # only the word before the mark and the blanks around are looked at, so the work goes with the text's length
+        begin, after = m.start(), m.end()
+        while begin and not t[begin - 1].isspace():
+            begin -= 1
+        while after < len(t) and t[after].isspace():
+            after += 1
+        word = t[begin : m.start()]
         low = word.lower().lstrip("([\"'“‘")
         if low in known or "://" in low or "@" in low or low.startswith("www."):
             return True
-        rest = t[m.end() :].lstrip()[:1]
+        rest = t[after : after + 1]
         if re.fullmatch(r"(?:[A-Za-z]\.)+[A-Za-z]", word):
             return rest.islower()
         if re.fullmatch(r"\d{1,3}", word):
-            before = t[: m.start() - len(word)].rstrip()
-            return not before or before[-1] in ".!?…\"'”’)"
+            while begin and t[begin - 1].isspace():
+                begin -= 1
+            return not begin or t[begin - 1] in ".!?…\"'”’)"
         return len(word) == 1 and word.isupper() and rest.isupper()
 
     given = [v if isinstance(v, str) else None for v in languages]

@@ -169,6 +169,8 @@ def rating_patterns(ann: DataFrame) -> tuple[DataFrame, list]:
     Patterns are as many as combinations of values, not as units.
     """
     coders = [r[0] for r in ann.select("coder_id").distinct().orderBy("coder_id").collect()]  # a row a coder
+    if not coders:
+        return ann.select(F.array().cast("array<string>").alias("pattern"), F.lit(0).cast("long").alias("n")).limit(0), []
     by = ann.where(F.col("value").isNotNull()).groupBy("unit_id").agg(*[F.max(F.when(F.col("coder_id") == c, F.col("value"))).cast("string").alias(f"c{i}") for i, c in enumerate(coders)])
     return by.groupBy(F.array(*[F.col(f"c{i}") for i in range(len(coders))]).alias("pattern")).agg(F.count("*").alias("n")), coders
 

@@ -50,26 +50,43 @@ def key_effect(spark, d):
     return made.select("term", F.round("log_ratio", 6).alias("log_ratio"), F.round("odds_ratio", 4).alias("odds_ratio"), "direction", F.round("expected_min", 4).alias("expected_min"))
 
 
-@query()
-def key_fisher(spark, d):
-    """Exact p-values of all terms; tested against enumeration."""
+#: Exact p-values by sums of the probabilities of all tables with the same margins.
+_FISHER = _KEY + """, fa AS (SELECT term, a, b, ta, tb, r, n, lgamma(ta + 1) + lgamma(tb + 1) + lgamma(r + 1) + lgamma(n - r + 1) - lgamma(n + 1) AS base FROM g),
+  fb AS (SELECT *, base - lgamma(a + 1) - lgamma(ta - a + 1) - lgamma(b + 1) - lgamma(tb - b + 1) AS seen FROM fa),
+  fc AS (SELECT term, a, b, seen, base, ta, tb, r, unnest(range(greatest(0, r - tb)::BIGINT, least(r, ta)::BIGINT + 1)) AS k FROM fb),
+  fp AS (SELECT term, any_value(a) AS a, any_value(b) AS b, least(1, sum(CASE WHEN lp <= seen + 1e-6 THEN exp(lp) ELSE 0 END)) AS p FROM (SELECT *, base - lgamma(k + 1) - lgamma(ta - k + 1) - lgamma(r - k + 1) - lgamma(tb - r + k + 1) AS lp FROM fc) GROUP BY term)"""
+
+
+def _fisher(spark, d):
     counts = lx.keyness_counts(*_pair(spark, d))
     return counts.select("term", "a", "b", lx.fisher_p("a", "b", "total_a", "total_b").alias("p"))
 
 
+@query(_FISHER + " SELECT term, a, b, round(p, 5) AS p FROM fp", uses="tk tok")
+def key_fisher(spark, d):
+    """Exact p-values of all terms; tested against enumeration too."""
+    return rounded(_fisher(spark, d), 5)
+
+
+@query(_FISHER + """, rk AS (SELECT term, p, row_number() OVER (ORDER BY p, term) AS k, count(*) OVER () AS m FROM (SELECT term, round(p, 7) AS p FROM fp))
+    SELECT term, round(p, 5) AS p, round(least(1.0, min(p * m / k) OVER (ORDER BY k DESC)), 4) AS q FROM rk""", uses="tk tok")
+def key_bh(spark, d):
+    """The exact p-values of all terms, adjusted for their number."""
+    tests = _fisher(spark, d).select("term", F.round("p", 7).alias("p"))
+    return lx.benjamini_hochberg(tests, "p", "q", "term").select("term", F.round("p", 5).alias("p"), F.round("q", 4).alias("q"))
+
+
 @query()
 def key_report(spark, d):
     return lx.keyness(*_pair(spark, d))
 
 
-@query(
-    """WITH t AS (SELECT doc_id AS id, ((doc_id * 7919 + 13) % 1000 + 1) / 1001.0 AS p FROM documents),
-    r AS (SELECT *, row_number() OVER (ORDER BY p, id) AS k, count(*) OVER () AS m FROM t)
-    SELECT id, round(p, 8) AS p, round(least(1.0, min(p * m / k) OVER (ORDER BY k DESC)), 8) AS q FROM r"""
-)
+@query(_FISHER + """, rk AS (SELECT term, p, row_number() OVER (ORDER BY p, term) AS k, count(*) OVER () AS m FROM (SELECT term, round(p, 7) AS p FROM fp))
+    SELECT term AS id, round(least(1.0, min(p * m / k) OVER (ORDER BY k DESC)), 4) AS q, least(1.0, min(p * m / k) OVER (ORDER BY k DESC)) <= 0.05 AS stands FROM rk WHERE p IS NOT NULL""", uses="tk tok")
 def win_bh(spark, d):
-    tests = docs(spark, d).select(F.col("doc_id").alias("id"), (((F.col("doc_id") * 7919 + 13) % 1000 + 1) / 1001.0).alias("p"))
-    return rounded(lx.benjamini_hochberg(tests, "p", "q", "id"), 8)
+    """Which terms stand at a false discovery rate of 5 %."""
+    tests = _fisher(spark, d).select(F.col("term").alias("id"), F.round("p", 7).alias("p"))
+    return lx.benjamini_hochberg(tests, "p", "q", "id").select("id", F.round("q", 4).alias("q"), (F.col("q") <= 0.05).alias("stands"))
 
 
 @query(
