@@ -144,6 +144,18 @@ def test_singular_vectors_against_numpy(spark):
     assert got == pytest.approx(np.r_[m @ v, np.zeros((1, 2))], abs=1e-9)
 
 
+def test_principal_components_against_numpy(spark):
+    random.seed(9)
+    df = spark.createDataFrame([(i, random.choices("abcdefgh", [8, 7, 6, 5, 4, 3, 2, 1], k=12)) for i in range(40)] + [(40, []), (41, [])], "unit_id int, tokens array<string>")
+    m, _, _ = dense(fc.weights_of(df).collect())
+    m = np.r_[m, np.zeros((2, m.shape[1]))]
+    m -= m.mean(axis=0)
+    v = np.linalg.svd(m)[2][:2].T
+    got = np.array([r.components for r in sorted(fc.principal(df, 2, steps=8).collect(), key=lambda r: r.unit_id)])
+    want = m @ v
+    assert got * np.sign((got * want).sum(axis=0)) == pytest.approx(want, abs=1e-6)
+
+
 def test_singular_values_of_the_whole_vocabulary(spark):
     from textloom.plans.frequency import prep
 

@@ -8,6 +8,7 @@ from inspect import signature
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators import factors as fc
 from textloom.operators import frequency as fr
 from textloom.operators import lexical as lx
 from textloom.operators import models as md
@@ -89,8 +90,8 @@ def _clustering(docs: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     return md.clustered(prepared(docs), k, seed).select("unit_id", "cluster")
 
 
-def _dimensions(docs: DataFrame, components: int = 2, terms: int = 256) -> DataFrame:
-    return md.reduced(prepared(docs), components, terms)
+def _dimensions(docs: DataFrame, components: int = 2) -> DataFrame:
+    return fc.principal(prepared(docs), components)
 
 
 OPERATORS: dict[str, Callable[..., DataFrame]] = {

@@ -47,6 +47,11 @@ def gram(factor: DataFrame, k: int, *more: Column) -> np.ndarray | tuple[np.ndar
     return (out, list(sums)[len(pairs) :]) if more else out
 
 
+def _sums(factor: DataFrame, times: Column, k: int) -> list[float]:
+    """The sum of each of a factor's columns, times something of the row."""
+    return [x or 0.0 for x in factor.agg(*[F.sum(F.get("f", F.lit(i)) * times).alias(f"s{i}") for i in range(k)]).first()]
+
+
 @dataclass
 class Singular:
     """values: the leading singular values; units, terms: (unit_id or term, f), the left and right vectors."""
@@ -56,26 +61,45 @@ class Singular:
     terms: DataFrame
 
 
-def singular(weights: DataFrame, k: int, more: int = 6, steps: int = 4, seed: int = 42) -> Singular:
+def singular(weights: DataFrame, k: int, more: int = 6, steps: int = 4, seed: int = 42, centred: DataFrame | None = None) -> Singular:
     """The leading ``k`` singular values and vectors, by a randomised range finder with power steps.
 
+    With ``centred`` (unit_id of all units) the matrix is less its column means, so these are the principal components.
+    The means are taken off the products and never off the matrix, which stays sparse.
+
     The range of ``k + more`` random signs, drawn by a hash of each term, goes through the matrix and its transpose
     ``steps`` times and is made orthonormal after each, from its Gram matrix. The largest entry of each right vector is positive.
     """
     n = k + more
+    over, back = (lambda f, n: product(weights, f, "term", "unit_id", n)), (lambda f, n: product(weights, f, "unit_id", "term", n))
+    if centred is not None:
+        units = written(centred.select("unit_id"), "units")
+        rows = units.count()
+        means = written(weights.groupBy("term").agg((F.sum("weight") / rows).alias("mean")), "means")
+
+        def over(f: DataFrame, n: int) -> DataFrame:
+            off = _sums(f.join(means, "term"), F.col("mean"), n)
+            seen = units.join(product(weights, f, "term", "unit_id", n), "unit_id", "left")
+            return seen.select("unit_id", F.array(*[F.coalesce(F.get("f", F.lit(i)), F.lit(0.0)) - off[i] for i in range(n)]).alias("f"))
+
+        def back(f: DataFrame, n: int) -> DataFrame:
+            f = written(f, "seen")
+            off = _sums(f, F.lit(1.0), n)
+            return product(weights, f, "unit_id", "term", n).join(means, "term").select("term", F.array(*[F.get("f", F.lit(i)) - F.col("mean") * off[i] for i in range(n)]).alias("f"))
+
     signs = [F.when(F.xxhash64("term", F.lit(seed), F.lit(i)) % 2 == 0, 1.0).otherwise(-1.0) for i in range(n)]
     now = written(weights.select("term").distinct().select("term", F.array(*signs).alias("f")), "range")
     for _ in range(steps):
-        there = written(product(weights, product(weights, now, "term", "unit_id", n), "unit_id", "term", n), "range")
+        there = written(back(over(now, n), n), "range")
         dropped(now)
         values, vectors = np.linalg.eigh(gram(there, n))
         good = values > max(values.max(initial=0), 0) * 1e-24
         n = int(good.sum())
         if not n:
-            return Singular(np.zeros(0), product(weights, there, "term", "unit_id", 0), there)
+            return Singular(np.zeros(0), weights.select("unit_id", F.array().cast("array<double>").alias("f")).limit(0), there)
         now = written(turned(there, "term", vectors[:, good] / np.sqrt(values[good])), "range")
         dropped(there)
-    seen = written(product(weights, now, "term", "unit_id", n), "seen")
+    seen = written(over(now, n), "seen")
     values, vectors = np.linalg.eigh(gram(seen, n))
     order = np.argsort(-values)[:k]
     order = order[values[order] > max(values.max(initial=0), 0) * 1e-12]
@@ -94,6 +118,12 @@ def svd(rows: DataFrame, k: int = 2, **settings) -> DataFrame:  # noqa: ANN003
     return rows.select("unit_id").join(made, "unit_id", "left").select("unit_id", F.coalesce("components", F.array(*[F.lit(0.0)] * len(found.values))).alias("components"))
 
 
+def principal(rows: DataFrame, k: int = 2, **settings) -> DataFrame:  # noqa: ANN003
+    """(unit_id, components): the first ``k`` principal components of each unit's TF-IDF vector, over all terms."""
+    found = singular(weights_of(rows), k, centred=rows, **settings)
+    return turned(found.units, "unit_id", np.diag(found.values)).withColumnRenamed("f", "components")
+
+
 def _started(found: Singular, mean: float) -> tuple[DataFrame, DataFrame]:
     """(units, terms) to begin nonnegative factors from: of each pair of singular vectors the larger of the positive and negative parts,
     zeros filled with the mean of the matrix."""

@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
 from pyspark.ml.clustering import LDA, KMeans
-from pyspark.ml.feature import IDF, PCA, CountVectorizer, HashingTF, NGram, Normalizer
+from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, NGram, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
@@ -77,8 +77,11 @@ def window_splits(rows: DataFrame, period: str, width: int | None = None, least:
 # --- features and classifiers ----------------------------------------------------------------
 
 
-def feature_stages(ngrams: Sequence[int] = (1,), min_df: float = 1.0, size: int = 1 << 16, hashed: bool = False) -> list:
-    """From a tokens column to a features column: counts or hashes, inverse frequencies, unit length."""
+def feature_stages(ngrams: Sequence[int] = (1,), min_df: float = 1.0, size: int = 1 << 18, hashed: bool = False) -> list:
+    """From a tokens column to a features column: counts or hashes, inverse frequencies, unit length.
+
+    ``size`` bounds what the driver holds of a vocabulary; ``hashed`` features need none.
+    """
     stages: list = []
     made = "tokens"
     if tuple(ngrams) != (1,):
@@ -209,7 +212,7 @@ def uncertainty(p: Column) -> Column:
 # --- clusters and topics ---------------------------------------------------------------------
 
 
-def clustered(rows: DataFrame, k: int = 5, seed: int = 42, size: int = 1 << 12) -> DataFrame:
+def clustered(rows: DataFrame, k: int = 5, seed: int = 42, size: int = 1 << 18) -> DataFrame:
     """``rows`` with cluster, by k-means on unit-length TF-IDF vectors."""
     made = Pipeline(stages=feature_stages(size=size)).fit(rows).transform(rows)
     return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(made).transform(made).drop("counts", "idf")
@@ -225,14 +228,17 @@ def cluster_terms(rel: DataFrame, clusters: DataFrame, top_n: int = 10) -> DataF
     return counts.join(df, "term").select("cluster", "term", weight.alias("weight")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
 
 
-def topics(rows: DataFrame, k: int = 5, iterations: int = 15, seed: int = 42, size: int = 2000, top_n: int = 10) -> tuple[DataFrame, DataFrame]:
+def topics(rows: DataFrame, k: int = 5, iterations: int = 15, seed: int = 42, size: int = 1 << 18, top_n: int = 10) -> tuple[DataFrame, DataFrame]:
     """Topic terms (topic, term, weight, rank), and documents with their topic shares."""
     counter = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=size).fit(rows)
     counted = counter.transform(rows)
     model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online").fit(counted)
-    terms = F.array(*[F.lit(t) for t in counter.vocabulary])
-    described = model.describeTopics(top_n).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "x"))
-    described = described.select("topic", F.get(terms, F.col("x.termIndices")).alias("term"), F.col("x.termWeights").alias("weight"), (F.col("rank") + 1).alias("rank"))
+    top = [
+        (r["topic"], counter.vocabulary[i], float(w), n + 1)
+        for r in model.describeTopics(top_n).collect()  # ``top_n`` terms a topic
+        for n, (i, w) in enumerate(zip(r["termIndices"], r["termWeights"]))
+    ]
+    described = rows.sparkSession.createDataFrame(top, "topic int, term string, weight double, rank int")
     shares = model.transform(counted).select("unit_id", vector_to_array("topicDistribution").alias("shares"))
     return described, shares
 
@@ -257,12 +263,6 @@ def topic_diversity(terms: DataFrame) -> DataFrame:
     return terms.agg((F.countDistinct("term") / F.count("*")).alias("diversity"))
 
 
-def reduced(rows: DataFrame, components: int = 2, size: int = 256) -> DataFrame:
-    """(unit_id, components): principal components of TF-IDF vectors over the commonest terms."""
-    made = Pipeline(stages=[*feature_stages(size=size), PCA(k=components, inputCol="features", outputCol="pc")]).fit(rows).transform(rows)
-    return made.select("unit_id", vector_to_array("pc").alias("components"))
-
-
 # --- regression ------------------------------------------------------------------------------
 
 

@@ -163,7 +163,7 @@ def mem_policy(spark, d):
 
 
 @query(
-    """WITH i AS (SELECT conv_id, turn, role AS kind, CASE WHEN turn % 2 = 1 THEN left(text, 20) ELSE 'not ' || left(text, 20) END AS content FROM conversations),
+    """WITH i AS (SELECT conv_id, turn, role AS kind, CASE WHEN turn % 2 = 1 THEN text ELSE 'not ' || text END AS content FROM conversations),
     w AS (SELECT conv_id, kind, arg_max(turn, turn) AS top, arg_max(content, turn) AS won FROM i GROUP BY conv_id, kind)
     SELECT i.conv_id, i.turn FROM i JOIN w USING (conv_id, kind) WHERE i.turn = w.top OR NOT (""" + " OR ".join(
         f"(contains(lower(won), '{n.replace(chr(39), chr(39) * 2)}') AND contains(lower(won), replace(lower(content), '{n.replace(chr(39), chr(39) * 2)}', ''))) OR (contains(lower(content), '{n.replace(chr(39), chr(39) * 2)}') AND contains(lower(content), replace(lower(won), '{n.replace(chr(39), chr(39) * 2)}', '')))"
@@ -172,5 +172,5 @@ def mem_policy(spark, d):
 )
 def mem_contradict(spark, d):
     """Of each kind the newest item, and the older ones that it doesn't contradict."""
-    said = table(spark, d, "conversations").select("conv_id", "turn", F.col("role").alias("kind"), F.when(F.col("turn") % 2 == 1, F.left("text", F.lit(20))).otherwise(F.concat(F.lit("not "), F.left("text", F.lit(20)))).alias("content"))
+    said = table(spark, d, "conversations").select("conv_id", "turn", F.col("role").alias("kind"), F.when(F.col("turn") % 2 == 1, F.col("text")).otherwise(F.concat(F.lit("not "), "text")).alias("content"))
     return mm.without_contradicted(said, ["conv_id", "kind"], "turn").select("conv_id", "turn")

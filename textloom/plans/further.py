@@ -272,7 +272,7 @@ def ml_embedding(spark, d):
 @query()
 def ev_coefficients(spark, d):
     """The ten terms that speak most for and against good quality."""
-    fitted = md.fit(pm._labelled(spark, d), size=2048)
+    fitted = md.fit(pm._labelled(spark, d))
     terms, weights = fitted.stages[0].vocabulary, fitted.stages[-1].coefficients.toArray()
     rows = sorted(zip(map(float, weights), terms))
     return spark.createDataFrame([(t, w) for w, t in rows[:10] + rows[-10:]], "term string, weight double")

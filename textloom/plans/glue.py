@@ -135,9 +135,9 @@ def run_compare(spark, d):
     return st.compared(e.where("event_id = 0"), e.where("event_id = 1"), "props")
 
 
-@query("SELECT conv_id, turn, CASE WHEN contains(w, '*') OR contains(w, '?') THEN 'wildcard' WHEN contains(w, ' ') THEN 'phrase' ELSE 'word' END AS mode FROM (SELECT conv_id, turn, trim(left(text, 1 + (conv_id % 30)::INT)) AS w FROM conversations)")
+@query("SELECT conv_id, turn, CASE WHEN contains(w, '*') OR contains(w, '?') THEN 'wildcard' WHEN contains(w, ' ') THEN 'phrase' ELSE 'word' END AS mode FROM (SELECT conv_id, turn, trim(text) AS w FROM conversations)")
 def kwic_auto(spark, d):
-    asked = F.btrim(F.left("text", (1 + F.col("conv_id") % 30).cast("int")))
+    asked = F.btrim("text")
     return table(spark, d, "conversations").select("conv_id", "turn", st.query_mode(asked).alias("mode"))
 
 
@@ -185,10 +185,10 @@ def tx_tokenops(spark, d):
     return docs(spark, d).select(F.col("doc_id").alias("unit_id"), F.size(c).cast("long").alias("n"))
 
 
-@query("SELECT item_id, array_to_string(list_transform(string_split(left(text, 40), ' '), lambda x: lower(trim(x, '.,;'))), '_') AS phrase FROM benchmark")
+@query("SELECT item_id, array_to_string(list_transform(string_split(text, ' '), lambda x: lower(trim(x, '.,;'))), '_') AS phrase FROM benchmark")
 def nlp_morph_phrase(spark, d):
     """The parts of a phrase in their normal form, joined."""
-    parts = F.transform(F.split(F.left("text", F.lit(40)), " "), lambda x: F.lower(F.btrim(x, F.lit(".,;"))))
+    parts = F.transform(F.split("text", " "), lambda x: F.lower(F.btrim(x, F.lit(".,;"))))
     return table(spark, d, "benchmark").select("item_id", F.array_join(parts, "_").alias("phrase"))
 
 
@@ -324,7 +324,7 @@ def rt_e2e_eval(spark, d):
 def ml_persist(spark, d):
     """A classifier written, read back, and still giving the same predictions."""
     path, rows = new_path(spark, "model"), _labelled(spark, d)
-    model = md.fit(rows, size=512)
+    model = md.fit(rows)
     model.write().overwrite().save(path)
     test = rows.where("split = 'test'")
     one, two = (md.scored(m, test).select("unit_id", F.col("predicted").alias(n)) for m, n in ((model, "before"), (PipelineModel.load(path), "after")))

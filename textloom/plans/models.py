@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators import factors as fc
 from textloom.operators import models as md
 from textloom.operators.relations import dfm, token_rel
 from textloom.plans.frequency import docs, prep, rounded
@@ -273,7 +274,7 @@ for _name, _learner in {"ml_logreg": "logistic_regression", "ml_svm": "linear_sv
 
     def _learned(spark, d, learner=_learner):
         rows = _labelled(spark, d)
-        made = md.scored(md.fit(rows, learner, size=4096), rows.where("split = 'test'"))
+        made = md.scored(md.fit(rows, learner), rows.where("split = 'test'"))
         return md.binary_metrics(made, "label", "predicted")
 
     query(name=_name)(_learned)
@@ -282,7 +283,7 @@ for _name, _learner in {"ml_logreg": "logistic_regression", "ml_svm": "linear_sv
 @query()
 def ml_fit_eval(spark, d):
     rows = _labelled(spark, d)
-    made = md.scored(md.fit(rows, size=4096), rows.where("split <> 'train'"))
+    made = md.scored(md.fit(rows), rows.where("split <> 'train'"))
     return made.select("unit_id", "split", "label", "predicted", "confidence", "uncertainty")
 
 
@@ -355,7 +356,7 @@ def top_breakdown(spark, d):
 
 @query()
 def dim_pca(spark, d):
-    return md.reduced(prep(spark, d), 2, 128)
+    return fc.principal(prep(spark, d), 2)
 
 
 @query("""WITH f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, regr_r2(l_extendedprice, l_quantity) AS r2 FROM lineitem)

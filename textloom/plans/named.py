@@ -14,7 +14,7 @@ _NAMED = (
     ("corpus_stats", {}, "agg_corpus_stats"), ("frequencies", {"top_n": 50}, "agg_term_report"), ("ngrams", {"n": 2, "top_n": 50}, "agg_ngram_report"),
     ("dfm", {"weighting": "bm25"}, "wt_bm25"), ("readability", {}, "agg_readability"), ("dictionary", {"spec": DICTIONARY}, "dict_report"),
     ("cooccurrence", {"min_count": 20, "min_frequency": 50}, "col_report"), ("similarity", {"metric": "jaccard", "min_score": 0.5}, "sim_jaccard_pairwise"),
-    ("duplicate_detection", {}, "dup_report"), ("clustering", {"k": 5}, None), ("dimensionality_reduction", {"terms": 128}, None),
+    ("duplicate_detection", {}, "dup_report"), ("clustering", {"k": 5}, None), ("dimensionality_reduction", {}, None),
     ("keyness", {"group": "lang", "a": "en", "b": "de"}, None),
 )
 for _name, _options, _like in _NAMED:

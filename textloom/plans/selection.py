@@ -96,7 +96,7 @@ def ml_flatten(spark, d):
 def ml_ovr(spark, d):
     """Is a document of the language? One model for each."""
     rows = prep(spark, d, "source").join(docs(spark, d).select(F.col("doc_id").alias("unit_id"), F.array("lang").alias("labels")), "unit_id")
-    return sl.one_vs_rest(md.grouped_split(rows, "source"), ["de", "en"], size=1024)
+    return sl.one_vs_rest(md.grouped_split(rows, "source"), sorted(r[0] for r in docs(spark, d).where("lang IS NOT NULL").select("lang").distinct().collect()))  # a few languages
 
 
 _GRID = [{"name": "logistic_regression", "c": c} for c in (0.1, 1.0)]
@@ -104,12 +104,12 @@ _GRID = [{"name": "logistic_regression", "c": c} for c in (0.1, 1.0)]
 
 @query()
 def ml_hparams(spark, d):
-    return sl.searched(_labelled(spark, d), _GRID, "source", 2, size=512)
+    return sl.searched(_labelled(spark, d), _GRID, "source", 2)
 
 
 @query()
 def ml_nested_cv(spark, d):
-    return sl.nested(_labelled(spark, d), _GRID, "source", 2, 2, size=512)
+    return sl.nested(_labelled(spark, d), _GRID, "source", 2, 2)
 
 
 @query()
@@ -145,7 +145,7 @@ def ev_robustness(spark, d):
     rows, out = _labelled(spark, d).drop("split"), None
     for seed in (1, 2, 3):
         split = md.grouped_split(rows, "source", seed=seed)
-        made = md.scored(md.fit(split, size=512), split.where("split = 'test'"))
+        made = md.scored(md.fit(split), split.where("split = 'test'"))
         one = md.binary_metrics(made, "label", "predicted").select(F.lit(seed).alias("seed"), "f1", "accuracy")
         out = one if out is None else out.unionAll(one)
     return out
@@ -153,7 +153,7 @@ def ev_robustness(spark, d):
 
 @query()
 def top_nmf(spark, d):
-    return fc.nmf(prep(spark, d), 4)[0]
+    return fc.nmf(prep(spark, d), 4, 12)[0]
 
 
 @query()
@@ -167,7 +167,7 @@ def top_ksweep(spark, d):
     p = written(prep(spark, d), "prep")
     matrix, n, out = dfm(token_rel(p)), p.count(), None
     for k in (2, 4):
-        terms = written(md.topics(p, k, 4, size=500)[0], "topics")
+        terms = written(md.topics(p, k, 4)[0], "topics")
         one = md.npmi_coherence(matrix, terms, n).agg(F.avg("coherence").alias("coherence")).crossJoin(md.topic_diversity(terms)).select(F.lit(k).alias("k"), "*")  # one row each
         out = one if out is None else out.unionAll(one)
     return out
@@ -179,7 +179,7 @@ def top_stability(spark, d):
     p = written(prep(spark, d), "prep")
     sets = []
     for seed in (1, 2):
-        by = md.topics(p, 4, 4, seed, 500)[0].groupBy("topic").agg(F.collect_set("term").alias("t")).collect()  # ten terms a topic
+        by = md.topics(p, 4, 4, seed)[0].groupBy("topic").agg(F.collect_set("term").alias("t")).collect()  # ten terms a topic
         sets.append([set(r["t"]) for r in by])
     return spark.createDataFrame([(1, 2, float(sl.matched(*sets)))], "seed_a int, seed_b int, jaccard double")
 
