@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.operators.relations import dfm, token_rel
@@ -147,54 +147,93 @@ def _started(found: Singular, mean: float) -> tuple[DataFrame, DataFrame]:
     return begun(found.units, "unit_id", left), begun(found.terms, "term", right)
 
 
-def nmf(rows: DataFrame, k: int = 4, iterations: int = 20, tolerance: float = 1e-4, top_n: int = 10, seed: int = 42) -> tuple[DataFrame, DataFrame, list[float]]:
-    """Topic terms (topic, term, weight, rank), units with their shares (unit_id, shares), and the reconstruction error after each round.
+def _updated(factor: DataFrame, key: str, against: DataFrame, m: np.ndarray, k: int) -> DataFrame:
+    """(key, f, met): factor * against / (factor m), and the sum of the new factor times against."""
+    own = lambda i: F.get(factor["f"], F.lit(i))
+    to = lambda i: F.coalesce(F.get("to", F.lit(i)), F.lit(0.0))
+    below = lambda i: sum((own(j) * float(m[j, i]) for j in range(k)), F.lit(0.0))
+    met = factor.join(against.withColumnRenamed("f", "to"), key, "left")
+    made = met.select(key, F.array(*[own(i) * to(i) / F.greatest(below(i), F.lit(1e-12)) for i in range(k)]).alias("f"), "to")
+    return made.select(key, "f", sum((F.get("f", F.lit(i)) * to(i) for i in range(k)), F.lit(0.0)).alias("met"))
+
+
+def _shared(w: DataFrame, k: int) -> DataFrame:
+    """(unit_id, shares): each unit's factor over its sum."""
+    whole = sum((F.get("f", F.lit(i)) for i in range(k)), F.lit(0.0))
+    return w.select("unit_id", F.transform("f", lambda x: x / F.greatest(F.lit(1e-12), whole)).alias("shares"))
+
+
+@dataclass
+class Factored:
+    """units, terms: (unit_id or term, f), the nonnegative factors; frequency: (term, df) and ``n_units``, from which further units are weighed."""
+
+    k: int
+    units: DataFrame
+    terms: DataFrame
+    frequency: DataFrame
+    n_units: int
+    errors: list[float]
+
+    def top_terms(self, top_n: int = 10) -> DataFrame:
+        """(topic, term, weight, rank): the first terms of each topic; each order is taken by itself, so no task holds a vocabulary."""
+        top = None
+        for i in range(self.k):
+            one = self.terms.select(F.lit(i).alias("topic"), "term", F.get("f", F.lit(i)).alias("weight")).orderBy(F.desc(F.round("weight", 9)), "term").limit(top_n)
+            top = one if top is None else top.unionAll(one)
+        if top is None:
+            return self.terms.sparkSession.createDataFrame([], "topic int, term string, weight double, rank int")
+        return top.withColumn("rank", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc(F.round("weight", 9)), "term")))  # ``top_n`` rows a topic
+
+    def shares(self) -> DataFrame:
+        return _shared(self.units, self.k)
+
+    def transform(self, rows: DataFrame, rounds: int = 20) -> DataFrame:
+        """(unit_id, shares) of further ``rows`` (unit_id, tokens): their factors against the terms' as they are. Terms that weren't there say nothing."""
+        weight = F.col("count") * (F.ln((F.lit(float(self.n_units)) + 1) / (F.col("df") + 1)) + 1)
+        raw = dfm(token_rel(rows)).join(self.frequency, "term").select("unit_id", "term", weight.alias("w"))
+        norm = raw.groupBy("unit_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+        a = raw.join(norm, "unit_id").select("unit_id", "term", (F.col("w") / F.col("norm")).alias("weight"))
+        against = written(product(a, self.terms, "term", "unit_id", self.k), "against")
+        hh, w = gram(self.terms, self.k), against.select("unit_id", F.array(*[F.lit(1.0 / max(1, self.k))] * self.k).alias("f"))
+        for n in range(rounds):
+            w = _updated(w, "unit_id", against, hh, self.k).select("unit_id", "f")
+            if n % 5 == 4:  # else the plan grows with the rounds
+                w = written(w, "factor")
+        return _shared(w, self.k)
+
+
+def factored(rows: DataFrame, k: int = 4, iterations: int = 20, tolerance: float = 1e-4, seed: int = 42) -> Factored:
+    """Nonnegative factors of the TF-IDF matrix of ``rows`` (unit_id, tokens), and the reconstruction error after each round.
 
     Multiplicative updates from singular vectors. They end when ten rounds bring the error down by less than ``tolerance``
-    of what it was at the start. Units without tokens have no shares.
+    of what it was at the start. Units without tokens take no part.
     """
     a = weights_of(rows)
+    frequency = a.groupBy("term").agg(F.count("*").alias("df"))
     n_units, n_terms, total, square = a.agg(F.countDistinct("unit_id"), F.countDistinct("term"), F.sum("weight"), F.sum(F.col("weight") * F.col("weight"))).first()
+    empty = F.array().cast("array<double>").alias("f")
     if not n_units:
-        none = rows.select("unit_id", F.array().cast("array<double>").alias("shares")).limit(0)
-        return rows.sparkSession.createDataFrame([], "topic int, term string, weight double, rank int"), none, []
+        return Factored(0, a.select("unit_id", empty), a.select("term", empty), frequency, rows.count(), [])
     found = singular(a, min(k, n_units, n_terms), seed=seed)
     k = len(found.values)
     w, h = (written(x, "factor") for x in _started(found, total / (n_units * n_terms)))
-
-    def updated(factor: DataFrame, key: str, against: DataFrame, m: np.ndarray) -> DataFrame:
-        """factor * against / (factor m), and the sum of the new factor times against."""
-        own = lambda i: F.get(factor["f"], F.lit(i))
-        to = lambda i: F.coalesce(F.get("to", F.lit(i)), F.lit(0.0))
-        below = lambda i: sum((own(j) * float(m[j, i]) for j in range(k)), F.lit(0.0))
-        met = factor.join(against.withColumnRenamed("f", "to"), key, "left")
-        made = met.select(key, F.array(*[own(i) * to(i) / F.greatest(below(i), F.lit(1e-12)) for i in range(k)]).alias("f"), "to")
-        return made.select(key, "f", sum((F.get("f", F.lit(i)) * to(i) for i in range(k)), F.lit(0.0)).alias("met"))
-
     hh, errors = gram(h, k), []
     for _ in range(iterations):
-        then = written(updated(w, "unit_id", product(a, h, "term", "unit_id", k), hh), "factor")
+        then = written(_updated(w, "unit_id", product(a, h, "term", "unit_id", k), hh, k), "factor")
         dropped(w)
         w = then.select("unit_id", "f")
         ww, (met,) = gram(then, k, F.sum("met"))
         errors.append(float(np.sqrt(max(0.0, square - 2 * met + float((ww * hh).sum())))))
         if len(errors) > 10 and (errors[-11] - errors[-1]) < tolerance * errors[0]:
             break
-        then = written(updated(h, "term", product(a, w, "unit_id", "term", k), ww), "factor")
+        then = written(_updated(h, "term", product(a, w, "unit_id", "term", k), ww, k), "factor")
         dropped(h)
         h = then.select("term", "f")
         hh = gram(h, k)
-    top = None
-    for i in range(k):  # the first of an order, each by itself
-        one = h.select(F.lit(i).alias("topic"), "term", F.get("f", F.lit(i)).alias("weight")).orderBy(F.desc(F.round("weight", 9)), "term").limit(top_n)
-        top = one if top is None else top.unionAll(one)
-    ranked = top.withColumn("rank", F.row_number().over(_by_topic()))
-    whole = sum((F.get("f", F.lit(i)) for i in range(k)), F.lit(0.0))
-    shares = w.select("unit_id", F.transform("f", lambda x: x / F.greatest(F.lit(1e-12), whole)).alias("shares"))
-    return ranked, shares, errors
-
+    return Factored(k, w, h, frequency, rows.count(), errors)
 
-def _by_topic():  # noqa: ANN202
-    from pyspark.sql import Window
 
-    return Window.partitionBy("topic").orderBy(F.desc(F.round("weight", 9)), "term")  # ``top_n`` rows a topic
+def nmf(rows: DataFrame, k: int = 4, iterations: int = 20, tolerance: float = 1e-4, top_n: int = 10, seed: int = 42) -> tuple[DataFrame, DataFrame, list[float]]:
+    """Topic terms, units with their shares, and the errors, of ``factored``."""
+    made = factored(rows, k, iterations, tolerance, seed)
+    return made.top_terms(top_n), made.shares(), made.errors

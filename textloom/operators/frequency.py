@@ -91,6 +91,7 @@ def ranked(counts: DataFrame, n_units: Column | int, key: str, rate_per: int) ->
 def top_frequencies(rel: DataFrame, n_units: int, top_n: int, key: str = "term", rate_per: int = 1000) -> DataFrame:
     """The first ``top_n`` rows of ``frequencies``: only they are ordered, whatever the vocabulary."""
     counts = rel.groupBy(key).agg(F.count("*").alias("raw_count"), F.countDistinct("unit_id").alias("document_frequency"))
+    counts = written(counts, "counts")  # read for the total and for the first rows
     total = counts.agg(F.sum("raw_count").alias("_total"))
     top = counts.orderBy(F.desc("raw_count"), key).limit(top_n)
     order = Window.orderBy(F.desc("raw_count"), key)

@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
 from pyspark.ml.clustering import LDA, KMeans
-from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, NGram, Normalizer
+from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, NGram, Normalizer, UnivariateFeatureSelector
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import Column, DataFrame, Window
@@ -91,6 +91,15 @@ def feature_stages(ngrams: Sequence[int] = (1,), min_df: float = 1.0, size: int
     return [*stages, counter, IDF(inputCol="counts", outputCol="idf"), Normalizer(inputCol="idf", outputCol="features")]
 
 
+def feature_pipeline(top: int | None = None, label: str = "label", **features) -> Pipeline:  # noqa: ANN003
+    """Features and, with ``top``, the selection of so many by the F test of their means by class, as one object to fit; the result is in ``selected``."""
+    stages = feature_stages(**features)
+    if top:
+        chosen = UnivariateFeatureSelector(featuresCol="features", labelCol=label, outputCol="selected", selectionMode="numTopFeatures")
+        stages.append(chosen.setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(top))
+    return Pipeline(stages=stages)
+
+
 def classifier(name: str, c: float = 1.0, rows: int = 1, weight: str | None = None, classes: int = 2):  # noqa: ANN201
     """A learner by name; C as in margin terms becomes a penalty over the rows."""
     extra = {"weightCol": weight} if weight else {}
@@ -113,7 +122,7 @@ def balanced_weights(rows: DataFrame, label: str = "label") -> DataFrame:
     """Adds weight: n over classes times class size."""
     sizes = rows.groupBy(label).agg(F.count("*").alias("_c"))
     total = sizes.agg(F.sum("_c").alias("_n"), F.count("*").alias("_k"))
-    return rows.join(F.broadcast(sizes.crossJoin(total)), label).withColumn("weight", F.col("_n") / (F.col("_k") * F.col("_c"))).drop("_c", "_n", "_k")  # one row a class
+    return rows.join(sizes.crossJoin(F.broadcast(total)), label).withColumn("weight", F.col("_n") / (F.col("_k") * F.col("_c"))).drop("_c", "_n", "_k")  # one row
 
 
 def fit(rows: DataFrame, name: str = "logistic_regression", c: float = 1.0, **features) -> PipelineModel:  # noqa: ANN003
@@ -246,7 +255,7 @@ def topics(rows: DataFrame, k: int = 5, iterations: int = 15, seed: int = 42, si
 def npmi_coherence(matrix: DataFrame, terms: DataFrame, n_units: int) -> DataFrame:
     """(topic, coherence): mean NPMI of each topic's term pairs over units; -1 for pairs that never meet."""
     wanted = terms.select("term").distinct()
-    held = matrix.join(F.broadcast(wanted), "term").select("unit_id", "term")  # top terms of the topics
+    held = matrix.join(wanted, "term").select("unit_id", "term")
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     a, b = held.withColumnRenamed("term", "x"), held.withColumnRenamed("term", "y")
     both = a.join(b, "unit_id").where("x < y").groupBy("x", "y").agg(F.count("*").alias("n"))

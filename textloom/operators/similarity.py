@@ -91,14 +91,14 @@ def centroids(weights: DataFrame, groups: DataFrame) -> DataFrame:
     """(group_key, term, mean): mean vectors; terms that a unit lacks count as 0."""
     sizes = groups.groupBy("group_key").agg(F.count("*").alias("n"))
     sums = weights.join(groups, "unit_id").groupBy("group_key", "term").agg(F.sum("weight").alias("total"))
-    return sums.join(F.broadcast(sizes), "group_key").select("group_key", "term", (F.col("total") / F.col("n")).alias("mean"))
+    return sums.join(sizes, "group_key").select("group_key", "term", (F.col("total") / F.col("n")).alias("mean"))
 
 
 def centroid_between(weights: DataFrame, groups: DataFrame) -> DataFrame:
     """(a, b, score): cosine of the mean vectors of each two groups."""
     c = centroids(weights, groups)
     norm = c.groupBy("group_key").agg(F.sqrt(F.sum(F.col("mean") * F.col("mean"))).alias("norm"))
-    c = c.join(F.broadcast(norm), "group_key")
+    c = c.join(norm, "group_key")
     a = c.select(F.col("group_key").alias("a"), "term", F.col("mean").alias("x"), F.col("norm").alias("na"))
     b = c.select(F.col("group_key").alias("b"), "term", F.col("mean").alias("y"), F.col("norm").alias("nb"))
     return a.join(b, "term").where("a < b").groupBy("a", "b").agg((F.sum(F.col("x") * F.col("y")) / (F.first("na") * F.first("nb"))).alias("score"))
@@ -109,7 +109,7 @@ def item_to_group(weights: DataFrame, groups: DataFrame) -> DataFrame:
     c = centroids(weights, groups)
     norm = c.groupBy("group_key").agg(F.sqrt(F.sum(F.col("mean") * F.col("mean"))).alias("norm"))
     mine = weights.join(groups, "unit_id").join(c, ["group_key", "term"]).groupBy("unit_id", "group_key").agg(F.sum(F.col("weight") * F.col("mean")).alias("dot"))
-    return mine.join(F.broadcast(norm), "group_key").select("unit_id", "group_key", (F.col("dot") / F.col("norm")).alias("score"))
+    return mine.join(norm, "group_key").select("unit_id", "group_key", (F.col("dot") / F.col("norm")).alias("score"))
 
 
 def cosine(a: Column, b: Column) -> Column:

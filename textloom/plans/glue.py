@@ -329,3 +329,12 @@ def ml_persist(spark, d):
     test = rows.where("split = 'test'")
     one, two = (md.scored(m, test).select("unit_id", F.col("predicted").alias(n)) for m, n in ((model, "before"), (PipelineModel.load(path), "after")))
     return one.join(two, "unit_id").groupBy((F.col("before") == F.col("after")).alias("same")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT 4 AS n_checks, (SELECT 'stopifnot(nrow(units) == ' || count(*) || ')' FROM documents) AS expected, 10 AS n_lines")
+def sink_quanteda_script(spark, d):
+    """The replication script, written and read back: its check of the number of units, and how long it is."""
+    path = new_path(spark, "script")
+    files.replication_script(docs(spark, d), "units.csv", ["lang", "source"]).orderBy("line").coalesce(1).select("text").write.text(path)
+    back = spark.read.text(path)
+    return back.agg(F.count_if(F.col("value").startswith("print(") | F.col("value").startswith("stopifnot(")).cast("int").alias("n_checks"), F.max(F.when(F.col("value").startswith("stopifnot("), F.col("value"))).alias("expected"), F.count("*").cast("int").alias("n_lines"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from textloom.operators import engines as eg
 from textloom.operators import factors as fc
 from textloom.operators import frequency as fr
 from textloom.operators import models as md
@@ -196,3 +198,31 @@ def top_semantic(spark, d):
     made = PCA(k=5, inputCol="x", outputCol="y").fit(made).transform(made)
     clusters = KMeans(k=4, seed=42, featuresCol="y", predictionCol="cluster").fit(made).transform(made)
     return md.cluster_terms(token_rel(p), clusters.select("unit_id", "cluster"))
+
+
+@query()
+def top_engines(spark, d):
+    """Every topic engine by its name: the ten terms of each of three topics."""
+    p, out = written(prep(spark, d), "prep"), None
+    for name in eg.ENGINES:
+        one = eg.fitted(name, p, 3, iterations=6).terms.select(F.lit(name).alias("engine"), "topic", "term", "rank")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+@query()
+def top_stages(spark, d):
+    """Units by reducer and cluster."""
+    p, out = written(prep(spark, d), "prep"), None
+    for name in eg.REDUCERS:
+        one = eg.staged(p, name, 3, 4).groupBy("cluster").agg(F.count("*").alias("n")).select(F.lit(name).alias("reducer"), "cluster", "n")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+@query()
+def ml_pipeline(spark, d):
+    """Features and their selection as one fitted object: how many of the chosen features each test row has."""
+    rows = _labelled(spark, d)
+    made = md.feature_pipeline(top=200).fit(rows.where("split = 'train'")).transform(rows.where("split = 'test'"))
+    return made.select("unit_id", F.size(F.filter(vector_to_array("selected"), lambda x: x != 0)).alias("n_features"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,3 +104,17 @@ def manifest(docs: DataFrame, units: DataFrame) -> DataFrame:
     counts = docs.agg(F.count("*").alias("documents"), F.sum(F.xxhash64("doc_id", "text").cast("decimal(38,0)")).cast("string").alias("checksum"))
     made = counts.crossJoin(units.agg(F.count("*").alias("units"))).crossJoin(languages)  # one row each
     return made.select(F.to_json(F.struct("documents", "units", "checksum", "languages")).alias("manifest"))
+
+
+def replication_script(docs: DataFrame, units_file: str, groups: Sequence[str], name: str = "corpus") -> DataFrame:
+    """(line, text): an R script that reads the exported units into quanteda and counts them anew, by each of ``groups`` too; one row a line.
+
+    The number of units to expect is in it, so that a short export stops the script.
+    """
+    lines = [
+        f"# Replication of {name} from its exported units", "library(quanteda)", f'units <- readr::read_csv("{units_file}")', "stopifnot(nrow(units) == {n})",
+        'texts <- corpus(units, docid_field = "unit_id", text_field = "text")', "words <- tokens(texts, remove_punct = TRUE)", "counts <- dfm_tolower(dfm(words))", "print(topfeatures(counts, 25))",
+        *[f'print(topfeatures(dfm_group(counts, groups = docvars(texts, "{g}")), 10, groups = {g}))' for g in groups],
+    ]
+    text = F.array(*[F.lit(x) for x in lines])
+    return docs.agg(F.count("*").cast("string").alias("n")).select(F.posexplode(F.transform(text, lambda x: F.replace(x, F.lit("{n}"), F.col("n")))).alias("line", "text"))
