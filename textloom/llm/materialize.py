@@ -37,6 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.llm.bytewords import pieces as by_size
 from textloom.llm.common import dropped, shared_folder, written
 
 LENGTH = 1024
@@ -136,8 +137,7 @@ def materialize(
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[bytes]]]:
         for batch in batches:
-            for start in range(0, len(batch), 200):
-                part = batch.slice(start, 200)
+            for part in by_size(batch, 1, 1 << 19):  # by their size, as texts may be long
                 yield part.column(0), shipped.value.encode_all(part.column(1).to_pylist(), kind)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
