@@ -128,9 +128,10 @@ def test_matching_against_all_permutations():
 def dense(rows):
     """The matrix of (unit_id, term, weight) rows, by sorted units and terms."""
     units, terms = sorted({r.unit_id for r in rows}), sorted({r.term for r in rows})
+    row, column = ({x: i for i, x in enumerate(names)} for names in (units, terms))
     m = np.zeros((len(units), len(terms)))
     for r in rows:
-        m[units.index(r.unit_id), terms.index(r.term)] = r.weight
+        m[row[r.unit_id], column[r.term]] = r.weight
     return m, units, terms
 
 

@@ -3,6 +3,7 @@ that Unicode normal forms and casefolding need, which are Arrow functions."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Sequence
 
@@ -70,6 +71,20 @@ def ngrams(toks: Column, n: int) -> Column:
     )
 
 
+def merged_phrases(toks: Column, phrases: Sequence[Sequence[str]]) -> Column:
+    """Tokens with each phrase as one, its parts joined by underscores: left to right, the longest that fits at a place.
+
+    The tokens are one text for that, in which phrases are marked by one expression that tries the longest first.
+    """
+    listed = sorted({" ".join(p) for p in phrases}, key=lambda p: (-p.count(" "), p))
+    if not listed:
+        return toks
+    fits = "(?<![^ ])(?:" + "|".join(re.escape(p) for p in listed) + ")(?![^ ])"
+    marked = F.split(F.regexp_replace(F.array_join(toks, " "), fits, "\x01$0\x01"), "\x01")
+    joined = F.array_join(F.transform(marked, lambda x, i: F.when(i % 2 == 1, F.replace(x, F.lit(" "), F.lit("_"))).otherwise(x)), "")
+    return F.when(F.size(toks) == 0, toks).otherwise(F.split(joined, " "))
+
+
 # cleaning steps, each text to text
 
 

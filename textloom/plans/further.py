@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from textloom.functions import text as tx
 from textloom.operators import documents as dc
@@ -148,24 +146,18 @@ def tx_compose(spark, d):
     return df.select(F.col("doc_id").alias("unit_id"), "tokens")
 
 
-@query()
-def nlp_phrase_merge(spark, d):
-    """Known phrases become one token, longest first, left to right."""
-    phrases = sorted((("of", "the"), ("in", "the"), ("the", "of", "the")), key=len, reverse=True)
+_PHRASES = (("of", "the"), ("in", "the"), ("the", "of", "the"))
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def merge(rows: pd.Series) -> pd.Series:
-        def one(toks: list[str]) -> list[str]:
-            out, i, toks = [], 0, list(toks)
-            while i < len(toks):
-                hit = next((p for p in phrases if tuple(toks[i : i + len(p)]) == p), None)
-                out.append("_".join(hit) if hit else toks[i])
-                i += len(hit) if hit else 1
-            return out
 
-        return rows.map(one)
-
-    return prep(spark, d).select("unit_id", merge("tokens").alias("tokens"))
+@query(
+    """, j AS (SELECT doc_id, len(t) AS n, regexp_replace(' ' || array_to_string(t, '  ') || ' ', ' (the)  (of)  (the) | (of)  (the) | (in)  (the) ', chr(1) || '\\0' || chr(1), 'g') AS s FROM tk),
+    m AS (SELECT doc_id, n, array_to_string(list_transform(list_zip(string_split(s, chr(1)), range(0, len(string_split(s, chr(1))))), lambda x: CASE WHEN x[2] % 2 = 1 THEN ' ' || replace(trim(x[1]), '  ', '_') || ' ' ELSE x[1] END), '') AS s FROM j)
+    SELECT doc_id AS unit_id, CASE WHEN n = 0 THEN [] ELSE string_split(trim(s), '  ') END AS tokens FROM m""",
+    uses="tk",
+)
+def nlp_phrase_merge(spark, d):
+    """Known phrases become one token, longest first, left to right."""
+    return prep(spark, d).select("unit_id", tx.merged_phrases(F.col("tokens"), _PHRASES).alias("tokens"))
 
 
 @query(
@@ -195,11 +187,11 @@ def vec_word_tfidf(spark, d):
     return rounded(sm.unit_tfidf(dfm(token_rel(p)), p.count()))
 
 
-@query()
+@query(" SELECT doc_id AS unit_id, ('0x' || left(md5(term), 8))::BIGINT % 262144 AS slot, count(*) AS count FROM tok GROUP BY ALL", uses="tk tok")
 def agg_dfm_hashing(spark, d):
     """(unit_id, slot, count) over 2^18 hashed features."""
-    rel = token_rel(prep(spark, d)).withColumn("slot", F.pmod(F.xxhash64("term"), F.lit(1 << 18)))
-    return rel.groupBy("unit_id", "slot").agg(F.count("*").alias("count"))
+    slot = F.conv(F.substring(F.md5(F.col("term").cast("binary")), 1, 8), 16, 10).cast("long") % (1 << 18)
+    return token_rel(prep(spark, d)).withColumn("slot", slot).groupBy("unit_id", "slot").agg(F.count("*").alias("count"))
 
 
 @query(

@@ -131,17 +131,28 @@ def _signatures(spark, d):
     return docs(spark, d).select(F.col("doc_id").alias("unit_id"), sm.minhash()(F.col("text")).alias("signature"))
 
 
-@query()
+_MINHASH = r"""wd AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w FROM documents),
+  gm AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(1, len(w) - 2) + 1), lambda i: array_to_string(w[i : i + 2], ' ')))) AS g FROM wd WHERE len(w) > 0),
+  hx AS (SELECT doc_id, ('0x' || left(md5(g), 8))::BIGINT AS x FROM gm), co(k, a, b) AS (VALUES """ + ", ".join(
+    f"({k}, {a}::HUGEINT, {b}::HUGEINT)" for k, (a, b) in enumerate(zip(*sm._coefficients(64, 1)))
+) + """),
+  mn AS (SELECT doc_id, k, min(((a * x + b) % 2305843009213693951)::BIGINT & 4294967295) AS v FROM hx, co GROUP BY doc_id, k),
+  sg AS (SELECT doc_id AS unit_id, coalesce(s, list_transform(range(64), lambda i: 4294967295)) AS signature FROM documents LEFT JOIN (SELECT doc_id, list(v ORDER BY k) AS s FROM mn GROUP BY doc_id) USING (doc_id)),
+  dg AS (SELECT signature, min(unit_id) AS u FROM sg GROUP BY signature), bd AS (SELECT u, signature, band, signature[4 * band + 1 : 4 * band + 4] AS s FROM dg, range(16) r(band)),
+  ls AS (SELECT DISTINCT a.u AS i, b.u AS j, a.signature AS x, b.signature AS y FROM bd a JOIN bd b ON a.band = b.band AND a.s = b.s AND a.u < b.u)"""
+
+
+@query(f"WITH {_MINHASH} SELECT unit_id, signature FROM sg")
 def dup_minhash(spark, d):
     return _signatures(spark, d)
 
 
-@query()
+@query(f"WITH {_MINHASH} SELECT i, j FROM ls")
 def dup_lsh(spark, d):
     return sm.lsh_candidates(_signatures(spark, d))
 
 
-@query()
+@query(f"WITH {_MINHASH} SELECT i, j, len(list_filter(list_zip(x, y), lambda p: p[1] = p[2])) / 64 AS score FROM ls WHERE len(list_filter(list_zip(x, y), lambda p: p[1] = p[2])) >= 51.2")
 def dup_estimate(spark, d):
     s = _signatures(spark, d)
     return sm.estimated(sm.lsh_candidates(s), s)
