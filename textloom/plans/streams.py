@@ -13,6 +13,11 @@ from textloom.streaming.tables import LatestCounts, kept_up
 from textloom.tables import new_path
 
 
+def table_stream(spark, d, name, schema):  # noqa: ANN001, ANN201
+    """A table as a stream. The pattern fits its name alone, and so a file as well as a folder of files; as a plain path a stream takes folders only."""
+    return spark.readStream.schema(schema).parquet(f"{d}/{name}.parque[t]")
+
+
 def drained(stream, mode):  # noqa: ANN001, ANN201
     """What a stream gives once it has read all that is there now: each batch replaces the table in the shared folder."""
     spark = stream.sparkSession
@@ -26,7 +31,7 @@ def drained(stream, mode):  # noqa: ANN001, ANN201
 @query("SELECT term, count(*) AS count FROM tok GROUP BY term", uses="tk tok")
 def tok_stream_counts(spark, d):
     one = docs(spark, d)
-    stream = spark.readStream.schema(one.schema).option("pathGlobFilter", "documents.parquet").parquet(d)
+    stream = table_stream(spark, d, "documents", one.schema)
     counts = LatestCounts(spark, new_path(spark, "counts"))
     kept_up(stream_term_counts(stream), counts, new_path(spark, "state"))
     return counts.read()
@@ -35,7 +40,7 @@ def tok_stream_counts(spark, d):
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_event_windows(spark, d):
     one = table(spark, d, "events")
-    stream = spark.readStream.schema(one.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    stream = table_stream(spark, d, "events", one.schema)
     if one.schema["ts"].dataType.typeName() == "timestamp_ntz":
         stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
     return rounded(drained(stream_windows(stream), "complete"), 4)
