@@ -196,3 +196,33 @@ def test_files(spark, tmp_path):
     (tmp_path / "c.csv").write_text('country,year,gdp\nA,2001,"1,234"\nB,2002,NA\n')
     assert [(r.country, r.value) for r in files.read_indicators(spark, str(tmp_path / "c.csv")).collect()] == [("A", 1234.0)]
     assert files.read_csv(spark, str(tmp_path / "c.csv")).first().text == "country: A | year: 2001 | gdp: 1,234"
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.85, 0.92])
+def test_lexical_pairs_are_complete_and_make_no_row_a_gram(spark, threshold, monkeypatch):
+    r = random.Random(int(threshold * 100))
+    texts = [" ".join(r.choice(("alpha", "beta", "gamma", "delta", "épée", "𝔘x", "zz")) for _ in range(r.choice((1, 2, 5, 12, 60, 200)))) for _ in range(40)]
+    for t in list(texts):  # near copies on both sides of the threshold, and copies that only differ in case
+        for share in (0.01, 0.03, 0.06, 0.1):
+            texts.append("".join(c if r.random() > share / 4 else r.choice("qxé𝔘") for c in t))
+        texts.append(t.upper().lower() + " ")
+    texts += ["abcd", "abcde", "abce", "", " ", None, "a" * 3000, "a" * 3100]
+
+    def fail(*_):
+        raise AssertionError("grams as rows")
+
+    monkeypatch.setattr(sm, "gram_counts", fail)
+    got = {(x.i, x.j): x.score for x in sm.lexical_pairs(docs(spark, texts), threshold).collect()}
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(" ".join((t or "").split()).lower(), i)
+    grams = {i: Counter(t[k : k + 5] for k in range(max(1, len(t) - 4))) for t, i in first.items() if t}
+    want = {}
+    for i in grams:
+        for j in grams:
+            if i < j:
+                both = (grams[i] & grams[j]).total()
+                score = both / (grams[i].total() + grams[j].total() - both)
+                if score >= threshold:
+                    want[i, j] = round(score, 4)
+    assert len(want) > 20 and set(got) == set(want) and all(abs(got[p] - want[p]) < 1.1e-4 for p in want)
