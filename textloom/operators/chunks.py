@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,12 +41,21 @@ def parent_windows(leaves: DataFrame, boundary: Column, size: int = 3) -> DataFr
 
 def overlap_chars(left: Column, right: Column, least: int = 32, most: int = 4000) -> Column:
     """Length of the longest end of one text that the next begins with; 0 below ``least``. ``most`` is the longest chunk's."""
-    limit = F.least(F.length(left), F.length(right), F.lit(most))
-    sizes = F.when(limit >= least, F.sequence(limit, F.lit(least), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    # a size can only fit where the next text's first characters stand
-    head = F.substring(right, F.lit(1), F.lit(least))
-    fits = lambda n: (F.substring(left, F.length(left) - n + 1, F.lit(least)) == head) & (F.right(left, n) == F.left(right, n))
-    return F.coalesce(F.get(F.filter(sizes, fits), F.lit(0)), F.lit(0))
+
+    def one(a: str | None, b: str | None) -> int:
+        if a is None or b is None or min(len(a), len(b)) < least:
+            return 0
+        head = b[:least]  # an end can only begin where the next text's first characters stand
+        at = a.find(head, max(0, len(a) - min(len(b), most)))
+        while at >= 0 and not b.startswith(a[at:]):
+            at = a.find(head, at + 1)
+        return len(a) - at if at >= 0 else 0
+
+    @F.pandas_udf("int")
+    def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="int32")
+
+    return overlap(left, right)
 
 
 def without_edge_lines(text: Column, least_length: int = 8, repeats: int = 3, least_paragraphs: int = 4) -> Column:

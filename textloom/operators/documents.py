@@ -178,13 +178,27 @@ def segment(docs: DataFrame, unit_type: str, doc: str = "doc_id", text: str = "t
     )
 
 
+def chunk_contents(toks: Column, size: int, overlap: int) -> Column:
+    """Windows of ``size`` tokens that step by size less overlap, each joined by blanks; one empty window for no tokens."""
+    step = size - overlap
+    starts = F.sequence(F.lit(0), F.greatest(F.size(toks) - overlap - 1, F.lit(0)), F.lit(step))
+    return F.transform(starts, lambda s: F.array_join(F.slice(toks, s + 1, F.lit(size)), " "))
+
+
 def token_chunks(prep: DataFrame, size: int, overlap: int) -> DataFrame:
     """(unit_id, chunk_index, content): windows of ``size`` tokens that step by size less overlap."""
-    step = size - overlap
-    n = F.size("tokens")
-    starts = F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(step))
-    cut = F.transform(starts, lambda s, i: F.struct(i.alias("chunk_index"), F.array_join(F.slice("tokens", s + 1, F.lit(size)), " ").alias("content")))
-    return prep.where(n > 0).select("unit_id", F.explode(cut).alias("c")).select("unit_id", "c.*")
+    return prep.where(F.size("tokens") > 0).select("unit_id", F.posexplode(chunk_contents(F.col("tokens"), size, overlap)).alias("chunk_index", "content"))
+
+
+def chunk_neighbours(prep: DataFrame, size: int, overlap: int) -> DataFrame:
+    """(unit_id, chunk_index, content, next): each window but the last with the one after it, out of the unit's own row."""
+
+    def paired(made: Column) -> Column:
+        return F.transform(F.slice(made, F.lit(2), F.size(made) - 1), lambda x, k: F.struct(F.get(made, k).alias("content"), x.alias("next")))
+
+    # a one-element transform binds the windows; the outer form of explode doesn't make the planner tokenise twice
+    both = F.element_at(F.transform(F.array(chunk_contents(F.col("tokens"), size, overlap)), paired), 1)
+    return prep.select("unit_id", F.posexplode_outer(both).alias("chunk_index", "c")).where("c IS NOT NULL").select("unit_id", "chunk_index", "c.*")
 
 
 def lookup_page(units: DataFrame, pages: DataFrame) -> DataFrame:

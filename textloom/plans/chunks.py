@@ -45,9 +45,7 @@ def seg_parent_windows(spark, d):
 )
 def chunk_overlap_check(spark, d):
     """How much of each chunk's end the next one begins with."""
-    made = dc.token_chunks(prep(spark, d), 200, 30)
-    following = F.lead("content").over(Window.partitionBy("unit_id").orderBy("chunk_index"))
-    made = made.withColumn("next", following).where("next IS NOT NULL")
+    made = dc.chunk_neighbours(prep(spark, d), 200, 30)
     return made.select("unit_id", F.col("chunk_index").cast("long").alias("chunk_index"), ch.overlap_chars(F.col("content"), F.col("next")).alias("overlap"))
 
 
