@@ -114,6 +114,21 @@ def test_postings_against_a_full_scan(spark, every):
     assert sums[1] < sums[0], "no block was skipped"
 
 
+def test_postings_of_units_move_units_alone(spark):
+    random.seed(8)
+    units = [(d % 280, random.choices("abcdefgh", k=random.randint(0, 9))) for d in range(300)] + [(400, None)]
+    df = spark.createDataFrame(units, "chunk_id long, tokens array<string>")
+    rel = df.select("chunk_id", F.explode("tokens").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("count"))
+    terms = spark.createDataFrame([(q, t) for q in range(9) for t in random.sample("abcdefgh", 2)] + [(9, "none")], "query_id long, term string")
+    want = rt.lexical(rel, terms, rel.groupBy("chunk_id").agg(F.sum("count").alias("length")), 7)
+    index = postings.of_units(df, each=16)
+    found, _ = postings.search(index, terms, 7)
+    assert sorted(map(tuple, found.select("query_id", "chunk_id", "score", "rank").collect())) == sorted(map(tuple, want.select("query_id", "chunk_id", "score", "rank").collect()))
+    assert index.lists.groupBy("term", "block").count().where("count > 1").count() == 0
+    none = postings.search(postings.of_units(df.limit(0)), terms, 7)[0]
+    assert none.count() == 0
+
+
 def test_budget(spark):
     rows = [(1, "a", 1, 10), (1, "b", 2, 5), (1, "c", 3, 7), (2, "d", 1, 100), (2, "e", 2, 1)]
     got = rt.packed(spark.createDataFrame(rows, "query_id int, chunk_id string, rank int, n_tokens long"), 530, 512)
