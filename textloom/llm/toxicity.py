@@ -241,6 +241,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+#: Bits by which rows that have no label are told before the join, whatever the number of labels.
+_ID_BITS = 1 << 26
+
+
+def likely(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of ``texts`` (id, ...) whose id has the hash of an id of ``known``: all that a join by id keeps and few others, so that it shuffles no other texts."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(_ID_BITS))
+    bitmap = known.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("_bits"))
+    met = texts.withColumns({"_bucket": F.bitmap_bucket_number(bit), "_at": F.bitmap_bit_position(bit)}).join(F.broadcast(bitmap), "_bucket")  # 8 MB at most
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return met.where(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1).select(*texts.columns)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", label_col: str = "toxic", seed: int = 7) -> Network:
     """Trains on the whole texts of all labelled documents that are not held out."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
@@ -248,7 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), lang.alias("lang"))
     aside = F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(5)) == 0
-    rows = written(texts.join(known, "id").select("text", "label", "lang", aside.alias("aside")), "labelled")  # read in each round
+    rows = written(likely(texts, known).join(known, "id").select("text", "label", "lang", aside.alias("aside")), "labelled")  # read in each round
     sizes = rows.groupBy("label", "lang", "aside").agg(F.count("*").alias("n")).collect()  # a row for each label and language
     count = lambda label, side=None: sum(x["n"] for x in sizes if x["label"] == label and side in (None, x["aside"]))
     if not count(0) or not count(1):
