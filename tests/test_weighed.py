@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.operators import frequency as fr
+from textloom.operators import lexical as lx
 from textloom.operators import similarity as sm
 from textloom.operators import weighed as wd
 from textloom.operators.relations import dfm, token_rel
@@ -45,3 +46,12 @@ def test_char_lengths_are_those_of_all_grams(spark):
     for each in (1 << 23, 100):
         made = wd.char_lengths(df, each=each)
         assert {r.unit_id: (r.n_features, r.n_grams, r.norm) for r in made.collect()} == want
+
+
+def test_pair_counts_are_those_of_all_pairs(spark):
+    rows = [(1, ["b", "a", "b", "é", None, "a", "z", "b"]), (2, None), (3, []), (4, ["a"]), (5, ["z", "a"] * 4), (6, ["\U0001f600", "\uffff", "a"])]
+    df = spark.createDataFrame(rows, "unit_id int, tokens array<string>").repartition(2)
+    for window, directional in ((5, False), (2, True), (1, False)):
+        want = {(r.term_a, r.term_b): r["count"] for r in lx.window_pairs(df, window, directional).groupBy("term_a", "term_b").count().collect()}
+        for each in (1, 1 << 22):
+            assert {(r.term_a, r.term_b): r["count"] for r in lx.pair_counts(df, window, directional, each).collect()} == want
