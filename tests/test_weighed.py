@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from textloom.operators import frequency as fr
 from textloom.operators import lexical as lx
+from textloom.operators import retrieval as rt
+from textloom.operators import selection as sl
 from textloom.operators import similarity as sm
 from textloom.operators import weighed as wd
 from textloom.operators.relations import dfm, token_rel
@@ -55,3 +57,28 @@ def test_pair_counts_are_those_of_all_pairs(spark):
         want = {(r.term_a, r.term_b): r["count"] for r in lx.window_pairs(df, window, directional).groupBy("term_a", "term_b").count().collect()}
         for each in (1, 1 << 22):
             assert {(r.term_a, r.term_b): r["count"] for r in lx.pair_counts(df, window, directional, each).collect()} == want
+
+
+def test_totals_and_sizes_are_those_of_the_rows(spark):
+    rows = _rows(spark)
+    m = dfm(token_rel(rows))
+    got = {r.scheme: (r.n, r.total) for r in wd.scheme_totals(rows).collect()}
+    for scheme in fr.WEIGHTINGS:
+        want = fr.weighted(m, scheme, rows.count()).agg(F.count("*"), F.sum(F.round("weight", 6))).first()
+        assert got[scheme] == (want[0], pytest.approx(want[1], abs=2e-5))
+    assert {tuple(r) for r in wd.scheme_totals(rows.where("unit_id < 0")).collect()} == {(s, 0, None) for s in fr.WEIGHTINGS}
+    known = rows.where("tokens is not null")
+    for some in (known, known.where("unit_id <> 5")):  # rows that share an id are one
+        union = sl.feature_union({"words": fr.weighted(dfm(token_rel(some)), "tfidf", some.count()), "pairs": fr.weighted(dfm(fr.ngram_rel(some, 2)), "count", some.count())})
+        want = {(r.unit_id, r.space): (r.n, pytest.approx(r.w)) for r in union.groupBy("unit_id", "space").agg(F.count("*").alias("n"), F.max("weight").alias("w")).collect()}
+        assert {(r.unit_id, r.space): (r.n_features, r.largest) for r in wd.feature_sizes(some, each=50).collect()} == want
+
+
+def test_lexical_units_are_those_of_the_matrix(spark):
+    units = _rows(spark).withColumnRenamed("unit_id", "chunk_id")
+    terms = spark.createDataFrame([(1, "the"), (1, "w1"), (2, "w2"), (3, "none"), (3, "the"), (4, "again")], "query_id int, term string")
+    m = token_rel(units.withColumnRenamed("chunk_id", "unit_id")).groupBy(F.col("unit_id").alias("chunk_id"), "term").agg(F.count("*").alias("count"))
+    for every in (True, False):
+        want = rt.lexical(m, terms, m.groupBy("chunk_id").agg(F.sum("count").alias("length")), 9, every=every)
+        got = rt.lexical_units(units, terms, 9, every=every)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
