@@ -35,3 +35,14 @@ def test_texts_of_a_batch_keep_apart_and_take_little_time():
         x = [int(hashlib.md5(g.encode()).hexdigest()[:8], 16) for g in grams]
         assert list(got[k]) == [min(((p * v + q) % P & 0xFFFFFFFF for v in x), default=0xFFFFFFFF) for p, q in zip(a, b)]
     assert len(got) == len(texts) and sm.minhash().func(pd.Series([], dtype=object)).tolist() == []
+
+
+def test_links_hold_units_of_one_signature_and_all_pairs_at_the_threshold(spark):
+    r = random.Random(7)
+    one = [r.randrange(1 << 32) for _ in range(64)]
+    other = [x + 1 if k % 5 == 0 and k < 60 else x for k, x in enumerate(one)]  # 12 places apart, in twelve bands
+    low = [x + 1 if k < 32 else x for k, x in enumerate(one)]
+    df = spark.createDataFrame([(1, one), (2, one), (3, other), (4, other), (5, [1] * 64), (6, low)], "unit_id long, signature array<long>")
+    got = lambda t: sorted((x.i, x.j, x.score) for x in sm.estimated_links(df, t).collect())
+    assert got(0.8) == [(1, 2, 1.0), (1, 3, 52 / 64), (3, 4, 1.0)]
+    assert (1, 6, 0.5) in got(0.5)
